@@ -164,23 +164,48 @@ def predicate_udf(name: str, tol: float = EPS):
 
     @F.pandas_udf("boolean")
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([relation(x, y, tol)[name] for x, y in zip(a, b)])
+        return pd.Series([relation(x, y, tol)[name] for x, y in zip(a, b)], dtype=bool)
 
     return check
 
 
-@F.pandas_udf("double")
-def shared_length_udf(a: pd.Series, b: pd.Series, tol: pd.Series) -> pd.Series:
-    return pd.Series([shared_length(x, y, t) for x, y, t in zip(a, b, tol)])
+def shared_length_udf(tol: float = EPS):
+    """Arrow-batched ``shared_length``."""
 
+    @F.pandas_udf("double")
+    def length(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([shared_length(x, y, tol) for x, y in zip(a, b)], dtype=float)
 
-@F.pandas_udf("array<array<array<array<double>>>>")
-def clip_udf(geom: pd.Series, mask: pd.Series) -> pd.Series:
-    return pd.Series([clip_to_convex(g, m) for g, m in zip(geom, mask)])
+    return length
 
 
-@F.pandas_udf("array<struct<a:double,b:double>>")
-def strip_udf(geom: pd.Series, ylo: pd.Series, yhi: pd.Series) -> pd.Series:
-    return pd.Series(
-        [[{"a": a, "b": b} for a, b in strip_spans(g, lo, hi)] for g, lo, hi in zip(geom, ylo, yhi)]
-    )
+def clip_udf():
+    """Arrow-batched ``clip_to_convex``."""
+
+    @F.pandas_udf("array<array<array<array<double>>>>")
+    def clip(geom: pd.Series, mask: pd.Series) -> pd.Series:
+        return pd.Series([clip_to_convex(g, m) for g, m in zip(geom, mask)], dtype=object)
+
+    return clip
+
+
+def strip_udf():
+    """Arrow-batched ``strip_spans``; spans come as ``[from, to]`` pairs."""
+
+    @F.pandas_udf("array<array<double>>")
+    def spans(geom: pd.Series, ylo: pd.Series, yhi: pd.Series) -> pd.Series:
+        cut = [[list(s) for s in strip_spans(g, lo, hi)] for g, lo, hi in zip(geom, ylo, yhi)]
+        return pd.Series(cut, dtype=object)
+
+    return spans
+
+
+def inside_udf():
+    """Arrow-batched test that a point lies inside a geometry."""
+
+    @F.pandas_udf("boolean")
+    def inside(x: pd.Series, y: pd.Series, geom: pd.Series) -> pd.Series:
+        hits = [locate(np.array([[a, b]]), edges(g))[0] > 0 for a, b, g in zip(x, y, geom)]
+        return pd.Series(hits, dtype=bool)
+
+    return inside

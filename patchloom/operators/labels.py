@@ -40,10 +40,16 @@ def histogram(
     flat = F.col("__lo") == F.col("__hi")
     lo = F.when(flat, F.col("__lo") - 0.5).otherwise(F.col("__lo"))
     hi = F.when(flat, F.col("__hi") + 0.5).otherwise(F.col("__hi"))
-    place = F.least(F.width_bucket(F.col(value).cast("double"), lo, hi, F.lit(bins)), F.lit(bins))
+    edges = ends.withColumns({"__lo": lo, "__step": (hi - lo) / bins})
+    # the bin is decided by its printed edges lo + i * step, the division only guesses it
+    v, guess = F.col(value), F.col("__i")
+    low_edge = F.col("__lo") + guess * F.col("__step")
+    high_edge = F.col("__lo") + (guess + 1) * F.col("__step")
+    place = F.when(v < low_edge, guess - 1).when(v >= high_edge, guess + 1).otherwise(guess)
     counted = (
-        attach(known, ends, by, [value])
-        .groupBy(*by, place.cast("int").alias("bin"))
+        attach(known, edges, by, [value])
+        .withColumn("__i", F.floor((v - F.col("__lo")) / F.col("__step")))
+        .groupBy(*by, (F.least(place, F.lit(bins - 1)) + 1).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.first("__total").alias("__total"))
     )
     return counted.withColumn("percent", F.col("n") * 100.0 / F.col("__total")).drop("__total")

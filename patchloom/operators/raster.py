@@ -61,10 +61,10 @@ def touched_cells(units: DataFrame, grid: Grid, keep: Sequence[str], geometry: b
     strips = units.select(*keep, "geom", F.explode(rows).alias("py"))
     top = F.lit(grid.top) - F.col("py") * grid.res
     spans = strips.withColumn(
-        "__span", F.explode(polygons.strip_udf("geom", top - grid.res, top))
+        "__span", F.explode(polygons.strip_udf()("geom", top - grid.res, top))
     ).drop("geom")
     columns = _touched(
-        (F.col("__span.a") - grid.left) / grid.res, (F.col("__span.b") - grid.left) / grid.res, grid.width - 1
+        (F.col("__span")[0] - grid.left) / grid.res, (F.col("__span")[1] - grid.left) / grid.res, grid.width - 1
     )
     return spans.withColumn("px", F.explode(columns)).drop("__span")
 
@@ -198,8 +198,6 @@ def clip_raster(
     # the test needs each position once, however many bands and images there are
     places = near.select("px", "py").distinct().withColumns({"x0": x, "x1": x, "y0": y, "y1": y})
     if geometry:
-        point = F.array(F.array(F.array(F.array(x, y), F.array(x, y))))
-        places = places.withColumn("geom", point)
         inside = _points_in(places, boundary, cell)
     else:
         keyed = places.withColumn("__key", F.struct("px", "py"))
@@ -212,16 +210,5 @@ def clip_raster(
 
 
 def _points_in(places: DataFrame, boundary: DataFrame, cell: float) -> DataFrame:
-    pairs = spatial_join(places.drop("geom"), boundary, "intersects", "inner", cell)
-
-    @F.pandas_udf("boolean")
-    def inside(x, y, geom):
-        import numpy as np
-        import pandas as pd
-
-        hits = [
-            polygons.locate(np.array([[a, b]]), polygons.edges(g))[0] > 0 for a, b, g in zip(x, y, geom)
-        ]
-        return pd.Series(hits, dtype=bool)
-
-    return pairs.where(inside("x0", "y0", "geom")).select("px", "py").distinct()
+    pairs = spatial_join(places, boundary, "intersects", "inner", cell)
+    return pairs.where(polygons.inside_udf()("x0", "y0", "geom")).select("px", "py").distinct()

@@ -199,7 +199,7 @@ def clip(
     pairs = spatial_join(df, mask, "intersects", "inner", cell, suffix=mask_suffix)
     inner = boxes.intersection(box(), boxes.Box(*[F.col(f"{s}{mask_suffix}") for s in SIDES]))
     if geometry:
-        pairs = pairs.withColumn("geom", polygons.clip_udf("geom", f"geom{mask_suffix}"))
+        pairs = pairs.withColumn("geom", polygons.clip_udf()("geom", f"geom{mask_suffix}"))
         pairs = pairs.where(F.size("geom") > 0)
     pairs = pairs.withColumns(dict(zip(SIDES, inner)))
     if not keep_edges:
@@ -226,7 +226,7 @@ def reassign_symbol(
     others = units.where(~F.col(symbol).isin(*symbols)).select(*cols)
     pairs = spatial_join(chosen, others, "intersects", "inner", cell, unit_id, tol, "_n")
     if geometry:
-        length = polygons.shared_length_udf("geom", "geom_n", F.lit(max(tol, polygons.EPS)))
+        length = polygons.shared_length_udf(max(tol, polygons.EPS))("geom", "geom_n")
     else:
         length = boxes.shared_border(box(), boxes.Box(*[F.col(f"{s}_n") for s in SIDES]), tol)
     best = (
