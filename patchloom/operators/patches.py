@@ -131,15 +131,15 @@ def extract_patches(
     grid = (
         met.withColumns(
             {
-                "__x": F.greatest(first_x, F.lit(0)),
-                "__X": F.least(last_x, F.col("width") - 1),
-                "__y": F.greatest(first_y, F.lit(0)),
-                "__Y": F.least(last_y, F.col("height") - 1),
+                "__px0": F.greatest(first_x, F.lit(0)),
+                "__px1": F.least(last_x, F.col("width") - 1),
+                "__py0": F.greatest(first_y, F.lit(0)),
+                "__py1": F.least(last_y, F.col("height") - 1),
             }
         )
-        .where((F.col("__x") <= F.col("__X")) & (F.col("__y") <= F.col("__Y")))
-        .withColumn("py", F.explode(F.sequence("__y", "__Y")))
-        .withColumn("px", F.explode(F.sequence("__x", "__X")))
+        .where((F.col("__px0") <= F.col("__px1")) & (F.col("__py0") <= F.col("__py1")))
+        .withColumn("py", F.explode(F.sequence("__py0", "__py1")))
+        .withColumn("px", F.explode(F.sequence("__px0", "__px1")))
     )
     x = F.col("left") + (F.col("px") + 0.5) * F.col("res_x")
     y = F.col("top") - (F.col("py") + 0.5) * F.col("res_y")
