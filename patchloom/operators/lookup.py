@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Largest lookup (rows) that is ever broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 50_000
@@ -12,6 +14,12 @@ BROADCAST_ROWS = 50_000
 SALTS = 16
 
 
+def _nullable(schema: T.StructType) -> T.StructType:
+    """The schema with every field and element nullable, as Arrow data may need."""
+    relaxed = re.sub(r'"(nullable|containsNull|valueContainsNull)":false', r'"\1":true', schema.json())
+    return T.StructType.fromJson(json.loads(relaxed))
+
+
 def bounded(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
     """``small`` as a local table if it has at most ``limit`` rows, else None.
 
@@ -20,7 +28,7 @@ def bounded(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
     rows = small.limit(limit + 1).toArrow()
     if rows.num_rows > limit:
         return None
-    return small.sparkSession.createDataFrame(rows, small.schema)
+    return small.sparkSession.createDataFrame(rows, _nullable(small.schema))
 
 
 def attach(

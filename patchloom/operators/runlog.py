@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.operators.ordering import range_buckets, running_extreme_before
 
@@ -14,18 +14,23 @@ def running_best(
 
     ``new_best`` compares ``loss`` (lower is better, strictly); when the log has
     an ``accuracy`` column ``new_best_accuracy`` compares that (higher is better,
-    from a start of zero).
+    from a start of zero).  Columns ``start_loss`` and ``start_accuracy``, if
+    present, hold the best of earlier records that are not in the table.
     """
     has_accuracy = "accuracy" in log.columns
     wanted = {"__loss": ("min", "loss")} | ({"__acc": ("max", "accuracy")} if has_accuracy else {})
     cut = range_buckets(log, [run], [epoch], rows_per_bucket)
     out = running_extreme_before(cut, [run], [epoch], wanted)
-    best = F.col("__loss").isNull() | (F.col("loss") < F.col("__loss"))
-    out = out.withColumn("new_best", best)
+
+    def start(name: str) -> Column:
+        return F.col(name) if name in log.columns else F.lit(None).cast("double")
+
+    before = F.least("__loss", start("start_loss"))
+    out = out.withColumn("new_best", before.isNull() | (F.col("loss") < before))
     if has_accuracy:
-        so_far = F.coalesce("__acc", F.lit(0.0))
-        out = out.withColumn("new_best_accuracy", F.col("accuracy") > so_far)
-    return out.drop("__loss", "__acc")
+        before = F.coalesce(F.greatest("__acc", start("start_accuracy")), F.lit(0.0))
+        out = out.withColumn("new_best_accuracy", F.col("accuracy") > before)
+    return out.drop("__loss", "__acc", "start_loss", "start_accuracy")
 
 
 def best_epochs(log: DataFrame, run: str = "run", epoch: str = "epoch") -> DataFrame:
