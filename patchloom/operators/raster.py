@@ -34,9 +34,9 @@ class Grid(NamedTuple):
 
 
 def _touched(lo: Column, hi: Column, last: int) -> Column:
-    """Cells that the interval reaches, cut to the grid; a point-like contact counts one cell."""
+    """Cells that the interval enters, cut to the grid; an edge on a cell border enters none."""
     a = F.greatest(F.floor(lo), F.lit(0).cast("long"))
-    b = F.least(F.greatest(F.ceil(hi) - 1, F.floor(lo)), F.lit(last).cast("long"))
+    b = F.least(F.ceil(hi) - 1, F.lit(last).cast("long"))
     return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
 
