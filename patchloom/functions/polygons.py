@@ -135,6 +135,14 @@ def clip_to_convex(geom, mask) -> list:
     return out
 
 
+def line_spans(e: np.ndarray, y: float) -> list[tuple[float, float]]:
+    """x-intervals inside the rings along one horizontal line, by even-odd rule."""
+    ax, ay, bx, by = e.T
+    cross = (ay > y) != (by > y)
+    xs = np.sort(ax[cross] + (y - ay[cross]) * (bx - ax)[cross] / (by - ay)[cross])
+    return [(float(a), float(b)) for a, b in zip(xs[::2], xs[1::2])]
+
+
 def strip_spans(geom, ylo: float, yhi: float) -> list[tuple[float, float]]:
     """x-intervals that the geometry covers somewhere in ``ylo <= y <= yhi``.
 
@@ -152,11 +160,7 @@ def strip_spans(geom, ylo: float, yhi: float) -> list[tuple[float, float]]:
         else:
             xs = np.array([x0, x1])
         spans.append((float(xs.min()), float(xs.max())))
-    mid = (ylo + yhi) / 2
-    cross = (ay > mid) != (by > mid)
-    xs = np.sort(ax[cross] + (mid - ay[cross]) * (bx - ax)[cross] / (by - ay)[cross])
-    spans += [(float(l), float(r)) for l, r in zip(xs[::2], xs[1::2])]
-    return spans
+    return spans + line_spans(e, (ylo + yhi) / 2)
 
 
 def predicate_udf(name: str, tol: float = EPS):
@@ -200,12 +204,11 @@ def strip_udf():
     return spans
 
 
-def inside_udf():
-    """Arrow-batched test that a point lies inside a geometry."""
+def line_udf():
+    """Arrow-batched ``line_spans``; spans come as ``[from, to]`` pairs."""
 
-    @F.pandas_udf("boolean")
-    def inside(x: pd.Series, y: pd.Series, geom: pd.Series) -> pd.Series:
-        hits = [locate(np.array([[a, b]]), edges(g))[0] > 0 for a, b, g in zip(x, y, geom)]
-        return pd.Series(hits, dtype=bool)
+    @F.pandas_udf("array<array<double>>")
+    def spans(geom: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[list(s) for s in line_spans(edges(g), v)] for g, v in zip(geom, y)], dtype=object)
 
-    return inside
+    return spans

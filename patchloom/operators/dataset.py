@@ -81,18 +81,17 @@ def oversample(
         if m > 0 and not sizes[f"__n_{c}"]:
             raise ValueError(f"no patch has class {c}")
     spark = ids.sparkSession
-    out = ids.select(on, F.lit(None).cast("string").alias("source"))
     numbered = hash_row_number(holders, on, seed, "__rn", ["source"])
+    picks: DataFrame | None = None
     for c, m in wanted.items():
-        draws = spark.range(1, m + 1).select(
-            F.lit(c).alias("source"), F.col("id").alias("__j")
-        )
-        picks = draws.select(
-            "source", draw_index(seed, F.lit(sizes[f"__n_{c}"]), "source", "__j").alias("__rn")
-        )
-        new = picks.join(numbered.where(F.col("source") == c), ["source", "__rn"])
-        out = out.unionByName(new.select(on, "source"))
-    return out
+        draws = spark.range(1, m + 1).select(F.lit(c).alias("source"), F.col("id").alias("__j"))
+        index = draw_index(seed, F.lit(sizes[f"__n_{c}"]), "source", "__j")
+        one = draws.select("source", index.alias("__rn"))
+        picks = one if picks is None else picks.unionByName(one)
+    out = ids.select(on, F.lit(None).cast("string").alias("source"))
+    if picks is None:
+        return out
+    return out.unionByName(picks.join(numbered, ["source", "__rn"]).select(on, "source"))
 
 
 # --- pixels of samples ------------------------------------------------------
@@ -114,13 +113,16 @@ def minmax_scale(chips: DataFrame, by: Sequence[str] = ("image",)) -> DataFrame:
 
 
 def draws(seed: int | str, sample: str) -> dict[str, Column]:
-    """Per-sample augmentation draws: two flips and a number of quarter turns."""
+    """Per-sample augmentation draws: two flips and a number of quarter turns.
+
+    They are the first three hex digits of ``md5('<seed>:<sample>')``.
+    """
+    h = hash_key(seed, sample)
 
-    def digit(name: str) -> Column:
-        h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(sample).cast("string"), F.lit(name)))
-        return F.conv(F.substring(h, 1, 1), 16, 10).cast("int")
+    def digit(i: int) -> Column:
+        return F.conv(F.substring(h, i, 1), 16, 10).cast("int")
 
-    return {"hflip": digit("h") >= 8, "vflip": digit("v") >= 8, "turns": digit("r") % 4}
+    return {"hflip": digit(1) >= 8, "vflip": digit(2) >= 8, "turns": digit(3) % 4}
 
 
 def augment(chips: DataFrame, seed: int | str, size: int, sample: str = "sample") -> DataFrame:
@@ -153,24 +155,33 @@ def stack_channels(
 ) -> DataFrame:
     """Dense ``[C, H, W]`` arrays per sample and modality, channels in declared order.
 
-    A group is one chip of fixed size.  Pixels are gathered row by row first, so
-    the final step only sorts rows; a missing pixel makes its row shorter and is
-    not allowed.
+    A group is one chip of fixed size: its pixels are gathered once, sorted by
+    channel, row and column, and cut into rows.  A chip with missing pixels
+    raises.
     """
     spark = pixels.sparkSession
-    rows = [(c, m, i) for m, cs in modalities.items() for i, c in enumerate(cs)]
-    order = spark.createDataFrame(rows, f"{channel} string, modality string, __c int")
-    line = F.transform(F.array_sort(F.collect_list(F.struct("px", "v"))), lambda p: p["v"])
-    lines = (
+    rows = [(c, m, i, len(cs)) for m, cs in modalities.items() for i, c in enumerate(cs)]
+    order = spark.createDataFrame(rows, f"{channel} string, modality string, __c int, __n int")
+    chips = (
         pixels.join(F.broadcast(order), channel)
-        .repartition(*by)
-        .groupBy(*by, "modality", "__c", "py")
-        .agg(line.alias("__line"))
+        .groupBy(*by, "modality", "__n")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("__c", "py", "px", "v"))).alias("__a"),
+            (F.max("px") + 1).cast("int").alias("__w"),
+            (F.max("py") + 1).cast("int").alias("__h"),
+        )
+    )
+    w, h, n = F.col("__w"), F.col("__h"), F.col("__n")
+
+    def line(c: Column, y: Column) -> Column:
+        return F.transform(F.slice("__a", (c * h + y) * w + 1, w), lambda p: p["v"])
+
+    channels = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda c: F.transform(F.sequence(F.lit(0), h - 1), lambda y: line(c, y)),
     )
-    plane = F.transform(F.array_sort(F.collect_list(F.struct("py", "__line"))), lambda r: r["__line"])
-    planes = lines.groupBy(*by, "modality", "__c").agg(plane.alias("__plane"))
-    stack = F.transform(F.array_sort(F.collect_list(F.struct("__c", "__plane"))), lambda c: c["__plane"])
-    return planes.groupBy(*by, "modality").agg(stack.alias("channels"))
+    missing = F.raise_error(F.lit("a chip has missing or repeated pixels")).cast("array<array<array<double>>>")
+    return chips.select(*by, "modality", F.when(F.size("__a") == n * h * w, channels).otherwise(missing).alias("channels"))
 
 
 def _flip_rows(plane: Column) -> Column:

@@ -103,9 +103,13 @@ def _halo(pixels: DataFrame, keys: Sequence[str], radius: int, block: int) -> Da
 
 
 def _window_blocks(
-    pixels: DataFrame, keys: Sequence[str], radius: int, block: int, core: Callable
+    pixels: DataFrame, keys: Sequence[str], radius: int, block: int | None, core: Callable
 ) -> DataFrame:
-    """``core(dense)`` maps the block with halo to values of the block itself."""
+    """``core(dense)`` maps the block with halo to values of the block itself.
+
+    Blocks grow with wide windows, so that halos stay a part of the data.
+    """
+    block = block or max(BLOCK, 4 * radius)
     side = block + 2 * radius
 
     def fn(px, py, v, bx, by):
@@ -130,7 +134,7 @@ def focal(
     size: int,
     fn: str | Callable[[np.ndarray], np.ndarray],
     keys: Sequence[str] = ("band",),
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """A function of the odd square window around every pixel that has a value.
 
@@ -176,7 +180,7 @@ def _focal_exploded(pixels: DataFrame, r: int, name: str, keys: Sequence[str]) -
 
 
 def elevation_percentile(
-    pixels: DataFrame, size: int, keys: Sequence[str] = ("band",), block: int = BLOCK
+    pixels: DataFrame, size: int, keys: Sequence[str] = ("band",), block: int | None = None
 ) -> DataFrame:
     """``(average rank of the centre - 1) / (n - 1) * 100`` in the window.
 
@@ -221,7 +225,7 @@ def _reflect(i: np.ndarray, n: int) -> np.ndarray:
 
 
 def gaussian(
-    pixels: DataFrame, grid: Grid, sigma: float, keys: Sequence[str] = ("band",), block: int = BLOCK
+    pixels: DataFrame, grid: Grid, sigma: float, keys: Sequence[str] = ("band",), block: int | None = None
 ) -> DataFrame:
     """Gaussian smoothing, kernel cut at four deviations, edges reflected.
 
@@ -229,6 +233,7 @@ def gaussian(
     """
     weights = gaussian_weights(sigma)
     r = len(weights) // 2
+    block = block or max(BLOCK, 4 * r)
 
     def matrix(lo: int, hi: int, n: int, src_lo: int, src_n: int) -> np.ndarray:
         """Weights from source ``src_lo..`` to outputs ``lo..hi``."""
@@ -296,7 +301,7 @@ def warp(
     dst: Grid,
     method: str = "bilinear",
     keys: Sequence[str] = ("band",),
-    block: int = BLOCK,
+    block: int | None = None,
     src_crs: str = "",
     dst_crs: str = "",
 ) -> DataFrame:
@@ -323,6 +328,8 @@ def warp(
 
     ratio_x, ratio_y = widest(source_x, dst.width), widest(source_y, dst.height)
     scale_x, scale_y = max(1.0, ratio_x), max(1.0, ratio_y)
+    # a block is bounded by the source pixels under it, not by its own
+    block = max(1, min(block or BLOCK, int(2 * BLOCK / max(ratio_x, ratio_y))))
 
     def reach_x(c: Column) -> tuple[Column, Column]:
         ends = [F.lit(src.left) + (c + 0.5 + s * (support * scale_x + 0.5)) * src.res for s in (-1, 1)]
@@ -368,7 +375,7 @@ def resample(
     res: float,
     method: str = "cubic",
     keys: Sequence[str] = ("band",),
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> tuple[DataFrame, Grid]:
     """Resample to a new pixel side, same north-west corner."""
     dst = Grid(
@@ -386,7 +393,7 @@ def align(
     grid: Grid,
     ref: Grid,
     keys: Sequence[str] = ("band",),
-    block: int = BLOCK,
+    block: int | None = None,
     src_crs: str = "",
     dst_crs: str = "",
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from patchloom.operators.lookup import attach
 from patchloom.operators.ordering import BUCKET, offsets, range_buckets, running_sums
+from patchloom.session import written
 
 
 def class_counts(labels: DataFrame, classes: Sequence[str]) -> DataFrame:
@@ -58,14 +59,19 @@ def histogram(
 def value_ranks(
     long: DataFrame, by: Sequence[str], value: str, rows_per_bucket: int | None = None
 ) -> DataFrame:
-    """Distinct values per group with their count ``n`` and cumulative count ``upto``."""
+    """Distinct values per group with their count ``n`` and cumulative count ``upto``.
+
+    A table of more than one bucket is written to the shared folder, because the
+    callers read it several times.
+    """
     by = list(by)
     known = long.select(*by, value).where(F.col(value).isNotNull())
     cut = range_buckets(known, by, [value], rows_per_bucket)
     n = F.count(F.lit(1))
     counts = cut.df.groupBy(*by, BUCKET, value).agg(n.alias("n"))
     before = None if cut.single else offsets(cut.df, by, {"upto": n})
-    return running_sums(counts, by, value, {"upto": "n"}, before).drop(BUCKET)
+    ranks = running_sums(counts, by, value, {"upto": "n"}, before).drop(BUCKET)
+    return ranks if cut.single else written(ranks)
 
 
 def exact_quantiles(
@@ -96,15 +102,14 @@ def box_stats(
 ) -> DataFrame:
     """Quartiles and whiskers (farthest points within 1.5 IQR) per group."""
     by = list(by)
-    known = long.where(F.col(value).isNotNull())
-    totals = known.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))
-    ranks = value_ranks(known, by, value, rows_per_bucket)
+    ranks = value_ranks(long, by, value, rows_per_bucket)
+    totals = ranks.groupBy(*by).agg(F.sum("n").alias("__total"))
     quart = exact_quantiles(ranks, totals, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low = F.min(F.when(F.col(value) >= F.col("q1") - reach, F.col(value)))
     high = F.max(F.when(F.col(value) <= F.col("q3") + reach, F.col(value)))
     return (
-        attach(known.select(*by, value), quart, by, [value])
+        attach(ranks.select(*by, value), quart, by, [value])
         .groupBy(*by, "n", "q1", "median", "q3")
         .agg(low.alias("whisker_low"), high.alias("whisker_high"))
     )

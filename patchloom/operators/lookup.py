@@ -8,8 +8,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-#: Largest lookup (rows) that is ever broadcast; beyond it the join is salted.
+#: Largest lookup (rows, bytes) that is ever broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 << 20
 #: How many ways one key of the large side is split when the lookup is not small.
 SALTS = 16
 
@@ -21,12 +22,12 @@ def _nullable(schema: T.StructType) -> T.StructType:
 
 
 def bounded(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``small`` as a local table if it has at most ``limit`` rows, else None.
+    """``small`` as a local table if rows and bytes are within bounds, else None.
 
     At most ``limit + 1`` rows reach the driver, so the check itself is bounded.
     """
     rows = small.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
+    if rows.num_rows > limit or rows.nbytes > BROADCAST_BYTES:
         return None
     return small.sparkSession.createDataFrame(rows, _nullable(small.schema))
 

@@ -236,6 +236,11 @@ def assign_batches(
 
 
 def top_by(df: DataFrame, part: Sequence[str], score: str, value: str, tie: str, out: str) -> DataFrame:
-    """``value`` of the highest ``score`` per group; the lowest ``tie`` wins ties."""
-    best = F.max_by(value, F.struct(F.col(score), -F.col(tie)))
-    return df.groupBy(*part).agg(best.alias(out))
+    """``value`` of the highest ``score`` per group; the lowest ``tie`` wins ties.
+
+    The best score comes first, by hash aggregation, and only its rows go on: a
+    single ``max_by`` over a struct would sort every partition.
+    """
+    best = df.groupBy(*part).agg(F.max(score).alias("__best"))
+    ties = attach(df, best, part, [tie], how="inner").where(F.col(score) == F.col("__best"))
+    return ties.groupBy(*part).agg(F.min_by(value, tie).alias(out))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.functions import polygons
 from patchloom.operators.lookup import attach
-from patchloom.operators.spatial import spatial_join
+from patchloom.operators.spatial import sized_cells
 
 
 class Grid(NamedTuple):
@@ -35,8 +35,13 @@ class Grid(NamedTuple):
 
 def _touched(lo: Column, hi: Column, last: int) -> Column:
     """Cells that the interval enters, cut to the grid; an edge on a cell border enters none."""
-    a = F.greatest(F.floor(lo), F.lit(0).cast("long"))
-    b = F.least(F.ceil(hi) - 1, F.lit(last).cast("long"))
+    return _cut(F.floor(lo), F.ceil(hi) - 1, last)
+
+
+def _cut(first: Column, end: Column, last: int) -> Column:
+    """Numbers ``first..end`` that are within ``0..last``."""
+    a = F.greatest(first, F.lit(0).cast("long"))
+    b = F.least(end, F.lit(last).cast("long"))
     return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -143,12 +148,14 @@ def channel_stats(pixels: DataFrame, by: Sequence[str] = ("image",)) -> DataFram
     )
 
 
-def mosaic(pixels: DataFrame, meta: DataFrame, order: str = "tile_order") -> tuple[DataFrame, Grid]:
+def mosaic(
+    pixels: DataFrame, meta: DataFrame, order: str = "tile_order", res: float | None = None
+) -> tuple[DataFrame, Grid]:
     """Put tiles of one band on a common grid; the first tile with a value wins.
 
     ``meta`` has ``(image, left, top, res, width, height, <order>)`` and tiles
-    share one resolution.  The result keeps other key columns out: select the
-    band before.
+    share one resolution.  The band is selected before.  With ``res`` the mosaic
+    is resampled (bilinear).
     """
     ends = meta.agg(
         F.min("left").alias("left"),
@@ -169,7 +176,11 @@ def mosaic(pixels: DataFrame, meta: DataFrame, order: str = "tile_order") -> tup
     )
     first = F.min_by("v", order)
     out = placed.where(F.col("v").isNotNull()).groupBy("px", "py").agg(first.alias("v"))
-    return out, grid
+    if res is None:
+        return out, grid
+    from patchloom.operators.focal import resample
+
+    return resample(out, grid, res, "bilinear", keys=[])
 
 
 def clip_raster(
@@ -192,23 +203,38 @@ def clip_raster(
     cropped = Grid(
         grid.left + x_from * grid.res, grid.top - y_from * grid.res, grid.res, x_to - x_from, y_to - y_from
     )
-    x = F.lit(grid.left) + (F.col("px") + 0.5) * grid.res
-    y = F.lit(grid.top) - (F.col("py") + 0.5) * grid.res
     near = pixels.where(F.col("px").between(x_from, x_to - 1) & F.col("py").between(y_from, y_to - 1))
-    # the test needs each position once, however many bands and images there are
-    places = near.select("px", "py").distinct().withColumns({"x0": x, "x1": x, "y0": y, "y1": y})
     if geometry:
-        inside = _points_in(places, boundary, cell)
+        kept = near.join(inner_cells(boundary, grid), ["px", "py"], "left_semi")
     else:
-        keyed = places.withColumn("__key", F.struct("px", "py"))
-        inside = spatial_join(keyed, boundary, "within", "left_semi", cell, "__key")
-    kept = near.join(inside.select("px", "py"), ["px", "py"], "left_semi")
+        # a pixel centre has exactly one grid cell, so the semi join needs no ids
+        x = F.lit(grid.left) + (F.col("px") + 0.5) * grid.res
+        y = F.lit(grid.top) - (F.col("py") + 0.5) * grid.res
+        at = near.withColumns({"cx": F.floor(x / cell), "cy": F.floor(y / cell)})
+        inside = (x >= F.col("x0")) & (x <= F.col("x1")) & (y >= F.col("y0")) & (y <= F.col("y1"))
+        on = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & inside
+        kept = at.alias("a").join(sized_cells(boundary, cell).alias("b"), on, "left_semi")
     return (
         kept.select(*keys, (F.col("px") - x_from).alias("px"), (F.col("py") - y_from).alias("py"), "v"),
         cropped,
     )
 
 
-def _points_in(places: DataFrame, boundary: DataFrame, cell: float) -> DataFrame:
-    pairs = spatial_join(places, boundary, "intersects", "inner", cell)
-    return pairs.where(polygons.inside_udf()("x0", "y0", "geom")).select("px", "py").distinct()
+def inner_cells(boundary: DataFrame, grid: Grid) -> DataFrame:
+    """Cells whose centre lies inside a polygon, as ``(px, py)``.
+
+    Python sees a polygon once per pixel row and returns the x-intervals inside
+    it; the columns are listed by Spark.
+    """
+    first = F.ceil((F.lit(grid.top) - F.col("y1")) / grid.res - 0.5)
+    last = F.ceil((F.lit(grid.top) - F.col("y0")) / grid.res - 0.5) - 1
+    rows = _cut(first, last, grid.height - 1)
+    lines = boundary.select("geom", F.explode(rows).alias("py"))
+    y = F.lit(grid.top) - (F.col("py") + 0.5) * grid.res
+    spans = lines.select("py", F.explode(polygons.line_udf()("geom", y)).alias("__span"))
+    columns = _cut(
+        F.ceil((F.col("__span")[0] - grid.left) / grid.res - 0.5),
+        F.ceil((F.col("__span")[1] - grid.left) / grid.res - 0.5) - 1,
+        grid.width - 1,
+    )
+    return spans.select(F.explode(columns).alias("px"), "py")

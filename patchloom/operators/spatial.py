@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.functions import boxes, polygons
 from patchloom.functions.boxes import SIDES, box
-from patchloom.functions.geometry import to_crs
+from patchloom.functions.geometry import GEOM_TYPE, to_crs
 
-#: Largest cell list (rows) that is broadcast, known from a count beforehand.
+#: Largest cell list (rows, bytes) that is broadcast, known from sums beforehand.
 BROADCAST_CELLS = 200_000
+BROADCAST_BYTES = 64 << 20
 #: A box with more cells than this has them produced by several tasks.
 SPREAD_CELLS = 100_000
 
@@ -49,18 +50,37 @@ def cells(
     return columns.withColumn("cy", F.explode(F.sequence("fy", "__ly"))).drop("__lx", "__ly")
 
 
+def _width(df: DataFrame, keep: Sequence[str]) -> Column:
+    """Approximate bytes of one row of the cell list."""
+    types = dict(df.dtypes)
+    total = F.lit(8 * 8)
+    for c in keep:
+        if types[c] == GEOM_TYPE:
+            total = total + F.size(F.flatten(F.flatten(c))) * 24
+        elif types[c] in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif types[c].startswith(("array", "map", "struct")):
+            total = total + F.octet_length(F.to_json(F.struct(c)))
+        else:
+            total = total + 8
+    return total
+
+
 def sized_cells(df: DataFrame, cell: float, tol: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
     """The cell list of the right side of a join, with the join strategy it allows.
 
-    Its size is counted first, without listing it: a small list is broadcast.
-    Otherwise the merge hint keeps the planner from guessing the exploded size
-    from the input, and adaptive execution splits skewed cells at run time.
+    Its rows and bytes are summed first, without listing it: a small list is
+    broadcast.  Otherwise the merge hint keeps the planner from guessing the
+    exploded size from the input, and adaptive execution splits skewed cells at
+    run time.
     """
     x0, x1 = _span(F.col("x0"), F.col("x1"), cell, tol)
     y0, y1 = _span(F.col("y0"), F.col("y1"), cell, tol)
     per_box = (x1 - x0 + 1) * (y1 - y0 + 1)
-    size = df.select(F.sum(per_box).alias("n"), F.max(per_box).alias("m")).first()
-    if (size["n"] or 0) <= BROADCAST_CELLS:
+    size = df.select(
+        F.sum(per_box).alias("n"), F.max(per_box).alias("m"), F.sum(per_box * _width(df, keep)).alias("b")
+    ).first()
+    if (size["n"] or 0) <= BROADCAST_CELLS and (size["b"] or 0) <= BROADCAST_BYTES:
         return F.broadcast(cells(df, cell, tol, keep))
     return cells(df, cell, tol, keep, spread=size["m"] > SPREAD_CELLS).hint("merge")
 

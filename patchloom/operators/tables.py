@@ -31,13 +31,25 @@ def exclude_ids(df: DataFrame, ids: DataFrame, on: str = "patch_id") -> DataFram
     return df.join(ids.select(on).distinct(), on, "left_anti")
 
 
-def select_layers(df: DataFrame, kinds: Sequence[str] = ("dem", "aerial"), layer: str = "layer") -> DataFrame:
-    """Keep layers whose lower-cased name contains a kind; the first match names it."""
+def select_layers(
+    df: DataFrame,
+    kinds: Sequence[str] = ("dem", "aerial"),
+    layer: str = "layer",
+    first_only: bool = False,
+) -> DataFrame:
+    """Keep layers whose lower-cased name contains a kind; the first match names it.
+
+    With ``first_only`` one layer per kind is kept, the first by name.
+    """
     kind: Column | None = None
     for k in kinds:
         hit = F.lower(layer).contains(k)
         kind = F.when(hit, F.lit(k)) if kind is None else kind.when(hit, F.lit(k))
-    return df.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    found = df.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    if not first_only:
+        return found
+    first = found.groupBy("kind").agg(F.min(layer).alias(layer))  # one row per kind
+    return found.join(F.broadcast(first), ["kind", layer], "left_semi")
 
 
 def download_plan(

@@ -438,14 +438,14 @@ def _labels(spark, d):
 # --- samples ---------------------------------------------------------------------------
 
 
-def _digit(letter: str) -> str:
-    return f"(cast('0x' || substr(md5(concat('5:', cast(image as varchar), ':{letter}')), 1, 1) as int))"
+def _digit(i: int) -> str:
+    return f"(cast('0x' || substr(md5(concat('5:', cast(image as varchar))), {i}, 1) as int))"
 
 
 TURNED = f"""select image, v, case t when 0 then x when 1 then y when 2 then 7 - x else 7 - y end as px,
  case t when 0 then y when 1 then 7 - x when 2 then 7 - y else x end as py from (
- select image, v, case when {_digit('h')} >= 8 then 7 - px else px end as x,
-  case when {_digit('v')} >= 8 then 7 - py else py end as y, {_digit('r')} % 4 as t from chips)"""
+ select image, v, case when {_digit(1)} >= 8 then 7 - px else px end as x,
+  case when {_digit(2)} >= 8 then 7 - py else py end as y, {_digit(3)} % 4 as t from chips)"""
 
 
 @query("augment", with_views("chips", TURNED))

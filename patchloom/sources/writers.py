@@ -27,9 +27,11 @@ def write_patches(df: DataFrame, path: str, buckets: int = 64, mode: str = "erro
     named = df.withColumn("patch_bucket", bucket).withColumn(
         "patch_name", F.concat_ws("_", "patch_id", "image")
     )
-    # one image may hold most rows, so its buckets spread over tasks
-    spread = named.repartition("image", "patch_bucket").sortWithinPartitions("image", "patch_bucket", "patch_id")
-    spread.write.mode(mode).partitionBy("image", "patch_bucket").parquet(path)
+    # rebalancing splits an image and bucket that holds too much over several tasks
+    spread = named.hint("rebalance", F.col("image"), F.col("patch_bucket"))
+    spread.sortWithinPartitions("image", "patch_bucket", "patch_id").write.mode(mode).partitionBy(
+        "image", "patch_bucket"
+    ).parquet(path)
 
 
 def overwrite_in_place(df: DataFrame, path: str) -> None:
