@@ -47,13 +47,13 @@ def attach(
     columns ``spread``, so a key that holds a third of all rows still spreads.
     """
     on = list(on)
-    key = "__one"
     if not on:
-        big, small, on = big.withColumn(key, F.lit(0)), small.withColumn(key, F.lit(0)), [key]
+        row = small.first()  # the result of a global aggregate
+        return big.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in small.schema})
     local = bounded(small, limit)
     if local is not None:
-        return big.join(F.broadcast(local), on, how).drop(key)
-    return salted_join(big, small, on, spread, how).drop(key)
+        return big.join(F.broadcast(local), on, how)
+    return salted_join(big, small, on, spread, how)
 
 
 def salted_join(
