@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Largest lookup (rows, bytes) that is ever broadcast; beyond it the join is salted.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 #: How many ways one key of the large side is split when the lookup is not small.
 SALTS = 16

@@ -11,14 +11,18 @@ from collections.abc import Sequence
 from math import isqrt
 from typing import NamedTuple
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import NumericType, TimestampType
 
 from patchloom.operators.lookup import attach
 
 #: Rows a single window task should hold; more rows mean more buckets.
-ROWS_PER_BUCKET = 500_000
+ROWS_PER_BUCKET = 50_000
 #: Upper bound on buckets over all groups, so the offset table stays small.
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16_384
+#: Draws of one first-column value beyond which it is split by the whole key.
+MAX_DRAWN = 4
 #: Hex digits of the hash that form a bucket in hash order (16**3 buckets).
 HASH_DIGITS = 3
 
@@ -51,19 +55,55 @@ def range_buckets(
     Small inputs get a single bucket and no extra pass except the row count.
     """
     part, order = list(part), list(order)
-    rows = df.select(*part, *order).count()
+    keys = df.select(*part, *order)
+    rows = keys.count()
     step = max(rows_per_bucket or ROWS_PER_BUCKET, rows // MAX_BUCKETS, 1)
     if rows <= step:
         return Cut(df.withColumn(BUCKET, F.lit(0)), True)
-    key = F.struct(*[F.col(c) for c in order])
-    chunk = max(isqrt(rows // step), 4)
-    splitters = (
-        df.select(*part, key.alias("__key"))
-        .where(F.pmod(F.xxhash64("__key"), F.lit(step)) == 0)
-        .groupBy(*part)
-        .agg(F.array_sort(F.collect_set("__key")).alias("__keys"))
+    drawn = keys.where(F.pmod(F.xxhash64(*part, *order), F.lit(step)) == 0)
+    if isinstance(keys.schema[order[0]].dataType, (NumericType, TimestampType)):
+        found = _first_values(drawn, order)
+        if found is not None:
+            return Cut(_number_buckets(df, found, order[0]), False)
+    return Cut(_key_buckets(df, drawn, part, order, max(isqrt(rows // step), 4)), False)
+
+
+def _first_values(drawn: DataFrame, order: Sequence[str]) -> list[float] | None:
+    """Splitters from the first sort column alone, about ``MAX_BUCKETS`` numbers.
+
+    None when one value of it was drawn often with different further columns: its
+    rows are too many for one bucket and must be split by the whole key.
+    """
+    value = F.col(order[0]).cast("double")
+    keys = drawn.select(value.alias("__s"), *order).distinct()
+    found = keys.where(F.col("__s").isNotNull()).groupBy("__s").count().collect()
+    if len(order) > 1 and any(r["count"] > MAX_DRAWN for r in found):
+        return None
+    return sorted(r["__s"] for r in found if abs(r["__s"]) < float("inf"))
+
+
+def _number_buckets(df: DataFrame, inner: list[float], order: str) -> DataFrame:
+    """Buckets of a number: all groups share the splitters, found by binary search."""
+    if not inner:
+        return df.withColumn(BUCKET, F.lit(0))
+    value = F.col(order).cast("double")
+    splits = [-float("inf"), *inner, float("inf")]
+    cutter = Bucketizer(splits=splits, inputCol="__x", outputCol="__b", handleInvalid="keep")
+    # a NULL key sorts first
+    return (
+        cutter.transform(df.withColumn("__x", value))
+        .withColumn(BUCKET, F.when(F.col("__x").isNull(), 0).otherwise(F.col("__b")).cast("int"))
+        .drop("__x", "__b")
     )
-    # two-level search: find the chunk by its first key, then look inside it
+
+
+def _key_buckets(
+    df: DataFrame, drawn: DataFrame, part: Sequence[str], order: Sequence[str], chunk: int
+) -> DataFrame:
+    """Buckets of a composite key: sorted splitters per group, searched in two levels."""
+    key = F.struct(*[F.col(c) for c in order])
+    splitters = drawn.groupBy(*part).agg(F.array_sort(F.collect_set(key)).alias("__keys"))
+    # find the chunk by its first key, then look inside it
     chunks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size("__keys") - 1) / chunk).cast("int")),
         lambda i: F.slice("__keys", i * chunk + 1, chunk),
@@ -78,14 +118,16 @@ def range_buckets(
     bucket = F.when(F.coalesce(F.col("__low"), F.lit(0)) < 1, F.lit(0)).otherwise(
         (F.col("__low") - 1) * chunk + inner
     )
-    cut = (
-        attach(df, splitters, part, order)
+    keyed = df if part else df.withColumn("__all", F.lit(0))
+    on = list(part) or ["__all"]
+    lookup = splitters if part else splitters.withColumn("__all", F.lit(0))
+    return (
+        attach(keyed, lookup, on, order)
         .withColumn("__key", key)
         .withColumn("__low", low)
         .withColumn(BUCKET, bucket.cast("int"))
-        .drop("__key", "__low", "__chunks", "__heads")
+        .drop("__key", "__low", "__chunks", "__heads", "__all")
     )
-    return Cut(cut, False)
 
 
 def hash_buckets(df: DataFrame, key_col: str, digits: int = HASH_DIGITS) -> Cut:

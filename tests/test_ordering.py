@@ -29,6 +29,26 @@ def test_buckets_split_the_hot_group(rows):
     assert sizes.agg(F.max("count")).first()[0] < 3600 / 2
 
 
+def test_hot_first_column_is_split_by_the_whole_key(spark):
+    df = spark.range(4000).select(
+        F.lit("g").alias("g"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 50).alias("x"), "id"
+    )
+    cut = O.range_buckets(df, ["g"], ["x", "id"], 100)
+    assert cut.df.where("x = 7").select(O.BUCKET).distinct().count() > 5
+    got = O.row_number_by(df, ["x", "id"], "rn", ["g"], rows_per_bucket=100)
+    w = Window.partitionBy("g").orderBy("x", "id")
+    want = df.withColumn("rn", F.row_number().over(w).cast("long"))
+    assert got.select("id", "rn").exceptAll(want.select("id", "rn")).count() == 0
+
+
+def test_null_and_nan_keys_keep_their_order(spark):
+    values = [None, float("nan"), float("inf"), -float("inf")] + [float(i % 97) for i in range(1000)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x double, id int")
+    got = O.row_number_by(df, ["x", "id"], "rn", rows_per_bucket=50)
+    want = df.withColumn("rn", F.row_number().over(Window.orderBy("x", "id")).cast("long"))
+    assert got.select("id", "rn").exceptAll(want.select("id", "rn")).count() == 0
+
+
 def test_copies_of_one_key_stay_together(spark):
     same = spark.range(3000).select(F.lit("g").alias("g"), F.lit(7).alias("x"))
     cut = O.range_buckets(same, ["g"], ["x"], 100)
