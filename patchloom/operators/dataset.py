@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from patchloom.operators.lookup import attach
 from patchloom.operators.ordering import hash_key, hash_row_number, sample_n
 from patchloom.operators.spatial import spatial_join
-from patchloom.session import written
+from patchloom.session import local_table, written
 
 
 def independent_split(
@@ -161,7 +161,7 @@ def stack_channels(
     """
     spark = pixels.sparkSession
     rows = [(c, m, i, len(cs)) for m, cs in modalities.items() for i, c in enumerate(cs)]
-    order = spark.createDataFrame(rows, f"{channel} string, modality string, __c int, __n int")
+    order = local_table(spark, rows, f"{channel} string, modality string, __c int, __n int")
     chips = (
         pixels.join(F.broadcast(order), channel)
         .groupBy(*by, "modality", "__n")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from patchloom.functions.scalar import focal_loss_element, round_half_even
 from patchloom.operators.lookup import attach
 from patchloom.operators.ordering import BUCKET, offsets, range_buckets, running_sums
+from patchloom.session import local_table
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -26,9 +27,8 @@ def _zero(c: Column) -> Column:
 
 def thresholds_table(spark, thresholds: Mapping[int, float]) -> DataFrame:
     """Thresholds per label as a table ``(k, threshold)``."""
-    return spark.createDataFrame(
-        [(int(k), float(t)) for k, t in thresholds.items()], "k int, threshold double"
-    )
+    rows = [(int(k), float(t)) for k, t in thresholds.items()]
+    return local_table(spark, rows, "k int, threshold double")
 
 
 def with_threshold(pred: DataFrame, thresholds: float | DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql.types import NumericType, TimestampType
 
 from patchloom.operators.lookup import attach
 
-#: Rows a single window task should hold; more rows mean more buckets.
+#: Tables up to this many rows use plain windows, larger ones are cut into buckets.
+SINGLE_ROWS = 1_000_000
+#: Rows of a bucket; many small ones spread evenly over tasks.
 ROWS_PER_BUCKET = 50_000
 #: Upper bound on buckets over all groups, so the offset table stays small.
 MAX_BUCKETS = 16_384
@@ -58,7 +60,7 @@ def range_buckets(
     keys = df.select(*part, *order)
     rows = keys.count()
     step = max(rows_per_bucket or ROWS_PER_BUCKET, rows // MAX_BUCKETS, 1)
-    if rows <= step:
+    if rows <= (rows_per_bucket or SINGLE_ROWS):
         return Cut(df.withColumn(BUCKET, F.lit(0)), True)
     drawn = keys.where(F.pmod(F.xxhash64(*part, *order), F.lit(step)) == 0)
     if isinstance(keys.schema[order[0]].dataType, (NumericType, TimestampType)):

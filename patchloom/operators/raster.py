@@ -13,6 +13,10 @@ from patchloom.operators.lookup import attach
 from patchloom.operators.spatial import sized_cells
 
 
+#: Longest run of cells that is listed by one row.
+RUN = 1024
+
+
 class Grid(NamedTuple):
     """A pixel grid: north-west corner, pixel side, size."""
 
@@ -46,32 +50,42 @@ def _cut(first: Column, end: Column, last: int) -> Column:
 
 
 def touched_cells(units: DataFrame, grid: Grid, keep: Sequence[str], geometry: bool = False) -> DataFrame:
-    """Every grid cell that a box or polygon touches, as ``(keep..., px, py)``.
+    """Every grid cell that a box or polygon touches, as ``(keep..., py, bx, px)``.
 
-    Rows of cells are listed first; a polygon is cut to the strip of each row
-    and its x-intervals there give the columns.
+    A feature is cut into the strips of its pixel rows, and strips into runs of
+    at most ``RUN`` columns; for a polygon Python gives the x-intervals of each
+    strip.  Runs are moved by ``(py, bx)`` and listed as cells only after that: a
+    huge feature becomes many tasks, and grouping by ``(py, bx, px)`` needs no
+    further shuffle of single cells.
     """
     rows = _touched(
         (F.lit(grid.top) - F.col("y1")) / grid.res, (F.lit(grid.top) - F.col("y0")) / grid.res, grid.height - 1
     )
-    if not geometry:
-        columns = _touched(
-            (F.col("x0") - grid.left) / grid.res, (F.col("x1") - grid.left) / grid.res, grid.width - 1
+    if geometry:
+        strips = units.select(*keep, "geom", F.explode(rows).alias("py"))
+        top = F.lit(grid.top) - F.col("py") * grid.res
+        spans = F.explode(polygons.strip_udf()("geom", top - grid.res, top))
+        strips = strips.select(*keep, "py", spans.alias("__s")).select(
+            *keep, "py", F.col("__s")[0].alias("__x0"), F.col("__s")[1].alias("__x1")
         )
-        return (
-            units.select(*keep, columns.alias("__cols"), F.explode(rows).alias("py"))
-            .withColumn("px", F.explode("__cols"))
-            .drop("__cols")
+    else:
+        strips = units.select(
+            *keep, F.explode(rows).alias("py"), F.col("x0").alias("__x0"), F.col("x1").alias("__x1")
         )
-    strips = units.select(*keep, "geom", F.explode(rows).alias("py"))
-    top = F.lit(grid.top) - F.col("py") * grid.res
-    spans = strips.withColumn(
-        "__span", F.explode(polygons.strip_udf()("geom", top - grid.res, top))
-    ).drop("geom")
-    columns = _touched(
-        (F.col("__span")[0] - grid.left) / grid.res, (F.col("__span")[1] - grid.left) / grid.res, grid.width - 1
+    first = F.greatest(F.floor((F.col("__x0") - grid.left) / grid.res), F.lit(0).cast("long"))
+    end = F.least(
+        F.ceil((F.col("__x1") - grid.left) / grid.res) - 1, F.lit(grid.width - 1).cast("long")
+    )
+    runs = (
+        strips.select(*keep, "py", first.alias("__a"), end.alias("__b"))
+        .where(F.col("__a") <= F.col("__b"))
+        .withColumn("bx", F.explode(F.sequence(F.floor(F.col("__a") / RUN), F.floor(F.col("__b") / RUN))))
+        .repartition("py", "bx")
+    )
+    columns = F.sequence(
+        F.greatest("__a", F.col("bx") * RUN), F.least("__b", F.col("bx") * RUN + (RUN - 1))
     )
-    return spans.withColumn("px", F.explode(columns)).drop("__span")
+    return runs.withColumn("px", F.explode(columns)).drop("__a", "__b")
 
 
 def rasterise(
@@ -84,7 +98,8 @@ def rasterise(
     burned = touched_cells(units, grid, [value, seq], geometry)
     # a NULL value takes part, so that a later unmapped feature clears the cell
     last = F.max_by(F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))), F.col(seq))
-    return burned.groupBy("px", "py").agg(F.nanvl(last, F.lit(None).cast("double")).alias("v"))
+    cells = burned.groupBy("py", "bx", "px").agg(F.nanvl(last, F.lit(None).cast("double")).alias("v"))
+    return cells.select("px", "py", "v")
 
 
 def burn_layers(
@@ -100,11 +115,13 @@ def burn_layers(
     Cells outside all layers are 0, cells where the reference has no value stay
     without one.  Returns the raster and the map of layer names to numbers.
     """
-    burned: DataFrame | None = None
+    columns = ["x0", "y0", "x1", "y1", *(["geom"] if geometry else [])]
+    merged: DataFrame | None = None
     for number, layer in enumerate(layers, start=1):
-        cells = touched_cells(layer, grid, [], geometry).withColumn("__n", F.lit(number))
-        burned = cells if burned is None else burned.unionByName(cells)
-    top = burned.groupBy("px", "py").agg(F.max("__n").alias("__n"))
+        numbered = layer.select(*columns, F.lit(number).alias("__n"))
+        merged = numbered if merged is None else merged.unionByName(numbered)
+    cells = touched_cells(merged, grid, ["__n"], geometry)
+    top = cells.groupBy("py", "bx", "px").agg(F.max("__n").alias("__n")).drop("bx")
     number = F.when(F.col("__n").isNull(), 0).otherwise(1 if binary else F.col("__n"))
     out = ref.join(top, ["px", "py"], "left").withColumn(
         "v", F.when(F.col("v").isNotNull(), number.cast("double"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from patchloom.operators.lookup import attach
 from patchloom.operators.ordering import range_buckets, running_extreme_before
 
 
@@ -35,13 +36,12 @@ def running_best(
 
 def best_epochs(log: DataFrame, run: str = "run", epoch: str = "epoch") -> DataFrame:
     """The last new best per run, which is the first epoch with the extreme value."""
-    aggs = [
-        F.min_by(epoch, F.struct(F.col("loss"), F.col(epoch))).alias("best_epoch"),
-        F.min("loss").alias("best_loss"),
-    ]
-    if "accuracy" in log.columns:
-        aggs += [
-            F.max_by(epoch, F.struct(F.col("accuracy"), -F.col(epoch))).alias("best_accuracy_epoch"),
-            F.max("accuracy").alias("best_accuracy"),
-        ]
-    return log.groupBy(run).agg(*aggs)
+    goals = {"loss": F.min} | ({"accuracy": F.max} if "accuracy" in log.columns else {})
+    ends = log.groupBy(run).agg(*[fn(c).alias(f"best_{c}") for c, fn in goals.items()])
+    reached = attach(log, ends, [run], [epoch], how="inner")
+    names = {"loss": "best_epoch", "accuracy": "best_accuracy_epoch"}
+    aggs = []
+    for c in goals:
+        at = F.when(F.col(c) == F.col(f"best_{c}"), F.col(epoch))
+        aggs += [F.min(at).alias(names[c]), F.first(f"best_{c}").alias(f"best_{c}")]
+    return reached.groupBy(run).agg(*aggs)

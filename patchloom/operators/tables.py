@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.operators.lookup import attach
+from patchloom.session import local_table
 
 # Metadata columns that must agree for images to be aligned.
 ALIGNMENT_COLUMNS = (
@@ -152,7 +153,7 @@ def norm_params(stats: DataFrame, modalities: Mapping[str, Sequence[str]]) -> Da
     """
     spark = stats.sparkSession
     rows = [(m, i, c) for m, channels in modalities.items() for i, c in enumerate(channels)]
-    wanted = spark.createDataFrame(rows, "modality string, pos int, path string")
+    wanted = local_table(spark, rows, "modality string, pos int, path string")
     matched = (
         stats.join(F.broadcast(wanted.select("path").distinct()), "path", "left_semi")
         .groupBy("path")

@@ -11,6 +11,11 @@ from patchloom.plans.queries_tables import PRESENT, WIDE, presence
 from patchloom.plans.registry import query
 from patchloom.sources.logs import parse_training_log
 from patchloom.sources.tables import parse_label_vectors
+from patchloom.functions.geometry import box_geom
+from patchloom.session import shared_dir, written
+from patchloom.sources.geojson import read_geojson_lines, write_geojson
+from patchloom.sources.tables import read_table_csv
+from patchloom.sources.writers import overwrite_in_place, write_once, write_patches, write_report
 from patchloom.streaming.best import best_of_stream
 from patchloom.streaming.stats import stats_of_stream
 
@@ -131,7 +136,7 @@ def _fit(spark, d):
     )
     names = ["l2", "l3"]
     columns = [f"{c}_{s}" for c in channels for s in ("mean", "std")]
-    features = ml.chip_features(chips, channels).join(labels, "patch_id").cache()
+    features = written(ml.chip_features(chips, channels).join(labels, "patch_id"))
     weights = {r["class"]: r["weight"] for r in L.class_weights(labels, names, scale=False).collect()}
     models = ml.fit_multilabel(features, columns, names, weights)
     scores = ml.predict_multilabel(models, features, columns, "patch_id")
@@ -153,3 +158,61 @@ def _chip_features(spark, d):
     )
     out = ml.chip_features(chips, ["row0", "row7"])
     return rounded(out, 9, *[c for c in out.columns if c != "patch_id"])
+
+
+# --- sinks, read back -----------------------------------------------------------
+
+
+@query("csv_round_trip", "select c_custkey as patch_id, c_acctbal as mean, c_mktsegment as path from customer")
+def _csv(spark, d):
+    path = shared_dir(spark)
+    rows = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("patch_id"), F.col("c_acctbal").alias("mean"), F.col("c_mktsegment").alias("path")
+    )
+    write_report(rows, path)
+    return read_table_csv(spark, path, "patch_id bigint, mean double, path string")
+
+
+@query(
+    "geojson_round_trip",
+    with_views("units", "select gid, symbol, 'Polygon' as geometry_type, x0, y0, x1, y1 from units"),
+)
+def _geojson(spark, d):
+    path = shared_dir(spark)
+    units = view(spark, d, "units").withColumn(
+        "geom", box_geom(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    )
+    write_geojson(units, path, ["gid", "symbol"])
+    return read_geojson_lines(spark, path, "gid bigint, symbol string").drop("geom")
+
+
+@query("write_once", "select o_orderkey as sid, o_custkey as patch from orders")
+def _once(spark, d):
+    path = shared_dir(spark)
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("sid"), F.col("o_custkey").alias("patch"))
+    write_once(orders, path)
+    write_once(orders.withColumn("patch", F.lit(-1).cast("bigint")), path)  # must not replace it
+    return spark.read.schema(orders.schema).parquet(path)
+
+
+@query("overwrite_in_place", "select o_orderkey as sid, o_totalprice * 2 as price from orders where o_totalprice > 1000")
+def _in_place(spark, d):
+    path = shared_dir(spark)
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("sid"), F.col("o_totalprice").alias("price"))
+    orders.write.parquet(path)
+    stored = spark.read.schema(orders.schema).parquet(path)
+    overwrite_in_place(stored.where("price > 1000").withColumn("price", F.col("price") * 2), path)
+    return spark.read.schema(orders.schema).parquet(path)
+
+
+@query(
+    "write_patches",
+    with_views("chips", "select concat(cast(image as varchar), '_chip') as patch_name, px, py, v from chips"),
+)
+def _write_patches(spark, d):
+    path = shared_dir(spark)
+    chips = view(spark, d, "chips").select(
+        F.col("image").alias("patch_id"), F.lit("chip").alias("image"), "px", "py", "v"
+    )
+    write_patches(chips, path, buckets=8)
+    return spark.read.parquet(path).where("image = 'chip'").select("patch_name", "px", "py", "v")

@@ -12,6 +12,7 @@ from patchloom.operators import dataset as D, focal as N, patches as P, raster a
 from patchloom.plans.fixtures import SEGMENT_CODES, view, with_views
 from patchloom.plans.queries_metrics import rounded
 from patchloom.plans.registry import query
+from patchloom.session import local_table
 
 #: The derived raster: 256 x 256 pixels of 5 units, lower left corner at the origin.
 GRID = R.Grid(0.0, 1280.0, 5.0, 256, 256)
@@ -23,7 +24,8 @@ def raster(spark, d) -> DataFrame:
 
 
 def band_meta(spark, bands="ANR") -> DataFrame:
-    return spark.createDataFrame(
+    return local_table(
+        spark,
         [(b, GRID.left, GRID.top, GRID.res, GRID.res, GRID.width, GRID.height, 50.0) for b in bands],
         "image string, left double, top double, res_x double, res_y double, width int, height int, nodata double",
     )
@@ -165,7 +167,8 @@ SHIFT = {"A": 0, "N": 1, "R": 2}
 
 
 def tile_meta(spark) -> DataFrame:
-    return spark.createDataFrame(
+    return local_table(
+        spark,
         [(b, 500.0 * i, 1280.0 - 200.0 * i, 5.0, 256, 256, i) for b, i in SHIFT.items()],
         "image string, left double, top double, res double, width int, height int, tile_order int",
     )
@@ -401,7 +404,8 @@ def class_patches(spark, d) -> DataFrame:
     units = units.withColumn("code", encode_class("symbol", SEGMENT_CODES))
     grid = R.Grid.of(S.grid_of(units, 30.0))
     pixels = R.rasterise(units, grid, "code").withColumns({"image": F.lit("geology"), "band": F.lit(1)})
-    meta = spark.createDataFrame(
+    meta = local_table(
+        spark,
         [("geology", grid.left, grid.top, grid.res, grid.res, grid.width, grid.height)],
         "image string, left double, top double, res_x double, res_y double, width int, height int",
     )

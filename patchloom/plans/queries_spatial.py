@@ -281,19 +281,18 @@ def _features(spark, d):
     "explode_parts",
     with_views(
         "units",
-        """select symbol, cast(part as int) as part, x0, y0, x1, y1 from (
- select *, row_number() over (partition by symbol order by gid) - 1 as part from units)""",
+        """select cast(floor(gid / 40) as bigint) as strip, cast(gid % 40 as int) as part, x0, y0, x1, y1 from units""",
     ),
 )
 def _parts(spark, d):
     units = view(spark, d, "units").withColumn(
         "geom", box_geom(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     )
-    # one multi-part feature per symbol, parts in id order
-    multi = units.groupBy("symbol").agg(
+    # one multi-part feature per row of 40 units, parts in id order
+    multi = units.groupBy(F.floor(F.col("gid") / 40).alias("strip")).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("gid", "geom"))), lambda u: u["geom"])).alias("geom")
     )
-    return bbox(explode_parts(multi)).select("symbol", "part", "x0", "y0", "x1", "y1")
+    return bbox(explode_parts(multi)).select("strip", "part", "x0", "y0", "x1", "y1")
 
 
 @query(

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from functools import cache
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_session(cpus: int | str = 8, app: str = "patchloom", memory: str = "8g") -> SparkSession:
@@ -29,18 +32,29 @@ def local_session(cpus: int | str = 8, app: str = "patchloom", memory: str = "8g
     return spark
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that lives in the plan itself, so reading it needs no job."""
+    types = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(types)
+    arrow = to_arrow_schema(types)
+    table = pa.table({f.name: pa.array(c, f.type) for f, c in zip(arrow, columns)}, schema=arrow)
+    return spark.createDataFrame(table, types)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``.
 
     Only when the setting is absent (tests) does a temporary folder stand in.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="patchloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _test_dir()
     return f"{base.rstrip('/')}/patchloom-{uuid.uuid4().hex}"
 
 
+@cache
+def _test_dir() -> str:
+    return tempfile.mkdtemp(prefix="patchloom-")
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by writing it as parquet to the shared folder.
 

@@ -19,7 +19,7 @@ def _feature_schema(properties: str) -> str:
 
 
 def _colons(ddl: str) -> str:
-    fields = T._parse_datatype_string(ddl)
+    fields = T.StructType.fromDDL(ddl)
     return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in fields)
 
 
