@@ -74,13 +74,13 @@ def _stream(spark, d, name):
 
 @query(
     "stream_channel_stats",
-    "select l_returnflag as band, count(*) as n, round(avg(l_quantity), 9) as mean, round(stddev_pop(l_quantity), 9) as std from lineitem group by l_returnflag",
+    "select l_returnflag as band, count(*) as n, round(avg(l_quantity), 6) as mean, round(stddev_pop(l_quantity), 6) as std from lineitem group by l_returnflag",
 )
 def _stream_stats(spark, d):
     pixels = _stream(spark, d, "lineitem").select(
         F.col("l_returnflag").alias("band"), F.col("l_quantity").alias("v")
     )
-    return rounded(stats_of_stream(pixels, ["band"]), 9, "mean", "std")
+    return rounded(stats_of_stream(pixels, ["band"]), 6, "mean", "std")
 
 
 @query(
@@ -104,7 +104,7 @@ WEIGHTS = [[((i * 7 + k * 3) % 11 - 5) / 5 for k in range(3)] for i in range(64)
 
 @query(
     "score",
-    """select vec_id as sid, k, label % 2 as y, round(1 / (1 + exp(-dot)), 9) as score from (
+    """select vec_id as sid, k, label % 2 as y, round(1 / (1 + exp(-dot)), 6) as score from (
  select vec_id, label, k, sum(cast(x as double) * (((pos - 1) * 7 + k * 3) % 11 - 5) / 5) as dot from (
   select vec_id, label, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from embeddings), range(3) r(k)
  group by vec_id, label, k)""",
@@ -120,7 +120,7 @@ def _score(spark, d):
     samples = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("sid"), "embedding", F.array_repeat((F.col("label") % 2).cast("double"), 3).alias("targets")
     )
-    return rounded(ml.score(samples, model, 3, "sid", "targets"), 9, "score")
+    return rounded(ml.score(samples, model, 3, "sid", "targets"), 6, "score")
 
 
 @query("fit_multilabel")
@@ -147,9 +147,9 @@ def _fit(spark, d):
     "chip_features",
     with_views(
         "chips",
-        """select image as patch_id, round(avg(case when py = 0 then v end), 9) as row0_mean,
- round(stddev_pop(case when py = 0 then v end), 9) as row0_std, round(avg(case when py = 7 then v end), 9) as row7_mean,
- round(stddev_pop(case when py = 7 then v end), 9) as row7_std from chips group by image""",
+        """select image as patch_id, round(avg(case when py = 0 then v end), 6) as row0_mean,
+ round(stddev_pop(case when py = 0 then v end), 6) as row0_std, round(avg(case when py = 7 then v end), 6) as row7_mean,
+ round(stddev_pop(case when py = 7 then v end), 6) as row7_std from chips group by image""",
     ),
 )
 def _chip_features(spark, d):
@@ -157,7 +157,7 @@ def _chip_features(spark, d):
         F.col("image").alias("patch_id"), F.concat(F.lit("row"), "py").alias("image"), "v"
     )
     out = ml.chip_features(chips, ["row0", "row7"])
-    return rounded(out, 9, *[c for c in out.columns if c != "patch_id"])
+    return rounded(out, 6, *[c for c in out.columns if c != "patch_id"])
 
 
 # --- sinks, read back -----------------------------------------------------------

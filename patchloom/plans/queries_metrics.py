@@ -34,9 +34,9 @@ def logits(spark, d) -> DataFrame:
     return view(spark, d, "pred").withColumn("logit", F.expr(LOGIT))
 
 
-@query("sigmoid", with_views("pred", f"select sid, k, round(1e0 / (1e0 + exp(-({LOGIT}))), 9) as p from pred"))
+@query("sigmoid", with_views("pred", f"select sid, k, round(1e0 / (1e0 + exp(-({LOGIT}))), 6) as p from pred"))
 def _sigmoid(spark, d):
-    return logits(spark, d).select("sid", "k", F.round(sigmoid(F.col("logit")), 9).alias("p"))
+    return logits(spark, d).select("sid", "k", F.round(sigmoid(F.col("logit")), 6).alias("p"))
 
 
 @query(
@@ -60,19 +60,19 @@ BCE_SQL = f"select *, greatest({LOGIT}, 0) - {LOGIT} * y + ln(1 + exp(-abs({LOGI
 
 @query(
     "focal_loss_none",
-    with_views("pred", f"select sid, k, round(0.25 * {FOCAL_SQL}, 9) as loss from b", b=BCE_SQL),
+    with_views("pred", f"select sid, k, round(0.25 * {FOCAL_SQL}, 6) as loss from b", b=BCE_SQL),
 )
 def _focal_none(spark, d):
     out = M.focal_loss(logits(spark, d), 0.25, 2.0, "none")
-    return rounded(out.select("sid", "k", "loss"), 9, "loss")
+    return rounded(out.select("sid", "k", "loss"), 6, "loss")
 
 
 @query(
     "focal_loss_mean",
-    with_views("pred", f"select round(avg((0.25 + 0.25 * k) * {FOCAL_SQL}), 9) as loss from b", b=BCE_SQL),
+    with_views("pred", f"select round(avg((0.25 + 0.25 * k) * {FOCAL_SQL}), 6) as loss from b", b=BCE_SQL),
 )
 def _focal_mean(spark, d):
-    return rounded(M.focal_loss(logits(spark, d), ALPHA, 2.0, "mean"), 9, "loss")
+    return rounded(M.focal_loss(logits(spark, d), ALPHA, 2.0, "mean"), 6, "loss")
 
 
 @query(
@@ -87,7 +87,7 @@ def _focal_sum(spark, d):
     "epoch_metrics",
     with_views(
         "pred",
-        """select round(avg(l), 9) as loss, round(sum(c) * 100e0 / sum(n), 9) as accuracy, count(*) as batches
+        """select round(avg(l), 6) as loss, round(sum(c) * 100e0 / sum(n), 6) as accuracy, count(*) as batches
  from (select batch, avg(loss) as l, sum(c) as c, count(*) as n from j group by batch)""",
         b=BCE_SQL,
         o="select o_orderkey as sid, floor((row_number() over (order by o_orderkey) - 1) / 32) as batch from orders",
@@ -99,7 +99,7 @@ def _epoch(spark, d):
     samples = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("sid"))
     batches = assign_batches(samples, 32, "sid", drop_last=False)
     pred = logits(spark, d).withColumn("loss", focal_loss_element(F.col("logit"), F.col("y")))
-    return rounded(M.epoch_metrics(pred.join(batches, "sid")), 9, "loss", "accuracy")
+    return rounded(M.epoch_metrics(pred.join(batches, "sid")), 6, "loss", "accuracy")
 
 
 COUNTS_SQL = """select k, threshold, count(*) as n, sum(y) as targets,
@@ -126,8 +126,8 @@ AUC_SQL = """select k, (sum(case when y = 1 then r else 0 end) - sum(y) * (sum(y
     "label_metrics",
     with_views(
         "pred",
-        """select k, threshold, targets, predictions, tp, round(accuracy, 9) as accuracy,
- round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1 from l""",
+        """select k, threshold, targets, predictions, tp, round(accuracy, 6) as accuracy,
+ round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from l""",
         th=TH_SQL,
         c=COUNTS_SQL,
         l=LABEL_SQL,
@@ -136,41 +136,41 @@ AUC_SQL = """select k, (sum(case when y = 1 then r else 0 end) - sum(y) * (sum(y
 def _label(spark, d):
     th = M.thresholds_table(spark, THRESHOLDS)
     out = M.label_metrics(view(spark, d, "pred"), th)
-    return rounded(out, 9, "accuracy", "precision", "recall", "f1")
+    return rounded(out, 6, "accuracy", "precision", "recall", "f1")
 
 
-@query("auroc", with_views("pred", "select k, round(auroc, 9) as auroc from a", a=AUC_SQL))
+@query("auroc", with_views("pred", "select k, round(auroc, 6) as auroc from a", a=AUC_SQL))
 def _auroc(spark, d):
-    return rounded(M.auroc(view(spark, d, "pred")), 9, "auroc")
+    return rounded(M.auroc(view(spark, d, "pred")), 6, "auroc")
 
 
 @query(
     "average_precision",
-    with_views("pred", "select k, round(ap, 9) as ap from ap", s=CURVE_SQL, cu=CUM_SQL, ap=AP_SQL),
+    with_views("pred", "select k, round(ap, 6) as ap from ap", s=CURVE_SQL, cu=CUM_SQL, ap=AP_SQL),
 )
 def _ap(spark, d):
-    return rounded(M.average_precision(view(spark, d, "pred")), 9, "ap")
+    return rounded(M.average_precision(view(spark, d, "pred")), 6, "ap")
 
 
 @query(
     "pr_curve",
     with_views(
         "pred",
-        """select k, score as threshold, round(tp / (tp + fp), 9) as precision, round(tp / p, 9) as recall from cu
+        """select k, score as threshold, round(tp / (tp + fp), 6) as precision, round(tp / p, 6) as recall from cu
  union all select distinct k, null, 1e0, 0e0 from pred""",
         s=CURVE_SQL,
         cu=CUM_SQL,
     ),
 )
 def _pr(spark, d):
-    return rounded(M.pr_curve(view(spark, d, "pred")), 9, "precision", "recall")
+    return rounded(M.pr_curve(view(spark, d, "pred")), 6, "precision", "recall")
 
 
 @query(
     "roc_curve",
     with_views(
         "pred",
-        """select k, score as threshold, round(fp / n, 9) as fpr, round(tp / p, 9) as tpr from e
+        """select k, score as threshold, round(fp / n, 6) as fpr, round(tp / p, 6) as tpr from e
  where first or last or tp2 - 2 * tp + tp0 <> 0 or fp2 - 2 * fp + fp0 <> 0
  union all select distinct k, cast('inf' as double), 0e0, 0e0 from pred""",
         s=CURVE_SQL,
@@ -181,7 +181,7 @@ def _pr(spark, d):
     ),
 )
 def _roc(spark, d):
-    return rounded(M.roc_curve(view(spark, d, "pred")), 9, "fpr", "tpr")
+    return rounded(M.roc_curve(view(spark, d, "pred")), 6, "fpr", "tpr")
 
 
 TUNE_SQL = """select k, score as threshold, f1, row_number() over (partition by k order by f1 desc, score) as r
@@ -192,24 +192,24 @@ TUNE_SQL = """select k, score as threshold, f1, row_number() over (partition by
     "tune_thresholds",
     with_views(
         "pred",
-        "select k, threshold, round(f1, 9) as f1 from t where r = 1",
+        "select k, threshold, round(f1, 6) as f1 from t where r = 1",
         s=CURVE_SQL,
         cu=CUM_SQL,
         t=TUNE_SQL,
     ),
 )
 def _tune(spark, d):
-    return rounded(M.tune_thresholds(view(spark, d, "pred")), 9, "f1")
+    return rounded(M.tune_thresholds(view(spark, d, "pred")), 6, "f1")
 
 
 def _global_sql(ap: str) -> str:
     w = "sum({0} * targets) / sum(targets)"
-    return f"""select round(sum(accuracy * n) / sum(n), 9) as overall_accuracy,
- round(avg(precision), 9) as macro_precision, round(avg(recall), 9) as macro_recall, round(avg(f1), 9) as macro_f1,
- round({w.format('precision')}, 9) as weighted_precision, round({w.format('recall')}, 9) as weighted_recall,
- round({w.format('f1')}, 9) as weighted_f1, round(avg({ap}), 9) as macro_map, round({w.format(ap)}, 9) as weighted_map,
- round(1 - sum(accuracy * n) / sum(n), 9) as hamming_loss,
- round((select avg(ok) from su), 9) as subset_accuracy from l join ap using (k)"""
+    return f"""select round(sum(accuracy * n) / sum(n), 6) as overall_accuracy,
+ round(avg(precision), 6) as macro_precision, round(avg(recall), 6) as macro_recall, round(avg(f1), 6) as macro_f1,
+ round({w.format('precision')}, 6) as weighted_precision, round({w.format('recall')}, 6) as weighted_recall,
+ round({w.format('f1')}, 6) as weighted_f1, round(avg({ap}), 6) as macro_map, round({w.format(ap)}, 6) as weighted_map,
+ round(1 - sum(accuracy * n) / sum(n), 6) as hamming_loss,
+ round((select avg(ok) from su), 6) as subset_accuracy from l join ap using (k)"""
 
 
 GLOBAL = dict(
@@ -227,7 +227,7 @@ GLOBAL = dict(
 @query("global_metrics", with_views("pred", _global_sql("ap"), **GLOBAL))
 def _global(spark, d):
     out = M.global_metrics(view(spark, d, "pred"), M.thresholds_table(spark, THRESHOLDS))
-    return rounded(out, 9, *out.columns)
+    return rounded(out, 6, *out.columns)
 
 
 @query(
@@ -237,7 +237,7 @@ def _global(spark, d):
 def _global_compat(spark, d):
     th = M.thresholds_table(spark, THRESHOLDS)
     out = M.global_metrics(view(spark, d, "pred"), th, compat_map=True)
-    return rounded(out, 9, *out.columns)
+    return rounded(out, 6, *out.columns)
 
 
 NAME_SQL = "case k " + " ".join(f"when {k} then '{n}'" for k, n in NAMES.items()) + " end"
@@ -248,8 +248,8 @@ NAME_SQL = "case k " + " ".join(f"when {k} then '{n}'" for k, n in NAMES.items()
     with_views(
         "pred",
         f"""select {NAME_SQL} || ' (' || cast(round(threshold, 2) as varchar) || ')' as Class, targets as Targets,
- predictions as Predictions, round(accuracy, 9) as Accuracy, round(precision, 9) as Precision,
- round(recall, 9) as Recall, round(f1, 9) as F1, round(ap, 9) as AP, round(auroc, 9) as AUROC
+ predictions as Predictions, round(accuracy, 6) as Accuracy, round(precision, 6) as Precision,
+ round(recall, 6) as Recall, round(f1, 6) as F1, round(ap, 6) as AP, round(auroc, 6) as AUROC
  from l join ap using (k) join au using (k)""",
         th=TH_SQL,
         c=COUNTS_SQL,
@@ -262,7 +262,7 @@ NAME_SQL = "case k " + " ".join(f"when {k} then '{n}'" for k, n in NAMES.items()
 )
 def _report(spark, d):
     out = M.label_report(view(spark, d, "pred"), NAMES, M.thresholds_table(spark, THRESHOLDS))
-    return rounded(out, 9, "Accuracy", "Precision", "Recall", "F1", "AP", "AUROC")
+    return rounded(out, 6, "Accuracy", "Precision", "Recall", "F1", "AP", "AUROC")
 
 
 SHIFT_SQL = "select sid, k, y, (score * 7 + (sid * 13 + k) % 5) / 11 as score from pred"
@@ -272,7 +272,7 @@ SHIFT_SQL = "select sid, k, y, (score * 7 + (sid * 13 + k) % 5) / 11 as score fr
     "compare_domains",
     with_views(
         "pred",
-        """select k, round(a.auroc, 9) as in_domain, round(b.auroc, 9) as cross_domain,
+        """select k, round(a.auroc, 6) as in_domain, round(b.auroc, 6) as cross_domain,
  round(a.auroc - b.auroc, 3) as difference from a join b using (k)""",
         a=AUC_SQL,
         p2=SHIFT_SQL,
@@ -283,7 +283,7 @@ def _compare(spark, d):
     pred = view(spark, d, "pred")
     other = pred.withColumn("score", F.expr("(score * 7 + (sid * 13 + k) % 5) / 11"))
     out = M.compare_domains(M.auroc(pred), M.auroc(other))
-    return rounded(out, 9, "in_domain", "cross_domain")
+    return rounded(out, 6, "in_domain", "cross_domain")
 
 
 @query(

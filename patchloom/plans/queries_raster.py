@@ -36,38 +36,38 @@ def band_meta(spark, bands="ANR") -> DataFrame:
 
 @query(
     "channel_stats",
-    with_views("raster", "select band, count(v) as n, round(avg(v), 9) as mean, round(stddev_pop(v), 9) as std from raster group by band"),
+    with_views("raster", "select band, count(v) as n, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std from raster group by band"),
 )
 def _stats(spark, d):
-    return rounded(R.channel_stats(raster(spark, d), ["band"]), 9, "mean", "std")
+    return rounded(R.channel_stats(raster(spark, d), ["band"]), 6, "mean", "std")
 
 
 @query(
     "normalise",
     with_views(
         "raster",
-        """select band as image, px, py, round(case when band = 'A' then v else (v - mean) / std end, 9) as v
+        """select band as image, px, py, round(case when band = 'A' then v else (v - mean) / std end, 6) as v
  from raster join st using (band)""",
-        st="select band, round(avg(v), 9) as mean, round(stddev_pop(v), 9) as std from raster group by band",
+        st="select band, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std from raster group by band",
     ),
 )
 def _normalise(spark, d):
     pixels = raster(spark, d).withColumnRenamed("band", "image")
-    stats = rounded(R.channel_stats(pixels), 9, "mean", "std").where("image <> 'A'")
-    return rounded(D.normalise(pixels, stats), 9, "v")
+    stats = rounded(R.channel_stats(pixels), 6, "mean", "std").where("image <> 'A'")
+    return rounded(D.normalise(pixels, stats), 6, "v")
 
 
 @query(
     "minmax_scale",
     with_views(
         "chips",
-        """select image, px, py, round((v - lo) / nullif(hi - lo, 0), 9) as v from (
+        """select image, px, py, round((v - lo) / nullif(hi - lo, 0), 6) as v from (
  select *, min(v) over (partition by image) as lo, max(v) over (partition by image) as hi from chips)""",
     ),
 )
 def _minmax(spark, d):
     out = D.minmax_scale(view(spark, d, "chips").drop("label"))
-    return rounded(out, 9, "v")
+    return rounded(out, 6, "v")
 
 
 @query("scale_rgb", with_views("raster", "select band, px, py, round(v / 255e0, 12) as v from raster"))
@@ -210,13 +210,13 @@ def _clip(spark, d):
     "focal_mean",
     with_views(
         "raster",
-        """select band, px, py, round(avg(n.v), 9) as v from raster a join n using (band, px, py) group by band, px, py""",
+        """select band, px, py, round(avg(n.v), 6) as v from raster a join n using (band, px, py) group by band, px, py""",
         o="select dx - 1 as dx, dy - 1 as dy from range(3) x(dx), range(3) y(dy)",
         n="select band, px + dx as px, py + dy as py, v from raster, o",
     ),
 )
 def _focal_mean(spark, d):
-    return rounded(N.focal(raster(spark, d), 3, "mean"), 9, "v")
+    return rounded(N.focal(raster(spark, d), 3, "mean"), 6, "v")
 
 
 @query(
@@ -236,7 +236,7 @@ def _focal_max(spark, d):
     "focal_user_function",
     with_views(
         "chips",
-        """select a.image, a.px, a.py, round(sqrt(max((a.v - b.v) * (a.v - b.v))), 9) as v from chips a join o on true
+        """select a.image, a.px, a.py, round(sqrt(max((a.v - b.v) * (a.v - b.v))), 6) as v from chips a join o on true
  join chips b on b.image = a.image and b.px = a.px + dx and b.py = a.py + dy group by a.image, a.px, a.py""",
         o="select dx - 1 as dx, dy - 1 as dy from range(3) x(dx), range(3) y(dy)",
     ),
@@ -248,7 +248,7 @@ def _focal_user(spark, d):
         return np.nanmax(np.abs(w - w[:, w.shape[1] // 2 :][:, :1]), axis=1)
 
     chips = view(spark, d, "chips").drop("label")
-    return rounded(N.focal(chips, 3, largest_step, ["image"]), 9, "v")
+    return rounded(N.focal(chips, 3, largest_step, ["image"]), 6, "v")
 
 
 @query(
@@ -256,14 +256,14 @@ def _focal_user(spark, d):
     with_views(
         "chips",
         """select a.image, a.px, a.py, case when count(*) = 9 then round((sum(case when b.v < a.v then 1 else 0 end)
-  + (sum(case when b.v = a.v then 1 else 0 end) - 1) / 2) / 8 * 100, 9) end as v from chips a join o on true
+  + (sum(case when b.v = a.v then 1 else 0 end) - 1) / 2) / 8 * 100, 6) end as v from chips a join o on true
  join chips b on b.image = a.image and b.px = a.px + dx and b.py = a.py + dy group by a.image, a.px, a.py""",
         o="select dx - 1 as dx, dy - 1 as dy from range(3) x(dx), range(3) y(dy)",
     ),
 )
 def _ep(spark, d):
     chips = view(spark, d, "chips").drop("label")
-    return rounded(N.elevation_percentile(chips, 3, ["image"]), 9, "v")
+    return rounded(N.elevation_percentile(chips, 3, ["image"]), 6, "v")
 
 
 SIGMA = 1.0
@@ -275,7 +275,7 @@ WEIGHT_SQL = "select * from (values " + ", ".join(f"({o}, {w!r}::double)" for o,
     "gaussian",
     with_views(
         "raster",
-        """select y.band, y.px, y.py, round(sum(num * w) / sum(den * w), 9) as v from (
+        """select y.band, y.px, y.py, round(sum(num * w) / sum(den * w), 6) as v from (
   select r.band, r.px, r.py, case when r.py + o < 0 then -1 - r.py - o when r.py + o > 255 then 511 - r.py - o
    else r.py + o end as sy, w from raster r, wt) y
  join rows x on x.band = y.band and x.px = y.px and x.py = y.sy group by y.band, y.px, y.py""",
@@ -287,7 +287,7 @@ WEIGHT_SQL = "select * from (values " + ", ".join(f"({o}, {w!r}::double)" for o,
     ),
 )
 def _gaussian(spark, d):
-    return rounded(N.gaussian(raster(spark, d), GRID, SIGMA), 9, "v")
+    return rounded(N.gaussian(raster(spark, d), GRID, SIGMA), 6, "v")
 
 
 CUBIC = """case when abs(d) <= 1 then (1.5 * abs(d) - 2.5) * d * d + 1
@@ -298,7 +298,7 @@ CUBIC = """case when abs(d) <= 1 then (1.5 * abs(d) - 2.5) * d * d + 1
     "resample_cubic",
     with_views(
         "raster",
-        """select band, ox as px, oy as py, round(sum(wx * wy * v) / sum(wx * wy), 9) as v from (
+        """select band, ox as px, oy as py, round(sum(wx * wy * v) / sum(wx * wy), 6) as v from (
   select r.band, a.o as ox, b.o as oy, a.w as wx, b.w as wy, r.v, a.near as nx, b.near as ny, r.px, r.py
   from raster r join ax a on a.j = r.px join ax b on b.j = r.py)
  group by band, ox, oy having max(case when px = nx and py = ny then 1 else 0 end) = 1""",
@@ -308,14 +308,14 @@ CUBIC = """case when abs(d) <= 1 then (1.5 * abs(d) - 2.5) * d * d + 1
 )
 def _resample(spark, d):
     out, _ = N.resample(raster(spark, d), GRID, 8.0, "cubic", block=64)
-    return rounded(out, 9, "v")
+    return rounded(out, 6, "v")
 
 
 @query(
     "align",
     with_views(
         "raster",
-        """select band, ox as px, oy as py, round(sum(wx * wy * v) / sum(wx * wy), 9) as v from (
+        """select band, ox as px, oy as py, round(sum(wx * wy * v) / sum(wx * wy), 6) as v from (
   select r.band, a.o as ox, b.o as oy, a.w as wx, b.w as wy, r.v, a.near as nx, b.near as ny, r.px, r.py
   from raster r join ax a on a.j = r.px join ay b on b.j = r.py)
  group by band, ox, oy having max(case when px = nx and py = ny then 1 else 0 end) = 1 and sum(wx * wy) > 0""",
@@ -327,7 +327,7 @@ def _resample(spark, d):
 )
 def _align(spark, d):
     ref = R.Grid(102.0, 1320.0, 3.0, 300, 200)
-    return rounded(N.align(raster(spark, d), GRID, ref, block=64), 9, "v")
+    return rounded(N.align(raster(spark, d), GRID, ref, block=64), 6, "v")
 
 
 # --- patches of pixels --------------------------------------------------------------
@@ -419,12 +419,12 @@ AREA_PARTS = dict(g=BURN_GRID, u=CODED, sp=SPAN, ce=CELLS, rs=RASTER_SQL, ar=ARE
     "patch_areas",
     with_views(
         "units patches",
-        "select patch_id, " + ", ".join(f'round("{n}", 9) as "{n}"' for n in CLASS_NAMES) + " from ar",
+        "select patch_id, " + ", ".join(f'round("{n}", 6) as "{n}"' for n in CLASS_NAMES) + " from ar",
         **AREA_PARTS,
     ),
 )
 def _areas(spark, d):
-    return rounded(P.patch_areas(class_patches(spark, d), SEGMENT_CODES), 9, *CLASS_NAMES)
+    return rounded(P.patch_areas(class_patches(spark, d), SEGMENT_CODES), 6, *CLASS_NAMES)
 
 
 @query(
@@ -517,13 +517,13 @@ def _modalities(spark, d):
   select image as patch_id, string_agg(cast(cast(round((v - m) / s * 1000) as bigint) as varchar), ',' order by py, px) as vals
   from turned, st group by image) join (select vec_id, label from embeddings) e on e.vec_id = patch_id""",
         turned=TURNED,
-        st="select round(avg(v), 9) as m, round(stddev_pop(v), 9) as s from chips",
+        st="select round(avg(v), 6) as m, round(stddev_pop(v), 6) as s from chips",
     ),
 )
 def _assemble(spark, d):
     chips = view(spark, d, "chips")
     pixels = chips.select(F.col("image").alias("patch_id"), "px", "py", "v").withColumn("image", F.lit("one"))
-    stats = rounded(R.channel_stats(pixels, ["image"]), 9, "mean", "std")
+    stats = rounded(R.channel_stats(pixels, ["image"]), 6, "mean", "std")
     ids = pixels.select("patch_id").distinct()
     labels = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("patch_id"), "label")
     out = D.assemble(ids, pixels, {"single": ["one"]}, stats, labels, augment_seed=5)

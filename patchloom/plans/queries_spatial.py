@@ -125,13 +125,13 @@ def _tiles_aoi(spark, d):
     "to_crs",
     with_views(
         "patches",
-        f"""select pid, round({DEG.format('x0')}, 9) as x0, round({LAT.format('y0')}, 9) as y0,
- round({DEG.format('x1')}, 9) as x1, round({LAT.format('y1')}, 9) as y1 from patches""",
+        f"""select pid, round({DEG.format('x0')}, 6) as x0, round({LAT.format('y0')}, 6) as y0,
+ round({DEG.format('x1')}, 6) as x1, round({LAT.format('y1')}, 6) as y1 from patches""",
     ),
 )
 def _crs(spark, d):
     out = to_crs(view(spark, d, "patches"), "EPSG:3857", "EPSG:4326", geom=None)
-    return rounded(out.select("pid", "x0", "y0", "x1", "y1"), 9, "x0", "y0", "x1", "y1")
+    return rounded(out.select("pid", "x0", "y0", "x1", "y1"), 6, "x0", "y0", "x1", "y1")
 
 
 @query(

@@ -189,7 +189,7 @@ def _hist_counts(spark, d):
     "area_histogram",
     with_views(
         "class_area",
-        """select unit, bin, count(*) as n, round(count(*) * 100e0 / any_value(t), 9) as percent from (
+        """select unit, bin, count(*) as n, round(count(*) * 100e0 / any_value(t), 6) as percent from (
  select unit, len(list_filter(range(0, 10), lambda i: proportion >= lo + i * ((hi - lo) / 10))) as bin, t from (
   select *, min(proportion) over (partition by unit) as lo, max(proportion) over (partition by unit) as hi,
    count(*) over (partition by unit) as t from m)) group by unit, bin""",
@@ -200,16 +200,16 @@ def _hist_counts(spark, d):
 )
 def _area_hist(spark, d):
     long = T.to_long(shares(spark, d), ["patch"])
-    return rounded(L.histogram(long), 9, "percent")
+    return rounded(L.histogram(long), 6, "percent")
 
 
 @query(
     "box_stats",
     with_views(
         "class_area",
-        """select unit, any_value(n) as n, round(any_value(q1), 9) as q1, round(any_value(med), 9) as median,
- round(any_value(q3), 9) as q3, round(min(case when proportion >= q1 - 1.5 * (q3 - q1) then proportion end), 9) as whisker_low,
- round(max(case when proportion <= q3 + 1.5 * (q3 - q1) then proportion end), 9) as whisker_high from m join q using (unit) group by unit""",
+        """select unit, any_value(n) as n, round(any_value(q1), 6) as q1, round(any_value(med), 6) as median,
+ round(any_value(q3), 6) as q3, round(min(case when proportion >= q1 - 1.5 * (q3 - q1) then proportion end), 6) as whisker_low,
+ round(max(case when proportion <= q3 + 1.5 * (q3 - q1) then proportion end), 6) as whisker_high from m join q using (unit) group by unit""",
         wide=WIDE,
         s=SHARES,
         m=f"unpivot s on {QUOTED} into name unit value proportion",
@@ -219,21 +219,21 @@ def _area_hist(spark, d):
 )
 def _box(spark, d):
     out = L.box_stats(T.to_long(shares(spark, d), ["patch"]))
-    return rounded(out, 9, "q1", "median", "q3", "whisker_low", "whisker_high")
+    return rounded(out, 6, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
 @query(
     "to_long",
     with_views(
         "class_area",
-        "select patch, unit, round(proportion, 9) as proportion from m",
+        "select patch, unit, round(proportion, 6) as proportion from m",
         wide=WIDE,
         s=SHARES,
         m=f"unpivot s on {QUOTED} into name unit value proportion",
     ),
 )
 def _long(spark, d):
-    return rounded(T.to_long(shares(spark, d), ["patch"]), 9, "proportion")
+    return rounded(T.to_long(shares(spark, d), ["patch"]), 6, "proportion")
 
 
 @query(
@@ -268,18 +268,18 @@ def _weights_sql(body: str) -> str:
 
 @query(
     "class_weights",
-    _weights_sql("select class, round(sqrt(w) / sum(sqrt(w)) over (), 9) as weight from w"),
+    _weights_sql("select class, round(sqrt(w) / sum(sqrt(w)) over (), 6) as weight from w"),
 )
 def _weights(spark, d):
-    return rounded(L.class_weights(presence(spark, d), CLASSES), 9, "weight")
+    return rounded(L.class_weights(presence(spark, d), CLASSES), 6, "weight")
 
 
 @query(
     "class_weights_scale_first",
-    _weights_sql("select class, round(sqrt(w / sum(w) over ()), 9) as weight from w"),
+    _weights_sql("select class, round(sqrt(w / sum(w) over ()), 6) as weight from w"),
 )
 def _weights_first(spark, d):
-    return rounded(L.class_weights(presence(spark, d), CLASSES, scale_first=True), 9, "weight")
+    return rounded(L.class_weights(presence(spark, d), CLASSES, scale_first=True), 6, "weight")
 
 
 SPLIT = """select c_custkey as patch, case when c_acctbal < 0 then 'test' when c_acctbal < 2000 then 'val' else 'train' end
@@ -310,7 +310,7 @@ def _dist_counts(spark, d):
     "class_distribution_areas",
     with_views(
         "class_area",
-        "select split, patch, unit, round(proportion, 9) as proportion from m join sp using (patch)",
+        "select split, patch, unit, round(proportion, 6) as proportion from m join sp using (patch)",
         wide=WIDE,
         s=SHARES,
         m=f"unpivot s on {QUOTED} into name unit value proportion",
@@ -319,7 +319,7 @@ def _dist_counts(spark, d):
 )
 def _dist_areas(spark, d):
     _, areas = L.class_distribution(splits(spark, d), presence(spark, d), shares(spark, d), CLASSES, on="patch")
-    return rounded(areas, 9, "proportion")
+    return rounded(areas, 6, "proportion")
 
 
 @query(
@@ -386,9 +386,9 @@ def _oversample(spark, d):
     "norm_params",
     with_views(
         "raster",
-        """select 'rn' as modality, [round((select m from s where path = 'R'), 9), round((select m from s where path = 'N'), 9)] as means,
- [round((select d from s where path = 'R'), 9), round((select d from s where path = 'N'), 9)] as stds
- union all select 'a', [round((select m from s where path = 'A'), 9)], [round((select d from s where path = 'A'), 9)]""",
+        """select 'rn' as modality, [round((select m from s where path = 'R'), 6), round((select m from s where path = 'N'), 6)] as means,
+ [round((select d from s where path = 'R'), 6), round((select d from s where path = 'N'), 6)] as stds
+ union all select 'a', [round((select m from s where path = 'A'), 6)], [round((select d from s where path = 'A'), 6)]""",
         s="select band as path, avg(v) as m, stddev_pop(v) as d from raster group by band",
     ),
 )
@@ -396,5 +396,5 @@ def _norm(spark, d):
     from patchloom.operators.raster import channel_stats
 
     stats = channel_stats(view(spark, d, "raster"), ["band"]).withColumnRenamed("band", "path")
-    out = T.norm_params(rounded(stats, 9, "mean", "std"), {"rn": ["R", "N"], "a": ["A"]})
+    out = T.norm_params(rounded(stats, 6, "mean", "std"), {"rn": ["R", "N"], "a": ["A"]})
     return out

@@ -89,7 +89,7 @@ New best model saved with accuracy 81.00%...
 
 
 def test_training_log(spark, tmp_path):
-    (tmp_path / "training_output.txt").write_text(LOG)
+    (tmp_path / "run.txt").write_text(LOG)
     df = logs.read_training_log(spark, str(tmp_path / "*.txt"))
     rows = {r["epoch"]: r for r in df.collect()}
     assert sorted(rows) == [1, 2, 3]
