@@ -166,14 +166,20 @@ def channel_stats(pixels: DataFrame, by: Sequence[str] = ("image",)) -> DataFram
 
 
 def mosaic(
-    pixels: DataFrame, meta: DataFrame, order: str = "tile_order", res: float | None = None
+    pixels: DataFrame,
+    meta: DataFrame,
+    order: str = "tile_order",
+    band: str | int | None = None,
+    res: float | None = None,
 ) -> tuple[DataFrame, Grid]:
     """Put tiles of one band on a common grid; the first tile with a value wins.
 
     ``meta`` has ``(image, left, top, res, width, height, <order>)`` and tiles
-    share one resolution.  The band is selected before.  With ``res`` the mosaic
-    is resampled (bilinear).
+    share one resolution.  ``band`` picks one value of the ``band`` column.  With
+    ``res`` the mosaic is resampled (bilinear).
     """
+    if band is not None:
+        pixels = pixels.where(F.col("band") == band)
     ends = meta.agg(
         F.min("left").alias("left"),
         F.max("top").alias("top"),

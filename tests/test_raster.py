@@ -203,6 +203,10 @@ def test_burn_and_mosaic(spark):
     out, grid = R.mosaic(tiles, meta)
     assert (grid.width, grid.height) == (3, 2)
     np.testing.assert_array_equal(dense(out, (2, 3)), [[1, 1, 2], [1, 1, 2]])
+    bands = tiles.withColumn("band", F.lit(1)).unionByName(tiles.withColumns({"band": F.lit(2), "v": F.lit(9.0)}))
+    out, grid = R.mosaic(bands, meta, band=1, res=0.5)
+    assert (grid.res, grid.width, grid.height) == (0.5, 6, 4)
+    np.testing.assert_allclose(dense(out, (4, 6)), [[1, 1, 1, 1.25, 1.75, 2]] * 4)
 
 
 def test_clip_raster_polygon(spark):
