@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from patchloom.session import written
 
@@ -44,3 +46,41 @@ def components(edges: DataFrame) -> DataFrame:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = links.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def add_columns(docs: DataFrame, inputs: list[str], ddl: str, start, rows: int = 256) -> DataFrame:
+    """``docs`` with columns computed from Arrow batches.
+
+    ``start()`` is called once per task and returns a function from the lists of
+    the ``inputs`` columns to the new columns' values, in the order of ``ddl``.
+    Columns of the same name are replaced. Batches are cut to ``rows`` rows, so
+    that what Python holds beside the texts stays small.
+    """
+    added = T.StructType.fromDDL(ddl)
+    docs = docs.drop(*(f.name for f in added if f.name not in inputs))
+    kept = [f for f in docs.schema if f.name not in added.names]
+    schema = T.StructType(kept + added.fields)
+    names, types = [f.name for f in kept], [f.type for f in to_arrow_schema(added)]
+
+    def run(batches):
+        make = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                found = make(*(part.column(c).to_pylist() for c in inputs))
+                new = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(found, types)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *new], names + added.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def span_list(spans: Column | str, kinds: tuple[str, ...], keep=None) -> Column:
+    """``kind:start:end`` of all spans, comma-joined; ``keep`` chooses among them."""
+    spans = F.col(spans) if isinstance(spans, str) else spans
+    names = F.array(*(F.lit(k) for k in kinds))
+    spans = spans if keep is None else F.filter(spans, keep)
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
+
+
+def count_kind(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import chat, mixing
-from patchloom.llm.common import table
+from patchloom.llm import chat, mixing, secret_scan
+from patchloom.llm.common import count_kind, span_list, table
 from patchloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,18 @@ from times, range(1, 400) r(copy) where copy <= times
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, mixed with source shares in proportion to the root of their sizes."""
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; ``n_live`` and ``n_copied`` say how ownership judges them."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = span_list("spans", secret_scan.KINDS, lambda x: x["kind"] < 3)
+    return found.select(
+        "doc_id",
+        *(count_kind("spans", i).alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:3])),
+        F.sha2(base, 256).alias("base_sha256"),
+        span_list("spans", secret_scan.KINDS).alias("spans"),
+        F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda x: ~x["live"] & (x["owners"] > 1))).cast("long").alias("n_copied"),
+    )
