@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import chat, mixing, secret_scan
+from patchloom.llm import chat, mixing, piece_bpe, secret_scan
 from patchloom.llm.common import count_kind, span_list, table
 from patchloom.session import ship_package
 
@@ -104,3 +105,14 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda x: ~x["live"] & (x["owners"] > 1))).cast("long").alias("n_copied"),
     )
+
+
+@register()
+def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded texts of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = piece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
