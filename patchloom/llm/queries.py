@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import chat, mixing, piece_bpe, secret_scan
+from patchloom.llm import chat, language, mixing, piece_bpe, secret_scan
 from patchloom.llm.common import count_kind, span_list, table
 from patchloom.session import ship_package
 
@@ -116,3 +116,14 @@ def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    learned = language.learn(docs.where(~language.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    found = language.predict(docs.select("doc_id", "text"), learned)
+    return found.select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte"
+    )
