@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import chat, language, mixing, piece_bpe, secret_scan
+from patchloom.llm import chat, language, mixing, pii, piece_bpe, secret_scan
 from patchloom.llm.common import count_kind, span_list, table
 from patchloom.session import ship_package
 
@@ -127,3 +127,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte"
     )
+
+
+@register()
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = [F.size(F.filter("spans", lambda x, i=i: x["base"] & (x["kind"] == i))) for i in range(len(pii.KINDS))]
+    return found.select(
+        "doc_id",
+        *(n.cast("long").alias(f"n_{k}") for n, k in zip(base, pii.KINDS)),
+        F.sha2(span_list("spans", pii.KINDS, lambda x: x["base"]), 256).alias("base_sha256"),
+        span_list("spans", pii.KINDS).alias("spans"),
+    )
