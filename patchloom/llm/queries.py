@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import chat, language, mixing, pii, piece_bpe, secret_scan
+from patchloom.llm import chat, language, mixing, pii, piece_bpe, secret_scan, topk
 from patchloom.llm.common import count_kind, span_list, table
 from patchloom.session import ship_package
 
@@ -140,3 +140,22 @@ def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_list("spans", pii.KINDS, lambda x: x["base"]), 256).alias("base_sha256"),
         span_list("spans", pii.KINDS).alias("spans"),
     )
+
+
+@register("""
+with ok as (
+    select vec_id, list_transform(embedding, lambda x: floor(x :: double * 64)) as x from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score
+    from ok q join ok c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+), ranked as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+    from scored
+)
+select * from ranked where rank <= 20
+""")
+def op9_topk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantise(F.col("embedding")).alias("x"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
