@@ -132,9 +132,12 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, nodes: int = MAX_NODES) -> l
     ``nodes`` sequences per language come to the driver.
     """
     docs = docs.where("lang is not null and text is not null")
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = docs.groupBy("lang").count().collect()  # a row per language
+    if not sizes:
+        return []
+    size = F.create_map(*(F.lit(v) for r in sizes for v in r))[F.col("lang")]
     place = F.pmod(F.xxhash64("doc_id", F.lit(71)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.join(sizes, "lang").where(place * F.col("n") < rows).select("lang", "text")
+    chosen = docs.where(place * size < rows).select("lang", "text")
 
     def count(batches):
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import chat, language, mixing, pii, piece_bpe, secret_scan, topk
+from patchloom.llm import chat, language, mixing, near_vectors, pii, piece_bpe, secret_scan, topk
 from patchloom.llm.common import count_kind, span_list, table
 from patchloom.session import ship_package
 
@@ -159,3 +159,27 @@ def op9_topk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every twentieth vector with all others."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantise(F.col("embedding")).alias("x"))
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+@register("""
+with recursive ok as (
+    select vec_id, list_transform(embedding, lambda v: v :: double) as x from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0
+    and len(list_filter(embedding, lambda v: v <> 0)) > 0
+), links as materialized (
+    select a.vec_id as u, b.vec_id as v from ok a join ok b on a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+    where list_cosine_similarity(a.x, b.x) >= 0.95
+), reach as (
+    select vec_id as node, vec_id as seen from embeddings
+    union
+    select r.node, l.v from reach r join links l on l.u = r.seen
+), parts as (
+    select node, min(seen) as component_id from reach group by node
+)
+select e.vec_id, (select count(*) from links l where l.u = e.vec_id) as n_links, p.component_id,
+    e.vec_id = p.component_id as kept
+from embeddings e join parts p on p.node = e.vec_id
+""")
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and representatives of all vectors at cosine 0.95."""
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
