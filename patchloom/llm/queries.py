@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import chat, language, mixing, near_vectors, pii, piece_bpe, secret_scan, topk
+from patchloom.llm import chat, language, mixing, near_texts, near_vectors, pii, piece_bpe, secret_scan, topk
 from patchloom.llm.common import count_kind, span_list, table
 from patchloom.session import ship_package
 
@@ -183,3 +183,36 @@ from embeddings e join parts p on p.node = e.vec_id
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, components and representatives of all vectors at cosine 0.95."""
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register("""
+with recursive words as (
+    select doc_id, list_filter(regexp_split_to_array(lower_ascii, '[ \\x09-\\x0D]+'), lambda w: w <> '') as w
+    from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_ascii from documents)
+), sets as materialized (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 2 then [w[1]]
+        else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
+    from words
+), items as materialized (
+    select doc_id, len(s) as n, unnest(s) as item from sets
+), counted as (
+    select a.doc_id as u, b.doc_id as v, a.n as n, b.n as m, count(*) as c
+    from items a join items b on a.item = b.item and a.doc_id < b.doc_id
+    where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    group by all
+), links as materialized (
+    select u, v from counted where 100 * c >= 80 * (n + m - c)
+    union all select v, u from counted where 100 * c >= 80 * (n + m - c)
+), reach as (
+    select doc_id as node, doc_id as seen from documents
+    union
+    select r.node, l.v from reach r join links l on l.u = r.seen
+), parts as (
+    select node, min(seen) as component_id from reach group by node
+)
+select s.doc_id, len(s.s) as n_shingles, p.component_id, s.doc_id = p.component_id as kept
+from sets s join parts p on p.node = s.doc_id
+""")
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents on two-word shingles."""
+    return near_texts.near_texts(table(spark, sf_dir, "documents"), size=2)
