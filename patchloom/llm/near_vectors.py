@@ -18,8 +18,8 @@ from patchloom.session import written
 
 #: Vectors that the centroids are fitted on at most (by a hash of the id), vectors meant for a cell, and most cells.
 SAMPLE_ROWS, CELL_ROWS, MAX_CELLS = 20_000, 2048, 1024
-#: Rows of a block; a task compares two blocks of a cell.
-BLOCK_ROWS = 1024
+#: Rows of a block; a task compares two blocks of rows at home, or one with so many blocks of guests.
+BLOCK_ROWS, GUESTS = 2048, 2
 STEPS = 12
 
 
@@ -53,35 +53,33 @@ def unit(flat: np.ndarray, rows: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def compare(x, cell, block, home, inside, copies, least: float):
-    """Links among the rows of one or two blocks of a cell.
+def compare(a, b, least: float, same: bool, elsewhere=None):
+    """Which rows of ``a`` and ``b`` link, as a matrix.
 
-    Returns for each row the number of copies it is linked with, and the first row
-    of its part of the graph. Rows of different blocks are compared if there are two.
-    A link between a guest and a row at home is also seen in the guest's home if
-    the other visits there; it counts in the cell with the smaller number.
+    ``same`` says that both are one block of rows. ``elsewhere`` marks the pairs that
+    count in another cell.
     """
-    ok = x @ x.T >= least
-    np.fill_diagonal(ok, False)
-    if block.min() != block.max():
-        ok &= block[:, None] != block
-    guest = home != cell
-    if guest.any():
-        ok &= ~(guest[:, None] & guest)
-        elsewhere = inside[:, home].T & (guest & (home < cell))[:, None]  # guest i, row j
-        ok &= ~(elsewhere | elsewhere.T)
-    links = ok @ copies
-    root, fresh = np.arange(len(x)), links > 0
+    ok = a @ b.T >= least
+    if same:
+        np.fill_diagonal(ok, False)
+    return ok if elsewhere is None else ok & ~elsewhere
+
+
+def parts_of(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row number of the left side for every left and right row: the first of its part of the graph, or -1."""
+    left, right = np.full(ok.shape[0], -1), np.full(ok.shape[1], -1)
+    fresh = ok.any(1)
     while fresh.any():
-        i = int(fresh.argmax())
-        part = front = np.zeros(len(x), bool)
-        part[i] = True
-        while front.any():
-            front = ok[front].any(0) & ~part
-            part = part | front
-        root[part] = i
-        fresh &= ~part
-    return links, root
+        root = int(fresh.argmax())
+        rows = np.zeros(len(left), bool)
+        rows[root] = True
+        while rows.any():
+            left[rows] = root
+            columns = ok[rows].any(0) & (right < 0)
+            right[columns] = root
+            rows = ok[:, columns].any(1) & (left < 0)
+        fresh &= left < 0
+    return left, right
 
 
 def near_vectors(
@@ -101,7 +99,7 @@ def near_vectors(
     of at most ``SAMPLE_ROWS`` vectors per length; they decide on work, not on links.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    rows = vectors.select("vec_id", F.col("embedding").alias("x"))
     rows = rows.where("vec_id is not null").dropDuplicates(["vec_id"])
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     valid = rows.where(F.col("x").isNotNull() & ~bad & F.exists("x", lambda v: v != 0))
@@ -129,8 +127,8 @@ def near_vectors(
                 dims = part.column(2).to_numpy()
                 for dim in np.unique(dims):
                     one = part.filter(pa.array(dims == dim))
-                    c, lists = shared.value[dim], one.column(1)
-                    home, inside = cells_of(unit(lists.flatten().to_numpy(), one.num_rows), c, margin)
+                    lists = one.column(1)
+                    home, inside = cells_of(unit(lists.flatten().to_numpy(), one.num_rows), shared.value[dim], margin)
                     row, cell = np.nonzero(inside)
                     visits = pa.array([np.flatnonzero(v).tolist() for v in inside], pa.list_(pa.int32()))
                     taken = pa.array(row)
@@ -141,32 +139,56 @@ def near_vectors(
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "dim int, cell int, vec_id long, copies long, home int, visits array<int>, x array<double>"
+    kind = reps.schema["x"].dataType.simpleString()
+    schema = f"dim int, cell int, vec_id long, copies long, home int, visits array<int>, x {kind}"
     dealt = reps.select("vec_id", "x", "dim", "copies").mapInArrow(deal, schema)
-    dealt = written(dealt)
-    blocks = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    placed = dealt.join(blocks, ["dim", "cell"]).withColumn(
-        "block", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("blocks")).cast("int")
+    at_home = F.col("home") == F.col("cell")
+    sizes = dealt.groupBy("dim", "cell").agg(
+        F.ceil(F.count_if(at_home) / block_rows).cast("int").alias("homes"),
+        F.ceil(F.count_if(~at_home) / (GUESTS * block_rows)).cast("int").alias("guests"),
+    )
+    sizes = written(sizes.where("homes > 0"))  # a row per cell
+    n = F.when(at_home, F.col("homes")).otherwise(F.col("guests"))
+    placed = dealt.join(sizes, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(4)), n).cast("int"))
+    block, homes = F.col("block"), F.col("homes")
+    as_home = F.transform(
+        F.sequence(F.lit(0), homes + F.col("guests") - 1),
+        lambda i: F.struct(
+            F.when(i < homes, F.greatest(block, i)).otherwise(block).alias("one"),
+            F.when(i < homes, F.least(block, i)).otherwise(i).alias("two"),
+            ((i <= block) | (i >= homes)).alias("first"),
+        ),
+    )
+    as_guest = F.transform(
+        F.sequence(F.lit(0), homes - 1),
+        lambda i: F.struct(i.alias("one"), (homes + block).alias("two"), F.lit(False).alias("first")),
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = placed.select("*", other.alias("other"))
-    paired = paired.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    paired = placed.withColumn("p", F.explode(F.when(at_home, as_home).otherwise(as_guest)))
+    paired = paired.select("dim", "cell", "p.*", "vec_id", "copies", "home", "visits", "x")
 
     def run(key, t):
-        m = t.num_rows
-        x = unit(t.column("x").combine_chunks().flatten().to_numpy(), m)
-        cell, ids = key[1].as_py(), t.column("vec_id").to_numpy()
-        order = np.argsort(ids)
-        inside = np.zeros((m, len(shared.value[key[0].as_py()])), bool)
-        visits = t.column("visits").combine_chunks()
-        inside[np.repeat(np.arange(m), visits.value_lengths().to_numpy()), visits.flatten().to_numpy()] = True
-        take = [t.column(c).to_numpy()[order] for c in ("block", "home", "copies")]
-        links, root = compare(x[order], cell, take[0], take[1], inside[order], take[2], least)
-        ids = ids[order]
-        some = links > 0
-        return pa.table({"vec_id": ids[some], "links": links[some].astype(np.int64), "root": ids[root[some]]})
-
-    found = paired.groupBy("dim", "cell", "low", "high").applyInArrow(run, "vec_id long, links long, root long")
+        cell, one, two = (v.as_py() for v in key[1:])
+        first = t.column("first").to_numpy()
+        order = np.argsort(t.column("vec_id").to_numpy(), kind="stable")
+        a, b = order[first[order]], order[~first[order]]
+        same = one == two
+        b = a if same else b
+        x = unit(t.column("x").combine_chunks().flatten().to_numpy(), t.num_rows)
+        ids, copies, home = (t.column(c).to_numpy() for c in ("vec_id", "copies", "home"))
+        elsewhere = None
+        if len(b) and home[b[0]] != cell:  # guests: does a row at home visit their home, and is that to count it?
+            visits = t.column("visits").combine_chunks()
+            inside = np.zeros((t.num_rows, len(shared.value[key[0].as_py()])), bool)
+            inside[np.repeat(np.arange(t.num_rows), visits.value_lengths().to_numpy()), visits.flatten().to_numpy()] = True
+            elsewhere = inside[np.ix_(a, home[b])] & (home[b] < cell)
+        ok = compare(x[a], x[b], least, same, elsewhere)
+        left, right = parts_of(ok)
+        sides = [(a, ok @ copies[b], left), (b, ok.T @ copies[a] * (not same), right)]
+        out = [(ids[side][root >= 0], n[root >= 0], ids[a[root[root >= 0]]]) for side, n, root in sides]
+        return pa.table(dict(zip(("vec_id", "links", "root"), map(np.concatenate, zip(*out)))))
+
+    schema = "vec_id long, links long, root long"
+    found = paired.groupBy("dim", "cell", "one", "two").applyInArrow(run, schema)
     found = written(found)
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
