@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import chat, language, mixing, near_texts, near_vectors, pii, piece_bpe, secret_scan, topk
+from patchloom.llm import chat, language, mixing, near_texts, near_vectors, pii, piece_bpe, repeats, secret_scan, topk
 from patchloom.llm.common import count_kind, span_list, table
 from patchloom.session import ship_package
 
@@ -216,3 +216,27 @@ from sets s join parts p on p.node = s.doc_id
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents on two-word shingles."""
     return near_texts.near_texts(table(spark, sf_dir, "documents"), size=2)
+
+
+@register("""
+with words as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda w: w <> '') as w from documents
+), windows as materialized (
+    select doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) as h
+    from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from words where len(w) >= 35)
+), again as (
+    select h from windows group by h having count(*) > 1
+), gone as (
+    select distinct doc_id, i + j as p from windows join again using (h), range(0, 35) t(j)
+), placed as (
+    select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from words
+)
+select d.doc_id, len(d.w) as n_words, len(d.w) - count(p.word) filter (g.p is null) as n_removed,
+    sha256(coalesce(string_agg(p.word, ' ' order by p.p) filter (g.p is null), '')) as kept_sha256
+from words d left join placed p on p.doc_id = d.doc_id left join gone g on g.doc_id = p.doc_id and g.p = p.p
+group by d.doc_id, d.w
+""")
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words that a repeated window of 35 words covers."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
