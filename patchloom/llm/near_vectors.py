@@ -21,6 +21,8 @@ SAMPLE_ROWS, CELL_ROWS, MAX_CELLS = 20_000, 2048, 1024
 #: Rows of a block; a task compares two blocks of rows at home, or one with so many blocks of guests.
 BLOCK_ROWS, GUESTS = 2048, 2
 STEPS = 12
+#: Cells that a vector is in on average at most; if it were more with more cells, there are fewer and larger ones.
+MOST_VISITS = 4.0
 
 
 def fit(x: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
@@ -36,6 +38,17 @@ def fit(x: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
+def choose(x: np.ndarray, most: int, margin: float) -> np.ndarray:
+    """Centroids in number a power of two up to ``most``, as many as keep visits of the sample ``x`` rare."""
+    best, k = fit(x, 1), 2
+    while k <= most:
+        more = fit(x, k)
+        if cells_of(x, more, margin)[1].sum(1).mean() > MOST_VISITS:
+            break
+        best, k = more, 2 * k
+    return best
+
+
 def cells_of(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each unit vector, and which cells it is in (rows x cells), its home among them."""
     dot = x @ c.T
@@ -116,7 +129,7 @@ def near_vectors(
         some = reps.where((F.col("dim") == dim) & (place * n < SAMPLE_ROWS)).orderBy("vec_id").limit(SAMPLE_ROWS)
         got = some.select("x").toPandas()["x"].to_list() or reps.where(F.col("dim") == dim).limit(1).toPandas()["x"].to_list()
         x = unit(np.concatenate(got), len(got))
-        centroids[dim] = fit(x, min(max(1, n // cell_rows), MAX_CELLS))
+        centroids[dim] = choose(x, min(n // cell_rows, MAX_CELLS), margin)
     shared = spark.sparkContext.broadcast(centroids)
 
     def deal(batches):
