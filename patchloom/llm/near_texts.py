@@ -268,6 +268,7 @@ def near_texts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     banded = rows.join(chosen, F.col("doc_id") == F.col("rep"), "left_semi")
     banded = banded.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")).distinct()
     buckets = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("k")).where("k > 1")
+    buckets = written(buckets)  # so that the join below is free to split a large bucket
     full = written(banded.join(buckets, "band").select("band", "rep", "hub"))
     sets = written(_sets(docs, full.select("rep").distinct(), size))
 

@@ -121,8 +121,8 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _sketch(docs: DataFrame, size: int, places: bool) -> DataFrame:
-    """A row per region: anchor, and with ``places`` also content (a hash of its words), key, lo, n."""
+def _sketch(docs: DataFrame, size: int) -> DataFrame:
+    """A row per region: anchor, content (a hash of its words), key, lo, n."""
 
     def run(batches):
         for batch in batches:
@@ -132,20 +132,14 @@ def _sketch(docs: DataFrame, size: int, places: bool) -> DataFrame:
                 for i, text in enumerate(part.column(1).to_pylist()):
                     w = word_hashes(text)
                     anchor, lo, n = regions(w, size)
-                    content = []
-                    if places:
-                        data, ends = w.tobytes(), lo + n + size - 1
-                        content = [xxhash.xxh3_64_intdigest(data[8 * a : 8 * b]) for a, b in zip(lo.tolist(), ends.tolist())]
+                    data, ends = w.tobytes(), lo + n + size - 1
+                    content = [xxhash.xxh3_64_intdigest(data[8 * a : 8 * b]) for a, b in zip(lo.tolist(), ends.tolist())]
                     found.append((anchor, np.array(content, np.uint64), np.full(len(lo), keys[i]), lo, n))
-                columns = [np.concatenate(c) for c in zip(*found)]
-                out = [pa.array(columns[0].view(np.int64))]
-                if places:
-                    out += [pa.array(columns[1].view(np.int64)), pa.array(columns[2])]
-                    out += [pa.array(c.astype(np.int32)) for c in columns[3:]]
-                yield pa.RecordBatch.from_arrays(out, names[: len(out)])
-
-    names = ["anchor", "content", "key", "lo", "n"]
-    schema = "anchor long, content long, key long, lo int, n int" if places else "anchor long"
+                anchor, content, key, lo, n = (np.concatenate(c) for c in zip(*found))
+                columns = [anchor.view(np.int64), content.view(np.int64), key, lo.astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["anchor", "content", "key", "lo", "n"])
+
+    schema = "anchor long, content long, key long, lo int, n int"
     return docs.select(_key().alias("key"), "text").mapInArrow(run, schema)
 
 
@@ -197,8 +191,10 @@ def _count_shards(reference: DataFrame, size: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     """Word ranges that repeated windows cover: key (hash of doc_id and text), spans (start, end)."""
-    counts = _sketch(docs, size, False).groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    places = written(_sketch(docs, size, True).join(counts, "anchor"))
+    sketch = written(_sketch(docs, size))
+    counts = sketch.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    counts = written(counts)  # so that the join below is free to split a frequent anchor
+    places = written(sketch.join(counts, "anchor"))
     kinds = places.groupBy("anchor", "content").agg(
         F.count("*").alias("weight"), F.min(F.struct("key", "lo", "n")).alias("at")
     )
