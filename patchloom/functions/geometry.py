@@ -22,6 +22,20 @@ def bbox(df: DataFrame, geom: str = "geom") -> DataFrame:
     )
 
 
+def area(geom: str = "geom") -> Column:
+    """Area covered by rings that run one way round their polygon and the other way round its holes."""
+
+    def ring(r: Column) -> Column:
+        steps = F.zip_with(
+            F.slice(r, 1, F.size(r) - 1),
+            F.slice(r, F.lit(2), F.size(r) - 1),
+            lambda a, b: (a[0] * b[1] - b[0] * a[1]) / 2,
+        )
+        return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
+
+    return F.abs(F.aggregate(F.flatten(geom), F.lit(0.0), lambda s, r: s + ring(r)))
+
+
 def explode_parts(df: DataFrame, geom: str = "geom") -> DataFrame:
     """One row per polygon of a multi-part geometry; ``part`` is its position.
 

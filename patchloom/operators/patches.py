@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchloom.functions.scalar import CLASS_CODES
 from patchloom.operators.lookup import attach
-from patchloom.operators.spatial import cells, sized_cells, spatial_join
+from patchloom.operators.spatial import area_joiner, sized_cells, spatial_join
 
 
 def make_patches(
@@ -20,6 +20,9 @@ def make_patches(
 ) -> DataFrame:
     """Square patches inside a boundary feature, numbered column by column.
 
+    Where ``boundary`` has a ``geom`` column a patch must lie inside that outline,
+    else inside the feature's box.
+
     ``grid`` is one row with ``left, bottom, right, top, res``.  Origins step by
     ``size * res * (1 - overlap)`` from the lower left while they stay below the
     upper right.  Ids count kept patches, x outer and y inner; the count runs
@@ -49,7 +52,7 @@ def make_patches(
     )
     cell = float(size) * float(grid.first()["res"])
     keyed = laid.withColumn("__key", F.concat_ws(":", "i", "j"))
-    kept = spatial_join(keyed, boundary, "within", "left_semi", cell, "__key")
+    kept = area_joiner(boundary)(keyed, boundary, "within", "left_semi", cell, "__key")
     per_column = kept.groupBy("i").agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)  # one row per column
     offset = per_column.select("i", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__off"))

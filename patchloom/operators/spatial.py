@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.functions import boxes, polygons
 from patchloom.functions.boxes import SIDES, box
-from patchloom.functions.geometry import GEOM_TYPE, to_crs
+from patchloom.functions.geometry import GEOM_TYPE, bbox, to_crs
 
 #: Largest cell list (rows, bytes) that is broadcast, known from sums beforehand.
 BROADCAST_CELLS = 200_000
@@ -176,10 +176,12 @@ def _pairs(
 def split_contained_edge(
     tiles: DataFrame, aoi: DataFrame, tile_id: str = "tile_id", cell: float = 1000.0
 ) -> DataFrame:
-    """Flag tiles that lie inside an area feature; all others are edge tiles."""
-    inside = spatial_join(tiles, aoi, "within", "left_semi", cell, tile_id).select(
-        tile_id, F.lit(True).alias("__in")
-    )
+    """Flag tiles that lie inside an area feature; all others are edge tiles.
+
+    Where ``aoi`` has a ``geom`` column its outline decides, else its box.
+    """
+    join = area_joiner(aoi)
+    inside = join(tiles, aoi, "within", "left_semi", cell, tile_id).select(tile_id, F.lit(True).alias("__in"))
     return (
         tiles.join(inside, tile_id, "left")
         .withColumn("contained", F.col("__in").isNotNull())
@@ -197,11 +199,21 @@ def tiles_in_aoi(
 ) -> DataFrame:
     """Tiles that meet the area, moved to its coordinate system first if they differ.
 
-    One row per (tile, area feature), as an index join gives.
+    One row per (tile, area feature), as an index join gives. Where ``aoi`` has a
+    ``geom`` column its outline decides, else its box; tiles are taken as boxes.
     """
     if src_crs and dst_crs and src_crs != dst_crs:
         tiles = to_crs(tiles, src_crs, dst_crs, geom="geom" if "geom" in tiles.columns else None)
-    return spatial_join(tiles, aoi, "intersects", "inner", cell, tile_id)
+    return area_joiner(aoi)(tiles, aoi, "intersects", "inner", cell, tile_id)
+
+
+def area_joiner(areas: DataFrame):
+    """The join that takes the outlines of ``areas`` into account if there are any."""
+    if "geom" not in areas.columns:
+        return spatial_join
+    from patchloom.operators.areas import area_join  # built on this module
+
+    return area_join
 
 
 def clip(
@@ -215,15 +227,16 @@ def clip(
     """Part of every feature inside each mask feature; empty parts are dropped.
 
     Boxes are clipped by Columns.  With ``geometry`` the ``geom`` columns are
-    clipped instead, for convex one-ring masks.  Contact without area is an
-    empty part unless ``keep_edges`` is set.
+    clipped instead, of any outline, and the box is that of what is left.
+    Contact without area is an empty part; for boxes ``keep_edges`` keeps it.
     """
     pairs = spatial_join(df, mask, "intersects", "inner", cell, suffix=mask_suffix)
     inner = boxes.intersection(box(), boxes.Box(*[F.col(f"{s}{mask_suffix}") for s in SIDES]))
     if geometry:
         pairs = pairs.withColumn("geom", polygons.clip_udf()("geom", f"geom{mask_suffix}"))
-        pairs = pairs.where(F.size("geom") > 0)
-    pairs = pairs.withColumns(dict(zip(SIDES, inner)))
+        pairs = bbox(pairs.where(F.size("geom") > 0))
+    else:
+        pairs = pairs.withColumns(dict(zip(SIDES, inner)))
     if not keep_edges:
         pairs = pairs.where((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
     return pairs.drop(*[f"{s}{mask_suffix}" for s in SIDES], f"geom{mask_suffix}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from patchloom.functions.boxes import expand_box
-from patchloom.functions.geometry import box_geom, bbox, explode_parts, to_crs
+from patchloom.functions.geometry import area, box_geom, bbox, explode_parts, to_crs
 from patchloom.operators import dataset as D, spatial as S
 from patchloom.operators.labels import split_summary
 from patchloom.operators.patches import make_patches
@@ -309,3 +309,76 @@ def _polygon_pairs(spark, d):
         shaped("patches"), shaped("aoi"), "overlaps", cell=PATCH_CELL, left_id="pid", exact_geometry=True
     )
     return out.select("pid", "aoi_id")
+
+
+# --- areas with slanted outlines: the lower left half of every box ---------------
+
+#: How far a point is from the slanted side, times the sides' lengths; negative or zero is in the area.
+BEYOND = "(a.{x} - b.x0) * (b.y1 - b.y0) + (a.{y} - b.y0) * (b.x1 - b.x0) - (b.x1 - b.x0) * (b.y1 - b.y0)"
+IN_HALF = f"{A_IN_B} and {BEYOND.format(x='x1', y='y1')} <= 0"
+# The part of a box that is also in the area's box reaches the area if its lower left corner does.
+MEET_HALF = f"""{TOUCH} and (greatest(a.x0, b.x0) - b.x0) * (b.y1 - b.y0) + (greatest(a.y0, b.y0) - b.y0) * (b.x1 - b.x0)
+ <= (b.x1 - b.x0) * (b.y1 - b.y0)"""
+
+
+def halves(spark, d, name: str = "aoi") -> DataFrame:
+    corners = [("x0", "y0"), ("x1", "y0"), ("x0", "y1"), ("x0", "y0")]
+    ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in corners])
+    return view(spark, d, name).withColumn("geom", F.array(F.array(ring)))
+
+
+@query(
+    "split_contained_polygon",
+    with_views("tile_index aoi", f"select tile_id, exists (select 1 from aoi b where {IN_HALF}) as contained from small a",
+        small="select tile_id, x0 / 4 as x0, y0 / 4 as y0, x0 / 4 + 800 as x1, y0 / 4 + 800 as y1 from tile_index"),
+)
+def _contained_polygon(spark, d):
+    tiles = view(spark, d, "tile_index").selectExpr(
+        "tile_id", "x0 / 4 as x0", "y0 / 4 as y0", "x0 / 4 + 800 as x1", "y0 / 4 + 800 as y1"
+    )
+    return S.split_contained_edge(tiles, halves(spark, d), cell=800.0).select("tile_id", "contained")
+
+
+@query(
+    "tiles_in_aoi_polygon",
+    with_views("tile_index aoi", f"select tile_id, aoi_id from tile_index a join aoi b on {MEET_HALF}"),
+)
+def _tiles_aoi_polygon(spark, d):
+    tiles = view(spark, d, "tile_index")
+    return S.tiles_in_aoi(tiles, halves(spark, d), cell=TILE_CELL).select("tile_id", "aoi_id")
+
+
+@query(
+    "make_patches_polygon",
+    with_views(
+        "units aoi",
+        f"""select row_number() over (order by x0, y0) as pid,
+ concat('a_128_50_', cast(row_number() over (order by x0, y0) as varchar)) as patch_id, x0, y0, x1, y1
+ from p a where exists (select 1 from aoi b where {IN_HALF})""",
+        b=BOUNDS,
+        cols="""select unnest(range(0, cast(ceil(("right" - "left") / 320e0) as bigint))) as i, * from b""",
+        grid="select unnest(range(0, cast(ceil((top - bottom) / 320e0) as bigint))) as j, * from cols",
+        p="""select "left" + i * 320e0 as x0, bottom + j * 320e0 as y0, "left" + i * 320e0 + 640e0 as x1,
+ bottom + j * 320e0 + 640e0 as y1 from grid""",
+    ),
+)
+def _make_polygon(spark, d):
+    grid = S.grid_of(view(spark, d, "units"), 5.0)
+    return make_patches(grid, 128, 0.5, halves(spark, d), "a")
+
+
+@query(
+    "clip_polygon",
+    with_views(
+        "units aoi",
+        """select gid, aoi_id, 1 as parts, round((s - r) * (f - p) + (h - r) * (g - f) - h / (2 * w) * (g * g - f * f), 3) as area
+ from (select *, least(greatest(least(w * (1 - s / h), q), p), q) as f, least(q, w * (1 - r / h)) as g from c)
+ where (s - r) * (f - p) + (h - r) * (g - f) - h / (2 * w) * (g * g - f * f) > 1e-6 and g > p""",
+        c=f"""select gid, aoi_id, b.x1 - b.x0 as w, b.y1 - b.y0 as h, greatest(a.x0 - b.x0, 0) as p, least(a.x1, b.x1) - b.x0 as q,
+ greatest(a.y0 - b.y0, 0) as r, least(a.y1, b.y1) - b.y0 as s from units a join aoi b on {MEET}""",
+    ),
+)
+def _clip_polygon(spark, d):
+    units = view(spark, d, "units").withColumn("geom", box_geom(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    out = S.clip(units, halves(spark, d), cell=800.0, geometry=True)
+    return out.select("gid", "aoi_id", F.size("geom").alias("parts"), F.round(area(), 3).alias("area"))

@@ -1,10 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from patchloom.functions import boxes, geometry as G, polygons as Pg
+from patchloom.operators.areas import area_join
 from patchloom.operators import dataset as D, patches as P, spatial as S, tables as T
 
 BOX = "id int, x0 double, y0 double, x1 double, y1 double"
@@ -125,8 +127,74 @@ def test_clip_boxes_and_convex_polygons(spark):
     got = S.clip(polygons(spark, [ring((0, 0, 6, 6))]), polygons(spark, [triangle]), 4.0, geometry=True).first()
     e = Pg.edges(got["geom"])
     assert abs((e[:, 0] * e[:, 3] - e[:, 2] * e[:, 1]).sum() / 2) == pytest.approx(36 - 4 * 4 / 2)
-    with pytest.raises(Exception, match="not convex"):
-        S.clip(polygons(spark, [ring((0, 0, 6, 6))]), polygons(spark, [L_SHAPE]), 4.0, geometry=True).collect()
+
+
+U_SHAPE = [[[[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [7.0, 10.0], [7.0, 3.0], [3.0, 3.0], [3.0, 10.0], [0.0, 10.0], [0.0, 0.0]]]]
+
+
+def star(rng, cx, cy):
+    n = rng.randrange(4, 12)
+    angles = [(i + rng.random() * 0.9) * 2 * math.pi / n for i in range(n)]
+    radii = [rng.uniform(1, 5) for _ in range(n)]
+    points = [[cx + r * math.cos(t), cy + r * math.sin(t)] for t, r in zip(angles, radii)]
+    return [[[*points, points[0]]]]
+
+
+def test_clip_splits_a_concave_feature(spark):
+    half_plane = ring((-5, 5, 15, 20))
+    for geom, mask in ((U_SHAPE, half_plane), (half_plane, U_SHAPE)):
+        got = S.clip(polygons(spark, [geom]), polygons(spark, [mask]), 4.0, geometry=True)
+        row = got.select("geom", G.area().alias("area"), *boxes.SIDES).first()
+        assert len(row["geom"]) == 2 and row["area"] == 30.0
+        assert [row[c] for c in boxes.SIDES] == [0, 5, 10, 10]
+
+
+def test_clip_of_concave_outlines_covers_what_both_cover():
+    rng = random.Random(5)
+    for _ in range(60):
+        a, b = star(rng, 0, 0), star(rng, rng.uniform(-3, 3), rng.uniform(-3, 3))
+        got = Pg.clip_to(a, b)
+        points = np.array([[rng.uniform(-6, 6), rng.uniform(-6, 6)] for _ in range(300)])
+        want = (Pg.locate(points, Pg.edges(a)) == 1) & (Pg.locate(points, Pg.edges(b)) == 1)
+        inside = Pg.locate(points, Pg.edges(got)) == 1 if got else np.zeros(300, bool)
+        assert (want == inside).all()
+
+
+def test_boxes_against_outlines(spark):
+    rng = random.Random(8)
+    holed = [[ring((0, 0, 40, 40))[0][0], ring((10, 10, 20, 20))[0][0]], *ring((50, 50, 60, 60))]
+    shapes = [holed, U_SHAPE, L_SHAPE, *[star(rng, rng.uniform(0, 40), rng.uniform(0, 40)) for _ in range(12)]]
+    rows = [(rng.randrange(0, 60), rng.randrange(0, 60), rng.choice([1, 3, 9])) for _ in range(300)]
+    tiles = table(spark, [(x, y, x + s, y + s) for x, y, s in rows])
+    areas = polygons(spark, shapes).withColumnRenamed("id", "aoi")
+    for predicate in ("within", "intersects"):
+        got = area_join(tiles, areas, predicate, "inner", 7.0, "id")
+        want = {
+            (i, j)
+            for i, (x, y, s) in enumerate(rows)
+            for j, shape in enumerate(shapes)
+            if Pg.relation(ring((x, y, x + s, y + s)), shape)[predicate]
+        }
+        assert {(r["id"], r["aoi"]) for r in got.collect()} == want
+
+
+def test_patches_within_a_triangle(spark):
+    area = polygons(spark, [[[[[0.0, 0.0], [100.0, 0.0], [0.0, 100.0], [0.0, 0.0]]]]])
+    assert P.make_patches(S.grid_of(area, 1.0), 10, 0.0, area).count() == 45
+
+
+def test_long_outline_is_not_copied(spark):
+    n = 10_000
+    points = [[50 + 40 * math.cos(2 * math.pi * i / n), 50 + 40 * math.sin(2 * math.pi * i / n)] for i in range(n)]
+    area = polygons(spark, [[[[*points, points[0]]]]])
+    tiles = table(spark, [(x, y, x + 5, y + 5) for x in range(0, 100, 5) for y in range(0, 100, 5)])
+    joined = area_join(tiles, area, "within", "left_semi", 5.0, "id")
+    far = [(x, y) for x in range(0, 100, 5) for y in range(0, 100, 5)
+           if max(math.hypot(a - 50, b - 50) for a in (x, x + 5) for b in (y, y + 5)) < 39.99]
+    assert joined.count() == len(far)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        assert "Join" not in line or "geom" not in line
 
 
 def test_reassign_by_longest_border(spark):
