@@ -8,6 +8,7 @@ the image size, and numpy works on a dense array inside it.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -19,19 +20,34 @@ from patchloom.operators.raster import Grid
 
 #: Pixels per block side.
 BLOCK = 256
-#: Widest window whose reducers are expressed by exploding offsets.
-EXPLODE_LIMIT = 5
 #: Values of one chunk handed to a user function.
 CHUNK_VALUES = 4_000_000
 
-REDUCERS: dict[str, Callable] = {
-    "sum": lambda w: np.nansum(w, axis=1),
-    "mean": lambda w: np.nansum(w, axis=1) / (~np.isnan(w)).sum(axis=1),
-    "min": lambda w: np.nanmin(w, axis=1),
-    "max": lambda w: np.nanmax(w, axis=1),
-    "count": lambda w: (~np.isnan(w)).sum(axis=1).astype(float),
+
+def _shifted(dense: np.ndarray, size: int, combine: Callable) -> np.ndarray:
+    """Windows combined row by row, then column by column, so a window costs two sides instead of its area."""
+    for axis in (0, 1):
+        n = dense.shape[axis] - size + 1
+        parts = (np.take(dense, range(i, i + n), axis) for i in range(size))
+        dense = reduce(combine, parts)
+    return dense
+
+
+def _window_sum(dense: np.ndarray, size: int) -> np.ndarray:
+    return _shifted(np.nan_to_num(dense, nan=0.0), size, np.add)
+
+
+def _window_count(dense: np.ndarray, size: int) -> np.ndarray:
+    return _shifted((~np.isnan(dense)).astype(float), size, np.add)
+
+
+REDUCERS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
+    "sum": _window_sum,
+    "mean": lambda d, size: _window_sum(d, size) / _window_count(d, size),
+    "min": lambda d, size: _shifted(d, size, np.fmin),
+    "max": lambda d, size: _shifted(d, size, np.fmax),
+    "count": _window_count,
 }
-_SQL_REDUCERS = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
 
 def to_blocks(
@@ -47,6 +63,7 @@ def to_blocks(
 
     ``reach_*`` gives, for a pixel coordinate, the lowest and highest output
     coordinate it influences; ``last_*`` is the highest block number, if any.
+    NaN is nodata like NULL, for every operator of this module.
     """
 
     def numbers(c: str, reach: Callable, last: int | None) -> Column:
@@ -58,7 +75,7 @@ def to_blocks(
         return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
     return (
-        pixels.where(F.col("v").isNotNull())
+        pixels.where(F.col("v").isNotNull() & ~F.isnan("v"))
         .select(
             *keys,
             F.col("px").cast("long"),
@@ -95,11 +112,13 @@ def _dense(px, py, v, x0: int, y0: int, w: int, h: int) -> np.ndarray:
     return out
 
 
-def _halo(pixels: DataFrame, keys: Sequence[str], radius: int, block: int) -> DataFrame:
+def _halo(
+    pixels: DataFrame, keys: Sequence[str], radius: int, block: int, last_x: int | None = None, last_y: int | None = None
+) -> DataFrame:
     def reach(c: Column) -> tuple[Column, Column]:
         return c - radius, c + radius
 
-    return to_blocks(pixels, keys, block, reach, reach)
+    return to_blocks(pixels, keys, block, reach, reach, last_x, last_y)
 
 
 def _window_blocks(
@@ -110,20 +129,16 @@ def _window_blocks(
     Blocks grow with wide windows, so that halos stay a part of the data.
     """
     block = block or max(BLOCK, 4 * radius)
-    side = block + 2 * radius
 
     def fn(px, py, v, bx, by):
-        x0, y0 = bx * block - radius, by * block - radius
-        own = (px >= x0 + radius) & (px < x0 + radius + block)
-        own &= (py >= y0 + radius) & (py < y0 + radius + block)
+        own = (px // block == bx) & (py // block == by)
         if not own.any():
             return px[own], py[own], v[own]
-        # only the box that holds own pixels is computed
-        ax, bx1 = px[own].min(), px[own].max()
-        ay, by1 = py[own].min(), py[own].max()
-        dense = _dense(px, py, v, x0, y0, side, side)
-        dense = dense[ay - radius - y0 : by1 + radius - y0 + 1, ax - radius - x0 : bx1 + radius - x0 + 1]
-        values = core(dense)
+        # only the box that holds own pixels is filled and computed
+        ax, zx, ay, zy = px[own].min(), px[own].max(), py[own].min(), py[own].max()
+        near = (px >= ax - radius) & (px <= zx + radius) & (py >= ay - radius) & (py <= zy + radius)
+        width, height = zx - ax + 1 + 2 * radius, zy - ay + 1 + 2 * radius
+        values = core(_dense(px[near], py[near], v[near], ax - radius, ay - radius, width, height))
         return px[own], py[own], values[py[own] - ay, px[own] - ax]
 
     return _run_blocks(_halo(pixels, keys, radius, block), keys, fn)
@@ -139,21 +154,22 @@ def focal(
     """A function of the odd square window around every pixel that has a value.
 
     ``fn`` is a reducer name (nodata skipped) or a function from windows
-    ``[n, size * size]``, rows first and NaN outside, to ``n`` values.
+    ``[n, size * size]``, rows first and NaN outside, to ``n`` values. Windows of
+    every size take the same way.
     """
     if size % 2 != 1:
         raise ValueError("the window side must be odd")
     r = size // 2
-    if isinstance(fn, str) and size <= EXPLODE_LIMIT:
-        return _focal_exploded(pixels, r, fn, keys)
-    reducer = REDUCERS[fn] if isinstance(fn, str) else fn
+    if isinstance(fn, str):
+        named = REDUCERS[fn]
+        return _window_blocks(pixels, keys, r, block, lambda dense: named(dense, size))
 
     def core(dense: np.ndarray) -> np.ndarray:
         h, w = dense.shape[0] - 2 * r, dense.shape[1] - 2 * r
         windows = np.lib.stride_tricks.sliding_window_view(dense, (size, size))
         step = max(1, CHUNK_VALUES // max(1, w * size * size))
         out = [
-            np.asarray(reducer(windows[i : i + step].reshape(-1, size * size)), dtype=float)
+            np.asarray(fn(windows[i : i + step].reshape(-1, size * size)), dtype=float)
             for i in range(0, h, step)
         ]
         return np.concatenate(out).reshape(h, w)
@@ -161,24 +177,6 @@ def focal(
     return _window_blocks(pixels, keys, r, block, core)
 
 
-def _focal_exploded(pixels: DataFrame, r: int, name: str, keys: Sequence[str]) -> DataFrame:
-    """Small windows without Python: neighbours meet by block, so partial sums stay local."""
-    keys = list(keys)
-    known = pixels.where(F.col("v").isNotNull()).select(
-        *keys, F.col("px").cast("long"), F.col("py").cast("long"), F.col("v").cast("double")
-    )
-    near = known.repartition(
-        *keys, F.floor(F.col("px") / BLOCK).alias("bx"), F.floor(F.col("py") / BLOCK).alias("by")
-    )
-    span = F.sequence(F.lit(-r), F.lit(r))
-    moved = near.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span))
-    at_centre = (F.col("dx") == 0) & (F.col("dy") == 0)
-    reduced = moved.groupBy(
-        *keys, (F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py")
-    ).agg(_SQL_REDUCERS[name]("v").cast("double").alias("v"), F.count_if(at_centre).alias("__c"))
-    return reduced.where(F.col("__c") > 0).drop("__c")
-
-
 def elevation_percentile(
     pixels: DataFrame, size: int, keys: Sequence[str] = ("band",), block: int | None = None
 ) -> DataFrame:
@@ -259,7 +257,8 @@ def gaussian(
         at = (py[own] - oy, px[own] - ox)
         return px[own], py[own], num[at] / den[at]
 
-    return _run_blocks(_halo(pixels, keys, r, block), keys, fn)
+    last = (grid.width - 1) // block, (grid.height - 1) // block
+    return _run_blocks(_halo(pixels, keys, r, block, *last), keys, fn)
 
 
 def _bilinear(d: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from patchloom.functions.scalar import focal_loss_element, round_half_even
 from patchloom.operators.lookup import attach
 from patchloom.operators.ordering import BUCKET, offsets, range_buckets, running_sums
-from patchloom.session import local_table
+from patchloom.session import local_table, written
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -111,14 +111,21 @@ def label_metrics(pred: DataFrame, thresholds: float | DataFrame = 0.5) -> DataF
     return _label_scores(confusion(pred, thresholds)).drop("n")
 
 
-def cumulative(pred: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
-    """Per (label, score): ``pos`` and ``neg`` there, ``tp`` and ``fp`` at or above it."""
-    rows = pred.select("k", "score", "y")
-    cut = range_buckets(rows, ["k"], ["score"], rows_per_bucket)
+def by_score(pred: DataFrame) -> DataFrame:
+    """``pos`` and ``neg`` per (label, score), the only reading of the predictions that curves need.
+
+    The table is written, as splitters, offsets, running sums and totals all start from it.
+    """
     pos, neg = F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)
-    counts = cut.df.groupBy("k", BUCKET, "score").agg(pos.alias("pos"), neg.alias("neg"))
-    before = None if cut.single else offsets(cut.df, ["k"], {"tp": pos, "fp": neg}, descending=True)
-    return running_sums(counts, ["k"], "score", {"tp": "pos", "fp": "neg"}, before, descending=True)
+    return written(pred.groupBy("k", "score").agg(pos.alias("pos"), neg.alias("neg")))
+
+
+def cumulative(counts: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
+    """``by_score`` rows with ``tp`` and ``fp``, the positives and negatives at or above the score."""
+    cut = range_buckets(counts, ["k"], ["score"], rows_per_bucket)
+    sums = {"tp": F.sum("pos"), "fp": F.sum("neg")}
+    before = None if cut.single else offsets(cut.df, ["k"], sums, descending=True)
+    return running_sums(cut.df, ["k"], "score", {"tp": "pos", "fp": "neg"}, before, descending=True)
 
 
 def _auroc(tp: Column, pos: Column, neg: Column, p: Column, n: Column) -> Column:
@@ -129,7 +136,7 @@ def _auroc(tp: Column, pos: Column, neg: Column, p: Column, n: Column) -> Column
 
 def auroc(pred: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
     """Area under the ROC curve per label, ties counting half; one class: NULL."""
-    return cumulative(pred, rows_per_bucket).groupBy("k").agg(
+    return cumulative(by_score(pred), rows_per_bucket).groupBy("k").agg(
         _auroc(F.col("tp"), F.col("pos"), F.col("neg"), F.sum("pos"), F.sum("neg")).alias("auroc")
     )
 
@@ -141,19 +148,18 @@ def _average_precision() -> Column:
 
 def average_precision(pred: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
     """Sum of precision times the step in recall, without interpolation."""
-    return cumulative(pred, rows_per_bucket).groupBy("k").agg(_average_precision().alias("ap"))
+    return cumulative(by_score(pred), rows_per_bucket).groupBy("k").agg(_average_precision().alias("ap"))
 
 
-def _label_totals(pred: DataFrame) -> DataFrame:
-    return pred.groupBy("k").agg(
-        F.count_if(F.col("y") > 0).alias("__p"), F.count_if(F.col("y") <= 0).alias("__n")
-    )
+def _label_totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("k").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
 
 
 def pr_curve(pred: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
     """A point per distinct score, and the end point ``(recall 0, precision 1)``."""
-    run = cumulative(pred, rows_per_bucket)
-    totals = _label_totals(pred)
+    counts = by_score(pred)
+    run = cumulative(counts, rows_per_bucket)
+    totals = _label_totals(counts)
     points = attach(run, totals, ["k"], ["score"]).select(
         "k",
         F.col("score").alias("threshold"),
@@ -177,8 +183,9 @@ def roc_curve(pred: DataFrame, drop: bool = True, rows_per_bucket: int | None =
     following step comes from a window inside the range bucket, and for the last
     score of a bucket from a small table of each bucket's first step.
     """
-    run = cumulative(pred, rows_per_bucket)
-    totals = _label_totals(pred)
+    counts = by_score(pred)
+    run = cumulative(counts, rows_per_bucket)
+    totals = _label_totals(counts)
     points = attach(run, totals, ["k"], ["score"])
     if drop:
         inside = Window.partitionBy("k", BUCKET).orderBy(F.col("score").desc())
@@ -219,24 +226,23 @@ def tune_thresholds(
     With ``nan_first`` a score without a true positive at or above it (F1 is 0/0
     there) beats every number, and the lowest such score is taken.
     """
-    run = cumulative(pred, rows_per_bucket)
+    counts = by_score(pred)
+    run, totals = cumulative(counts, rows_per_bucket), _label_totals(counts)
     p = F.col("__p")
-    scored = attach(run, _label_totals(pred), ["k"], ["score"]).withColumn(
-        "f1", _ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + p)
-    )
     undefined = F.lit(float("nan")) if nan_first else F.lit(0.0)
-    rank = F.when(F.col("tp") == 0, undefined).otherwise(F.col("f1"))
-    best = F.struct(rank.alias("f1"), (-F.col("score")).alias("t"))
-    return scored.groupBy("k").agg(F.max(best).alias("b")).select(
-        "k", (-F.col("b.t")).alias("threshold"), F.col("b.f1").alias("f1")
-    )
+    f1 = F.when(F.col("tp") == 0, undefined).otherwise(_ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + p))
+    scored = attach(run, totals, ["k"], ["score"]).select("k", "score", f1.alias("f1"))
+    # the best value first, then its lowest score: numbers alone, so both stay hash aggregates
+    best = scored.groupBy("k").agg(F.max("f1").alias("__best"))
+    ties = attach(scored, best, ["k"], ["score"], how="inner").where(F.col("f1") == F.col("__best"))
+    return ties.groupBy("k").agg(F.min("score").alias("threshold"), F.max("f1").alias("f1"))
 
 
 def _label_table(
     pred: DataFrame, thresholds: float | DataFrame, rows_per_bucket: int | None
 ) -> DataFrame:
     """All label scores, AP and AUROC from one pass over the cumulative counts."""
-    run = with_threshold(cumulative(pred, rows_per_bucket), thresholds)
+    run = with_threshold(cumulative(by_score(pred), rows_per_bucket), thresholds)
     hit = F.col("score") >= F.col("threshold")
     counts = run.groupBy("k", "threshold").agg(
         F.sum(F.col("pos") + F.col("neg")).alias("n"),

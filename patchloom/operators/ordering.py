@@ -8,7 +8,7 @@ per-bucket totals carries the offsets, and windows run per bucket only.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import isqrt
+from math import ceil, isqrt, log
 from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
@@ -17,16 +17,14 @@ from pyspark.sql.types import NumericType, TimestampType
 
 from patchloom.operators.lookup import attach
 
-#: Tables up to this many rows use plain windows, larger ones are cut into buckets.
-SINGLE_ROWS = 1_000_000
 #: Rows of a bucket; many small ones spread evenly over tasks.
 ROWS_PER_BUCKET = 50_000
 #: Upper bound on buckets over all groups, so the offset table stays small.
 MAX_BUCKETS = 16_384
 #: Draws of one first-column value beyond which it is split by the whole key.
 MAX_DRAWN = 4
-#: Hex digits of the hash that form a bucket in hash order (16**3 buckets).
-HASH_DIGITS = 3
+#: Hex digits of the hash by which a sample narrows down its cut at a time (16**3 counts).
+DRAW_DIGITS = 3
 
 BUCKET = "__bucket"
 
@@ -60,7 +58,7 @@ def range_buckets(
     keys = df.select(*part, *order)
     rows = keys.count()
     step = max(rows_per_bucket or ROWS_PER_BUCKET, rows // MAX_BUCKETS, 1)
-    if rows <= (rows_per_bucket or SINGLE_ROWS):
+    if rows <= step:
         return Cut(df.withColumn(BUCKET, F.lit(0)), True)
     drawn = keys.where(F.pmod(F.xxhash64(*part, *order), F.lit(step)) == 0)
     if isinstance(keys.schema[order[0]].dataType, (NumericType, TimestampType)):
@@ -132,10 +130,13 @@ def _key_buckets(
     )
 
 
-def hash_buckets(df: DataFrame, key_col: str, digits: int = HASH_DIGITS) -> Cut:
-    """Bucket number from the leading hex digits of an md5 column (even by design)."""
-    number = F.conv(F.substring(key_col, 1, digits), 16, 10).cast("int")
-    return Cut(df.withColumn(BUCKET, number), False)
+def hash_buckets(df: DataFrame, key_col: str, rows_per_bucket: int | None = None) -> Cut:
+    """Bucket number from leading hex digits of an md5 column (even by design), as many as the row count asks for."""
+    buckets = df.count() / (rows_per_bucket or ROWS_PER_BUCKET)
+    digits = ceil(log(buckets, 16)) if buckets > 1 else 0
+    if not digits:
+        return Cut(df.withColumn(BUCKET, F.lit(0)), True)
+    return Cut(df.withColumn(BUCKET, F.conv(F.substring(key_col, 1, digits), 16, 10).cast("long")), False)
 
 
 def offsets(
@@ -238,26 +239,28 @@ def running_extreme_before(
     ).drop(*[f"__off_{o}" for o in extremes], BUCKET)
 
 
-def sample_n(df: DataFrame, n: int, seed: int | str, id_col: str) -> DataFrame:
+def sample_n(df: DataFrame, n: int, seed: int | str, id_col: str, rows_per_bucket: int | None = None) -> DataFrame:
     """``n`` rows without replacement: the first in ``md5('<seed>:<id>'), id`` order.
 
-    The hash is even, so counts of its 16**HASH_DIGITS leading-digit buckets tell
-    which bucket holds the cut: lower buckets are kept by a filter alone and only
-    that one is sorted.  Asking for more rows than there are raises.
+    Counts by leading digits tell in which range of hashes the cut lies, and the
+    same again inside that range until it holds few rows: all lower ones are kept
+    by a filter alone and only that range is sorted. Asking for more rows than
+    there are raises.
     """
     hashed = df.withColumn("__h", hash_key(seed, id_col))
-    digits = F.substring("__h", 1, HASH_DIGITS)
-    counts = sorted(map(tuple, hashed.groupBy(digits.alias("d")).count().collect()))
-    total = sum(c for _, c in counts)
-    if n > total:
-        raise ValueError(f"sample of {n} from {total} rows")
-    before, cut = 0, ""
-    for cut, size in counts:
-        if before + size >= n:
-            break
-        before += size
-    edge = hashed.where(digits == cut).orderBy("__h", id_col).limit(n - before)
-    return hashed.where(digits < cut).unionByName(edge).drop("__h")
+    before, cut, size = 0, "", None
+    while size is None or size > (rows_per_bucket or ROWS_PER_BUCKET) and len(cut) < 32:
+        digits = F.substring("__h", 1, len(cut) + DRAW_DIGITS)
+        counts = hashed.where(F.col("__h").startswith(cut)).groupBy(digits.alias("d")).count().collect()
+        if size is None and n > sum(r["count"] for r in counts):
+            raise ValueError(f"sample of {n} from {sum(r['count'] for r in counts)} rows")
+        for cut, size in sorted(map(tuple, counts)):
+            if before + size >= n:
+                break
+            before += size
+        size = size or 0
+    edge = hashed.where(F.col("__h").startswith(cut)).orderBy("__h", id_col).limit(n - before)
+    return hashed.where(F.col("__h") < cut).unionByName(edge).drop("__h")
 
 
 def head_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

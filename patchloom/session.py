@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -44,29 +45,53 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests) does a temporary folder stand in.
+    Only a local master may do without the setting: its one machine then lends a
+    temporary folder. Elsewhere executors would write to their own disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _test_dir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or _test_dir(spark.sparkContext.master)
     return f"{base.rstrip('/')}/patchloom-{uuid.uuid4().hex}"
 
 
 @cache
-def _test_dir() -> str:
+def _test_dir(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="patchloom-")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by writing it as parquet to the shared folder.
 
     The table survives lost executors, and later reads of it are cheap scans
-    with column pruning and filter pushdown.
+    with column pruning and filter pushdown. ``drop_written`` deletes such tables.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables ``written`` so far, when no result that reads them is needed any more."""
+    gone = 0
+    while _WRITTEN:
+        path = hadoop_path(spark, _WRITTEN.pop())
+        gone += file_system(spark, path).delete(path, True)
+    return gone
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
-from patchloom.session import written
+from patchloom.session import file_system, hadoop_path
 
 
 def write_report(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -37,7 +39,22 @@ def write_patches(df: DataFrame, path: str, buckets: int = 64, mode: str = "erro
 def overwrite_in_place(df: DataFrame, path: str) -> None:
     """Replace the table at ``path`` with ``df``, which may be computed from it.
 
-    The result is first written to a table in the shared folder, so it no longer
-    depends on its own target, and then copied over it.
+    The result is written beside the target, which is only renamed away once the
+    new table is complete; a failure before that leaves the old one as it was.
     """
-    written(df).write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    target, fresh, old = (hadoop_path(spark, path.rstrip("/") + end) for end in ("", f".new-{mark}", f".old-{mark}"))
+    files = file_system(spark, target)
+    try:
+        df.write.parquet(fresh.toString())
+    except Exception:
+        files.delete(fresh, True)
+        raise
+    if files.exists(target) and not files.rename(target, old):
+        raise OSError(f"cannot move {path} away")
+    if not files.rename(fresh, target):
+        if files.exists(old):
+            files.rename(old, target)
+        raise OSError(f"cannot move the new table to {path}")
+    files.delete(old, True)

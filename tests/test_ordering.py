@@ -73,6 +73,19 @@ def test_sample_is_exact_and_repeatable(rows):
         assert got == want and len(got) == n
 
 
+def test_sample_narrows_down_over_several_levels(rows, monkeypatch):
+    monkeypatch.setattr(O, "DRAW_DIGITS", 1)
+    got = {r["id"] for r in O.sample_n(rows, 2500, 5, "id", rows_per_bucket=3).collect()}
+    assert got == {r["id"] for r in rows.orderBy(O.hash_key(5, "id"), "id").limit(2500).collect()}
+
+
+@pytest.mark.parametrize("size", [100, 1500, 50_000])
+def test_hash_buckets_follow_the_row_count(rows, size):
+    cut = O.hash_buckets(rows.withColumn("h", O.hash_key(1, "id")), "h", size)
+    assert cut.single == (size >= 6000)
+    assert cut.df.groupBy(O.BUCKET).count().agg(F.max("count")).first()[0] <= size * 1.5
+
+
 def test_sample_too_large(rows):
     with pytest.raises(ValueError):
         O.sample_n(rows, 6001, 5, "id")
