@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patchloom.operators.lookup import attach
+from patchloom.operators.lookup import attach, salted_join
 from patchloom.operators.ordering import hash_key, hash_row_number, sample_n
 from patchloom.operators.spatial import spatial_join
 from patchloom.session import local_table, written
@@ -15,8 +15,11 @@ from patchloom.session import local_table, written
 def independent_split(
     patches: DataFrame, n: int, seed: int = 111, id_col: str = "patch_id", cell: float = 1280.0
 ) -> tuple[DataFrame, DataFrame]:
-    """Draw ``n`` patches; the rest without every patch that overlaps a drawn one."""
-    selected = sample_n(patches, n, seed, id_col)
+    """Draw ``n`` patches; the rest without every patch that overlaps a drawn one.
+
+    The draw is written once: the anti join, the spatial join and the caller all read it.
+    """
+    selected = written(sample_n(patches, n, seed, id_col))
     others = patches.join(selected.select(id_col), id_col, "left_anti")
     remaining = spatial_join(others, selected, "overlaps", "left_anti", cell, id_col)
     return selected, remaining.select(*patches.columns)
@@ -60,7 +63,9 @@ def oversample(
 
     The draws of a class come from the listed patches that have it.  A class
     that is already larger than the target raises.  The result has the columns
-    ``(patch_id, source)``: ``source`` is NULL for original rows, else the class.
+    ``(patch_id, source, sample)``: ``source`` is NULL for original rows, else the
+    class, and ``sample`` tells the copies of a patch apart, as ``assemble`` and
+    ``augment`` need it (``<id>`` or ``<id>:<class>:<number of the draw>``).
     """
     listed = labels.join(ids.select(on).distinct(), on, "left_semi")
     have = F.explode(
@@ -86,12 +91,14 @@ def oversample(
     for c, m in wanted.items():
         draws = spark.range(1, m + 1).select(F.lit(c).alias("source"), F.col("id").alias("__j"))
         index = draw_index(seed, F.lit(sizes[f"__n_{c}"]), "source", "__j")
-        one = draws.select("source", index.alias("__rn"))
+        one = draws.select("source", index.alias("__rn"), "__j")
         picks = one if picks is None else picks.unionByName(one)
-    out = ids.select(on, F.lit(None).cast("string").alias("source"))
+    own = F.col(on).cast("string")
+    out = ids.select(on, F.lit(None).cast("string").alias("source"), own.alias("sample"))
     if picks is None:
         return out
-    return out.unionByName(picks.join(numbered, ["source", "__rn"]).select(on, "source"))
+    copy = F.concat_ws(":", own, "source", F.col("__j").cast("string")).alias("sample")
+    return out.unionByName(picks.join(numbered, ["source", "__rn"]).select(on, "source", copy))
 
 
 # --- pixels of samples ------------------------------------------------------
@@ -237,7 +244,8 @@ def assemble(
     stacked = stack_channels(wanted, modalities, [on])
     if "sample" not in ids.columns:
         ids = ids.withColumn("sample", F.col(on))
-    samples = ids.join(stacked, on)
+    # a rare patch may be drawn very often, so its copies are spread over several tasks
+    samples = salted_join(ids, stacked, [on], ["sample"], "inner")
     if augment_seed is not None:
         samples = augment_stack(samples, augment_seed)
     if labels is not None:

@@ -43,7 +43,7 @@ def _window_count(dense: np.ndarray, size: int) -> np.ndarray:
 
 REDUCERS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
     "sum": _window_sum,
-    "mean": lambda d, size: _window_sum(d, size) / _window_count(d, size),
+    "mean": lambda d, size: _window_sum(d, size) / np.maximum(_window_count(d, size), 1),
     "min": lambda d, size: _shifted(d, size, np.fmin),
     "max": lambda d, size: _shifted(d, size, np.fmax),
     "count": _window_count,

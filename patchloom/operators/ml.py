@@ -66,10 +66,15 @@ def fit_multilabel(
     columns: Sequence[str],
     labels: Sequence[str],
     weights: Mapping[str, float] | None = None,
-    max_iter: int = 20,
+    max_iter: int = 200,
     reg: float = 0.01,
 ) -> dict[str, Model]:
-    """One logistic regression per label; ``weights`` raise the weight of positives."""
+    """One logistic regression per label; ``weights`` raise the weight of positives.
+
+    Labels are fitted one after the other, each over the whole table; write the
+    features before. The penalty is on the coefficients as they are, without
+    scaling the features.
+    """
     assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(features)
     models = {}
     for label in labels:
@@ -80,11 +85,51 @@ def fit_multilabel(
             F.when(F.col(label) > 0, w).otherwise(1.0).alias("weight"),
         )
         models[label] = LogisticRegression(
-            weightCol="weight", maxIter=max_iter, regParam=reg
+            weightCol="weight", maxIter=max_iter, regParam=reg, standardization=False
         ).fit(rows)
     return models
 
 
+def fit_report(
+    models: Mapping[str, Model],
+    features: DataFrame,
+    columns: Sequence[str],
+    id_col: str,
+    weights: Mapping[str, float] | None = None,
+    reg: float = 0.01,
+) -> DataFrame:
+    """Per label: rows, positives, weighted log loss of the model and of a constant, largest gradient entry.
+
+    The gradient is that of the penalised loss at the fitted coefficients, near
+    zero if the fit has settled.
+    """
+    scores = predict_multilabel(models, features, columns, id_col)
+    rows = scores.join(features.select(id_col, *columns), id_col)
+    w = F.lit(1.0)
+    for k, label in enumerate(models):
+        w = F.when((F.col("k") == k) & (F.col("y") > 0), float((weights or {}).get(label, 1.0))).otherwise(w)
+    rows = rows.withColumn("w", w)
+    miss = F.when(F.col("y") > 0, F.log("score")).otherwise(F.log1p(-F.col("score")))
+    off = F.col("w") * (F.col("score") - F.col("y"))
+    sums = rows.groupBy("k").agg(
+        F.count("*").alias("n"), F.sum("y").alias("targets"), F.sum("w").alias("weight"),
+        F.sum(F.when(F.col("y") > 0, F.col("w")).otherwise(0.0)).alias("positive"),
+        (-F.sum(F.col("w") * miss) / F.sum("w")).alias("loss"), F.sum(off).alias("g"),
+        *[F.sum(off * F.col(c)).alias(f"g{i}") for i, c in enumerate(columns)],
+    )
+    p = F.col("positive") / F.col("weight")
+    constant = -(p * F.log(p) + (1 - p) * F.log1p(-p))
+    steps = [F.abs(F.col("g") / F.col("weight"))]
+    for i in range(len(columns)):
+        own = F.lit(0.0)
+        for k, model in enumerate(models.values()):
+            own = F.when(F.col("k") == k, float(model.coefficients[i])).otherwise(own)
+        steps.append(F.abs(F.col(f"g{i}") / F.col("weight") + reg * own))
+    return sums.select(
+        "k", "n", "targets", "loss", constant.alias("constant_loss"), F.greatest(*steps).alias("gradient")
+    )
+
+
 def predict_multilabel(
     models: Mapping[str, Model], features: DataFrame, columns: Sequence[str], id_col: str, labels: bool = True
 ) -> DataFrame:

@@ -174,9 +174,10 @@ def mosaic(
 ) -> tuple[DataFrame, Grid]:
     """Put tiles of one band on a common grid; the first tile with a value wins.
 
-    ``meta`` has ``(image, left, top, res, width, height, <order>)`` and tiles
-    share one resolution.  ``band`` picks one value of the ``band`` column.  With
-    ``res`` the mosaic is resampled (bilinear).
+    ``meta`` has ``(image, left, top, res, width, height, <order>)``; tiles share
+    one resolution and lie on one pixel grid.  Equal orders go by image name.
+    ``band`` picks one value of the ``band`` column.  With ``res`` the mosaic is
+    resampled (bilinear).
     """
     if band is not None:
         pixels = pixels.where(F.col("band") == band)
@@ -191,13 +192,16 @@ def mosaic(
     if ends["res"] != ends["res_max"]:
         raise ValueError("tiles differ in resolution; resample them first")
     grid = Grid.covering(ends["left"], ends["bottom"], ends["right"], ends["top"], ends["res"])
-    shift_x = F.round((F.col("left") - grid.left) / grid.res).cast("long")
-    shift_y = F.round((F.lit(grid.top) - F.col("top")) / grid.res).cast("long")
+    offsets = (F.col("left") - grid.left) / grid.res, (F.lit(grid.top) - F.col("top")) / grid.res
+    on_grid = [F.when(F.abs(o - F.round(o)) < 1e-6, F.round(o)) for o in offsets]
+    shift_x, shift_y = (
+        F.coalesce(o, F.raise_error(F.lit("a tile is off the pixel grid of the others"))).cast("long") for o in on_grid
+    )
     shifts = meta.select("image", order, shift_x.alias("__sx"), shift_y.alias("__sy"))
     placed = attach(pixels, shifts, ["image"], ["px", "py"], how="inner").select(
-        (F.col("px") + F.col("__sx")).alias("px"), (F.col("py") + F.col("__sy")).alias("py"), order, "v"
+        (F.col("px") + F.col("__sx")).alias("px"), (F.col("py") + F.col("__sy")).alias("py"), order, "image", "v"
     )
-    first = F.min_by("v", order)
+    first = F.min_by("v", F.struct(order, "image"))
     out = placed.where(F.col("v").isNotNull()).groupBy("px", "py").agg(first.alias("v"))
     if res is None:
         return out, grid

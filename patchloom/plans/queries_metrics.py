@@ -202,6 +202,23 @@ def _tune(spark, d):
     return rounded(M.tune_thresholds(view(spark, d, "pred")), 6, "f1")
 
 
+@query(
+    "tune_thresholds_nan_first",
+    with_views(
+        "pred",
+        "select k, threshold, round(f1, 6) as f1 from t where r = 1",
+        s=CURVE_SQL,
+        cu=CUM_SQL,
+        t="""select k, score as threshold, f1, row_number() over (partition by k order by f1 is null desc, f1 desc, score) as r
+ from (select k, score, case when tp > 0 then 2 * tp / (tp + fp + p) end as f1 from cu)""",
+    ),
+)
+def _tune_nan(spark, d):
+    """Undefined values come back as NULL."""
+    tuned = M.tune_thresholds(view(spark, d, "pred"), nan_first=True)
+    return rounded(tuned.withColumn("f1", F.nanvl("f1", F.lit(None).cast("double"))), 6, "f1")
+
+
 def _global_sql(ap: str) -> str:
     w = "sum({0} * targets) / sum(targets)"
     return f"""select round(sum(accuracy * n) / sum(n), 6) as overall_accuracy,

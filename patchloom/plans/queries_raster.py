@@ -126,7 +126,8 @@ def _rasterise(spark, d):
     return R.rasterise(units, R.Grid.of(S.grid_of(units, 30.0)), "code")
 
 
-BURN_FROM = "select *, case when symbol = 'BUILDING' then 1 else 2 end as layer from units where symbol in ('BUILDING', 'MACHINERY')"
+SYMBOLS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+BURN_FROM = "select *, case symbol " + " ".join(f"when '{x}' then {i + 1}" for i, x in enumerate(SYMBOLS)) + " end as layer from units"
 BURN_CELLS = """select layer, px, py from l join r on l.x0 < (px + 1) * 5 and l.x1 > px * 5
  and l.y0 < 1280 - py * 5 and l.y1 > 1280 - (py + 1) * 5"""
 
@@ -134,9 +135,9 @@ BURN_CELLS = """select layer, px, py from l join r on l.x0 < (px + 1) * 5 and l.
 def _burn_sql(value: str) -> str:
     return with_views(
         "raster units",
-        f"""select r.px, r.py, cast({value} as double) as v from r left join (
+        f"""select r.band, r.px, r.py, cast({value} as double) as v from raster r left join (
  select px, py, max(layer) as layer from ce group by px, py) c on c.px = r.px and c.py = r.py""",
-        r="select px, py, v from raster where band = 'N'",
+        r="select distinct px, py from raster",
         l=BURN_FROM,
         ce=BURN_CELLS,
     )
@@ -144,10 +145,9 @@ def _burn_sql(value: str) -> str:
 
 def _burn(spark, d, binary: bool) -> DataFrame:
     units = view(spark, d, "units")
-    layers = [units.where(F.col("symbol") == s) for s in ("BUILDING", "MACHINERY")]
-    ref = raster(spark, d).where("band = 'N'").select("px", "py", "v")
-    out, _ = R.burn_layers(layers, ["building", "machinery"], ref, GRID, binary)
-    return out.select("px", "py", "v")
+    layers = [units.where(F.col("symbol") == s) for s in SYMBOLS]
+    out, _ = R.burn_layers(layers, [s.lower() for s in SYMBOLS], raster(spark, d), GRID, binary)
+    return out.select("band", "px", "py", "v")
 
 
 @query("burn_layers", _burn_sql("coalesce(layer, 0)"))
@@ -192,17 +192,22 @@ def _mosaic(spark, d):
         """select band, px - cast(floor(w / 5) as bigint) as px, py - cast(floor((1280 - n) / 5) as bigint) as py, v
  from raster, ex where exists (select 1 from b where (px + 0.5) * 5 >= x0 and (px + 0.5) * 5 <= x1
   and 1280 - (py + 0.5) * 5 >= y0 and 1280 - (py + 0.5) * 5 <= y1)""",
-        b="select x0 / 25 as x0, y0 / 25 + 101 as y0, x1 / 25 as x1, y1 / 25 + 101 as y1 from aoi where grp = 2",
+        b="select x0 / 25 + grp as x0, y0 / 25 + 101 as y0, x1 / 25 + grp - 60 as x1, y1 / 25 + 101 as y1 from aoi",
         ex="select min(x0) as w, max(y1) as n from b",
     ),
 )
 def _clip(spark, d):
-    area = view(spark, d, "aoi").where("grp = 2")
-    area = area.select(*[(F.col(c) / 25 + s).alias(c) for c, s in (("x0", 0), ("y0", 101), ("x1", 0), ("y1", 101))])
-    out, _ = R.clip_raster(raster(spark, d), GRID, area, 100.0)
+    out, _ = R.clip_raster(raster(spark, d), GRID, clip_areas(spark, d), 100.0)
     return out
 
 
+def clip_areas(spark, d) -> DataFrame:
+    """All areas within the raster, with gaps between them."""
+    return view(spark, d, "aoi").selectExpr(
+        "x0 / 25 + grp as x0", "y0 / 25 + 101 as y0", "x1 / 25 + grp - 60 as x1", "y1 / 25 + 101 as y1"
+    )
+
+
 # --- neighbourhoods ---------------------------------------------------------------
 
 
@@ -509,24 +514,170 @@ def _modalities(spark, d):
     return D.modality_report(D.stack_channels(_chip_channels(spark, d), MODALITIES))
 
 
+PAIR_STATS = "select round(avg(v), 6) as m, round(stddev_pop(v), 6) as s, round(avg(v * 2), 6) as m2, round(stddev_pop(v * 2), 6) as s2 from chips"
+
+
+def _vals(turned: str, by: str) -> str:
+    """Normalised, stacked values of both modalities of turned chips as text, thousandths."""
+    one, two = "(v - m) / s", "(v * 2 - m2) / s2"
+    text = "string_agg(cast(cast(round(x * 1000) as bigint) as varchar), ',' order by c, py, px)"
+    return f"""select {by}, 'single' as modality, {text} as vals from (select {by}, 0 as c, py, px, {one} as x from {turned}, st) group by {by}
+ union all select {by}, 'pair', {text} from (select {by}, 0 as c, py, px, {two} as x from {turned}, st
+  union all select {by}, 1, py, px, {one} from {turned}, st) group by {by}"""
+
+
 @query(
     "assemble",
     with_views(
         "chips",
-        f"""select patch_id, label, vals from (
-  select image as patch_id, string_agg(cast(cast(round((v - m) / s * 1000) as bigint) as varchar), ',' order by py, px) as vals
-  from turned, st group by image) join (select vec_id, label from embeddings) e on e.vec_id = patch_id""",
+        f"""select image as patch_id, modality, label, vals from ({_vals('turned', 'image')})
+ join (select vec_id, label from embeddings) e on e.vec_id = image""",
         turned=TURNED,
-        st="select round(avg(v), 6) as m, round(stddev_pop(v), 6) as s from chips",
+        st=PAIR_STATS,
     ),
 )
 def _assemble(spark, d):
-    chips = view(spark, d, "chips")
-    pixels = chips.select(F.col("image").alias("patch_id"), "px", "py", "v").withColumn("image", F.lit("one"))
+    out = _samples(spark, d, _chip_channels(spark, d).select("patch_id").distinct())
+    return out.select("patch_id", "modality", "label", "vals")
+
+
+def _samples(spark, d, ids: DataFrame) -> DataFrame:
+    pixels = _chip_channels(spark, d)
     stats = rounded(R.channel_stats(pixels, ["image"]), 6, "mean", "std")
-    ids = pixels.select("patch_id").distinct()
     labels = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("patch_id"), "label")
-    out = D.assemble(ids, pixels, {"single": ["one"]}, stats, labels, augment_seed=5)
+    out = D.assemble(ids, pixels, MODALITIES, stats, labels, augment_seed=5)
     flat = F.flatten(F.flatten("channels"))
     text = F.array_join(F.transform(flat, lambda x: F.round(x * 1000).cast("long").cast("string")), ",")
-    return out.select("patch_id", "label", text.alias("vals"))
+    return out.withColumn("vals", text)
+
+
+DRAWN = """select cast(image as varchar) as sample, image from (select distinct image from chips)
+ union all select concat(cast(h.image as varchar), ':rare:', cast(j as varchar)), h.image from (
+  select unnest(range(1, (select count(*) from embeddings) - (select count(*) from h) + 1)) as j) d
+ join h on h.rn = cast('0x' || substr(md5(concat('111:rare:', cast(j as varchar))), 1, 12) as bigint) % (select count(*) from h) + 1"""
+
+
+@query(
+    "oversample_assemble",
+    with_views(
+        "chips",
+        f"select sample, modality, vals from ({_vals('turned', 'sample')})",
+        h="""select vec_id as image, row_number() over (order by md5(concat('111:', cast(vec_id as varchar))), vec_id) as rn
+ from embeddings where label = 1""",
+        drawn=DRAWN,
+        all_chips="select sample, px, py, v from drawn join chips using (image)",
+        turned=TURNED.replace("from chips", "from all_chips").replace("image", "sample"),
+        st=PAIR_STATS,
+    ),
+)
+def _oversample_assemble(spark, d):
+    """Chips of a rare label drawn until there are as many as chips at all; every copy is turned its own way."""
+    labels = spark.read.parquet(f"{d}/embeddings.parquet").select(
+        F.col("vec_id").alias("patch_id"), (F.col("label") == 1).cast("int").alias("rare"), F.lit(1).alias("all")
+    )
+    ids = D.oversample(labels.select("patch_id"), labels, ["rare"], "all")
+    return _samples(spark, d, ids).select("sample", "modality", "vals")
+
+
+# --- outlines, several projections and resolutions ------------------------------------
+
+HALF_RING = [("x0", "y0"), ("x1", "y0"), ("x0", "y1"), ("x0", "y0")]
+
+
+def lower_halves(boxes: DataFrame) -> DataFrame:
+    """Every box's lower left half as an outline."""
+    ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in HALF_RING])
+    return boxes.withColumn("geom", F.array(F.array(ring)))
+
+
+@query(
+    "rasterise_polygon",
+    with_views(
+        "units",
+        """select px, py, cast(code as double) as v from (select *, row_number() over (partition by px, py order by gid desc) as r from (
+ select ce.* from ce join u on u.gid = ce.gid, g where (greatest(w + ce.px * 30, u.x0 - 0.1) - (u.x0 - 0.1)) / (u.x1 - u.x0 + 0.2)
+  + (greatest(t - (ce.py + 1) * 30, u.y0 - 0.1) - (u.y0 - 0.1)) / (u.y1 - u.y0 + 0.2) < 1)) where r = 1""",
+        g=BURN_GRID,
+        u=f"select * exclude (x1), x1 - 37.3 as x1 from ({CODED})",
+        sp=SPAN,
+        ce=CELLS,
+    ),
+)
+def _rasterise_polygon(spark, d):
+    # unequal sides, so that no slanted side runs through a corner of cells
+    units = expand_box(view(spark, d, "units").withColumn("x1", F.col("x1") - 37.3), SLIVER_TOLERANCE)
+    units = lower_halves(units)
+    units = units.withColumn("code", encode_class("symbol", SEGMENT_CODES))
+    return R.rasterise(units, R.Grid.of(S.grid_of(expand_box(view(spark, d, "units"), SLIVER_TOLERANCE), 30.0)), "code", geometry=True)
+
+
+@query(
+    "clip_raster_polygon",
+    with_views(
+        "raster aoi",
+        """select band, px - cast(floor(w / 5) as bigint) as px, py - cast(floor((1280 - n) / 5) as bigint) as py, v
+ from raster, ex where exists (select 1 from b where (px + 0.5) * 5 >= x0 and 1280 - (py + 0.5) * 5 >= y0
+  and ((px + 0.5) * 5 - x0) / (x1 - x0) + (1280 - (py + 0.5) * 5 - y0) / (y1 - y0) < 1)""",
+        b="select x0 / 25 + grp as x0, y0 / 25 + 101 as y0, x1 / 25 + grp - 60 as x1, y1 / 25 + 101 as y1 from aoi",
+        ex="select min(x0) as w, max(y1) as n from b",
+    ),
+)
+def _clip_raster_polygon(spark, d):
+    out, _ = R.clip_raster(raster(spark, d), GRID, lower_halves(clip_areas(spark, d)), 100.0, geometry=True)
+    return out
+
+
+@query(
+    "mosaic_resampled",
+    with_views(
+        "raster",
+        """select a.o as px, b.o as py, round(sum(a.w * b.w * m.v) / sum(a.w * b.w), 6) as v
+ from m join ax a on a.j = m.px join ax b on b.j = m.py
+ group by a.o, b.o having max(case when m.px = a.near and m.py = b.near then 1 else 0 end) = 1""",
+        t="select band, px, py, v * 2 as v, case band when 'A' then 0 when 'N' then 1 else 2 end as o from raster",
+        m=MOSAIC,
+        ax="""select o, j, o * 2 + 1 as near, 1 - abs(d) as w from (select o, j, (j + 0.5e0 - (o + 0.5e0) * 2) / 2 as d
+ from range(228) x(o), range(456) y(j)) where abs(d) < 1""",
+    ),
+)
+def _mosaic_resampled(spark, d):
+    tiles = raster(spark, d).withColumnRenamed("band", "image")
+    both = tiles.withColumn("band", F.lit(1)).unionByName(tiles.withColumns({"band": F.lit(2), "v": F.col("v") * 2}))
+    out, _ = R.mosaic(both, tile_meta(spark), band=2, res=10.0)
+    return rounded(out, 6, "v")
+
+
+DEGREES = R.Grid(0.001, 0.0105, 0.00004, 200, 150)
+
+
+@query(
+    "align_crs",
+    with_views(
+        "raster",
+        """select band, a.o as px, b.o as py, round(sum(a.w * b.w * r.v) / sum(a.w * b.w), 6) as v
+ from raster r join ax a on a.j = r.px join ay b on b.j = r.py
+ group by band, a.o, b.o having max(case when r.px = a.near and r.py = b.near then 1 else 0 end) = 1 and sum(a.w * b.w) > 1e-9""",
+        cx="select o, radians(0.001e0 + (o + 0.5e0) * 0.00004e0) * 6378137e0 / 5 as c from range(200) x(o)",
+        cy="select o, (1280 - ln(tan(pi() / 4 + radians(0.0105e0 - (o + 0.5e0) * 0.00004e0) / 2)) * 6378137e0) / 5 as c from range(150) x(o)",
+        ax="select o, j, cast(floor(c) as bigint) as near, 1 - abs(j + 0.5e0 - c) as w from cx, range(256) y(j) where abs(j + 0.5e0 - c) < 1",
+        ay="select o, j, cast(floor(c) as bigint) as near, 1 - abs(j + 0.5e0 - c) as w from cy, range(256) y(j) where abs(j + 0.5e0 - c) < 1",
+    ),
+)
+def _align_crs(spark, d):
+    out = N.align(raster(spark, d), GRID, DEGREES, src_crs="EPSG:3857", dst_crs="EPSG:4326")
+    return rounded(out, 6, "v")
+
+
+@query(
+    "focal_mean_nan",
+    with_views(
+        "raster",
+        """select band, px, py, round(avg(n.v), 6) as v from k a join n using (band, px, py) group by band, px, py""",
+        k="select * from raster where v > 10",
+        o="select dx - 2 as dx, dy - 2 as dy from range(5) x(dx), range(5) y(dy)",
+        n="select band, px + dx as px, py + dy as py, v from k, o",
+    ),
+)
+def _focal_nan(spark, d):
+    holed = raster(spark, d).withColumn("v", F.when(F.col("v") > 10, F.col("v")).otherwise(F.lit(float("nan"))))
+    return rounded(N.focal(holed, 5, "mean"), 6, "v")

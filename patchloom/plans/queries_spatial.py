@@ -150,8 +150,7 @@ def _clip(spark, d):
 CHOSEN = "('FURNITURE', 'MACHINERY')"
 
 
-@query(
-    "reassign_symbol",
+REASSIGN = (
     with_views(
         "units",
         """select u.gid, coalesce(n.symbol, u.symbol) as symbol from units u left join (
@@ -161,13 +160,22 @@ CHOSEN = "('FURNITURE', 'MACHINERY')"
  case when a.x0 = b.x1 or b.x0 = a.x1 then least(a.y1, b.y1) - greatest(a.y0, b.y0)
   else least(a.x1, b.x1) - greatest(a.x0, b.x0) end as len
  from units a join units b on {TOUCH} where a.symbol in {CHOSEN} and b.symbol not in {CHOSEN}""",
-    ),
+    )
 )
+
+
+@query("reassign_symbol", REASSIGN)
 def _reassign(spark, d):
     units = view(spark, d, "units")
     return S.reassign_symbol(units, ["FURNITURE", "MACHINERY"], UNIT_CELL).select("gid", "symbol")
 
 
+@query("reassign_symbol_polygon", REASSIGN)
+def _reassign_polygon(spark, d):
+    units = view(spark, d, "units").withColumn("geom", box_geom(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    return S.reassign_symbol(units, ["FURNITURE", "MACHINERY"], UNIT_CELL, geometry=True).select("gid", "symbol")
+
+
 BOUNDS = """select min(x0) as "left", min(y0) as bottom, max(x1) as "right", max(y1) as top from units"""
 
 

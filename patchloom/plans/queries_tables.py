@@ -376,7 +376,7 @@ def _oversample(spark, d):
     ids = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("patch"))
     # the target column counts every labelled patch twice, so all classes are below it
     labels = presence(spark, d).withColumn(TARGET, F.lit(2))
-    return D.oversample(ids, labels, RARE, TARGET, 111, "patch")
+    return D.oversample(ids, labels, RARE, TARGET, 111, "patch").select("patch", "source")
 
 
 # --- normalisation -----------------------------------------------------------

@@ -61,10 +61,11 @@ def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def training_curves(runs: DataFrame) -> DataFrame:
-    """Per epoch losses and accuracies out of run records."""
+    """Per epoch losses and accuracies out of run records; NULL where a record lacks a series."""
     t = F.col("TRAINING")
     fields = ["training loss", "training accuracy", "validation loss", "validation accuracy"]
-    zipped = F.arrays_zip(*[t[f].alias(f.replace(" ", "_")) for f in fields])
+    none = F.array().cast("array<double>")
+    zipped = F.arrays_zip(*[F.coalesce(t[f], none).alias(f.replace(" ", "_")) for f in fields])
     rows = runs.select(F.col("NAME").alias("run"), F.posexplode(zipped).alias("pos", "e"))
     return rows.select(
         "run",

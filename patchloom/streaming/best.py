@@ -22,10 +22,13 @@ STATE_TABLE = "run string, start_loss double, start_accuracy double, last bigint
 def _advance(
     key: tuple, frames: Iterable[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    """New records of one run in epoch order; epochs not after the last are ignored."""
+    """New records of one run in epoch order; epochs not after the last are ignored.
+
+    Of records with one epoch the one with the lowest loss, then accuracy, counts.
+    """
     best_loss, best_acc, last = state.get if state.exists else (float("inf"), 0.0, -1)
     rows = pd.concat(list(frames), ignore_index=True)
-    rows = rows[rows["epoch"] > last].sort_values("epoch", kind="stable")
+    rows = rows[rows["epoch"] > last].sort_values(["epoch", "loss", "accuracy"])
     rows = rows.drop_duplicates("epoch", keep="first")
     if rows.empty:
         return
@@ -76,7 +79,8 @@ def start_best(log: DataFrame, table: str, checkpoint: str, **trigger) -> Stream
         spark = batch.sparkSession
         batch = batch.persist(StorageLevel.DISK_ONLY)
         try:
-            fresh = batch.dropDuplicates(["run", "epoch"])
+            best = F.min(F.struct("loss", "accuracy")).alias("__r")  # the rule of ``_advance``
+            fresh = batch.groupBy("run", "epoch").agg(best).select("run", "epoch", "__r.*")
             if number > 0:
                 state = spark.read.schema(STATE_TABLE).parquet(f"{table}/state/batch={number - 1}")
                 fresh = attach(fresh, state, ["run"], ["epoch"])
