@@ -9,24 +9,29 @@ from pyspark.sql import DataFrame, functions as F
 from patchloom.functions.boxes import expand_box
 from patchloom.functions.scalar import PATCH_FILL, SLIVER_TOLERANCE, encode_class, scale_rgb
 from patchloom.operators import dataset as D, focal as N, patches as P, raster as R, spatial as S
-from patchloom.plans.fixtures import SEGMENT_CODES, view, with_views
+from patchloom.plans.fixtures import SEGMENT_CODES, raster_side, view, with_views
 from patchloom.plans.queries_metrics import rounded
 from patchloom.plans.registry import query
 from patchloom.session import local_table
 
-#: The derived raster: 256 x 256 pixels of 5 units, lower left corner at the origin.
-GRID = R.Grid(0.0, 1280.0, 5.0, 256, 256)
-META = """select band as image, 0e0 as "left", 1280e0 as top, 5e0 as res from raster"""
+# In SQL $N stands for the side of the derived raster in pixels and $E for its extent.
+
+
+def grid(spark, d) -> R.Grid:
+    """The derived raster: pixels of 5 units, lower left corner at the origin, a side that grows with the table."""
+    n = raster_side(spark, d)
+    return R.Grid(0.0, n * 5.0, 5.0, n, n)
 
 
 def raster(spark, d) -> DataFrame:
     return view(spark, d, "raster")
 
 
-def band_meta(spark, bands="ANR") -> DataFrame:
+def band_meta(spark, d, bands="ANR") -> DataFrame:
+    g = grid(spark, d)
     return local_table(
         spark,
-        [(b, GRID.left, GRID.top, GRID.res, GRID.res, GRID.width, GRID.height, 50.0) for b in bands],
+        [(b, g.left, g.top, g.res, g.res, g.width, g.height, 50.0) for b in bands],
         "image string, left double, top double, res_x double, res_y double, width int, height int, nodata double",
     )
 
@@ -80,7 +85,7 @@ def _rgb(spark, d):
     with_views("raster", "select band as image, px, py, cast(nullif(v, 50) as float) as v from raster"),
 )
 def _cast(spark, d):
-    return R.cast_raster(raster(spark, d).withColumnRenamed("band", "image"), band_meta(spark))
+    return R.cast_raster(raster(spark, d).withColumnRenamed("band", "image"), band_meta(spark, d))
 
 
 @query(
@@ -88,11 +93,11 @@ def _cast(spark, d):
     with_views(
         "raster",
         """select band, min(v) as min, max(v) as max from raster
- where (px + 0.5) * 5 between 300 and 900 and 1280 - (py + 0.5) * 5 between 200 and 1000 group by band""",
+ where (px + 0.5) * 5 between 300 and 900 and $E - (py + 0.5) * 5 between 200 and 1000 group by band""",
     ),
 )
 def _window(spark, d):
-    return R.value_range(R.read_window(raster(spark, d), GRID, (300.0, 200.0, 900.0, 1000.0)), ["band"])
+    return R.value_range(R.read_window(raster(spark, d), grid(spark, d), (300.0, 200.0, 900.0, 1000.0)), ["band"])
 
 
 # --- burning -------------------------------------------------------------------
@@ -129,7 +134,7 @@ def _rasterise(spark, d):
 SYMBOLS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 BURN_FROM = "select *, case symbol " + " ".join(f"when '{x}' then {i + 1}" for i, x in enumerate(SYMBOLS)) + " end as layer from units"
 BURN_CELLS = """select layer, px, py from l join r on l.x0 < (px + 1) * 5 and l.x1 > px * 5
- and l.y0 < 1280 - py * 5 and l.y1 > 1280 - (py + 1) * 5"""
+ and l.y0 < $E - py * 5 and l.y1 > $E - (py + 1) * 5"""
 
 
 def _burn_sql(value: str) -> str:
@@ -146,7 +151,7 @@ def _burn_sql(value: str) -> str:
 def _burn(spark, d, binary: bool) -> DataFrame:
     units = view(spark, d, "units")
     layers = [units.where(F.col("symbol") == s) for s in SYMBOLS]
-    out, _ = R.burn_layers(layers, [s.lower() for s in SYMBOLS], raster(spark, d), GRID, binary)
+    out, _ = R.burn_layers(layers, [s.lower() for s in SYMBOLS], raster(spark, d), grid(spark, d), binary)
     return out.select("band", "px", "py", "v")
 
 
@@ -166,10 +171,11 @@ def _burn_binary(spark, d):
 SHIFT = {"A": 0, "N": 1, "R": 2}
 
 
-def tile_meta(spark) -> DataFrame:
+def tile_meta(spark, d) -> DataFrame:
+    n = raster_side(spark, d)
     return local_table(
         spark,
-        [(b, 500.0 * i, 1280.0 - 200.0 * i, 5.0, 256, 256, i) for b, i in SHIFT.items()],
+        [(b, 500.0 * i, n * 5.0 - 200.0 * i, 5.0, n, n, i) for b, i in SHIFT.items()],
         "image string, left double, top double, res double, width int, height int, tile_order int",
     )
 
@@ -181,7 +187,7 @@ TILES = "select *, case band when 'A' then 0 when 'N' then 1 else 2 end as o fro
 
 @query("mosaic", with_views("raster", MOSAIC, t=TILES))
 def _mosaic(spark, d):
-    out, _ = R.mosaic(raster(spark, d).withColumnRenamed("band", "image"), tile_meta(spark))
+    out, _ = R.mosaic(raster(spark, d).withColumnRenamed("band", "image"), tile_meta(spark, d))
     return out
 
 
@@ -189,22 +195,22 @@ def _mosaic(spark, d):
     "clip_raster",
     with_views(
         "raster aoi",
-        """select band, px - cast(floor(w / 5) as bigint) as px, py - cast(floor((1280 - n) / 5) as bigint) as py, v
+        """select band, px - cast(floor(w / 5) as bigint) as px, py - cast(floor(($E - n) / 5) as bigint) as py, v
  from raster, ex where exists (select 1 from b where (px + 0.5) * 5 >= x0 and (px + 0.5) * 5 <= x1
-  and 1280 - (py + 0.5) * 5 >= y0 and 1280 - (py + 0.5) * 5 <= y1)""",
-        b="select x0 / 25 + grp as x0, y0 / 25 + 101 as y0, x1 / 25 + grp - 60 as x1, y1 / 25 + 101 as y1 from aoi",
+  and $E - (py + 0.5) * 5 >= y0 and $E - (py + 0.5) * 5 <= y1)""",
+        b="select x0 / 50 + grp as x0, y0 / 50 + 101 as y0, x1 / 50 + grp - 30 as x1, y1 / 50 + 101 as y1 from aoi",
         ex="select min(x0) as w, max(y1) as n from b",
     ),
 )
 def _clip(spark, d):
-    out, _ = R.clip_raster(raster(spark, d), GRID, clip_areas(spark, d), 100.0)
+    out, _ = R.clip_raster(raster(spark, d), grid(spark, d), clip_areas(spark, d), 100.0)
     return out
 
 
 def clip_areas(spark, d) -> DataFrame:
     """All areas within the raster, with gaps between them."""
     return view(spark, d, "aoi").selectExpr(
-        "x0 / 25 + grp as x0", "y0 / 25 + 101 as y0", "x1 / 25 + grp - 60 as x1", "y1 / 25 + 101 as y1"
+        "x0 / 50 + grp as x0", "y0 / 50 + 101 as y0", "x1 / 50 + grp - 30 as x1", "y1 / 50 + 101 as y1"
     )
 
 
@@ -281,18 +287,18 @@ WEIGHT_SQL = "select * from (values " + ", ".join(f"({o}, {w!r}::double)" for o,
     with_views(
         "raster",
         """select y.band, y.px, y.py, round(sum(num * w) / sum(den * w), 6) as v from (
-  select r.band, r.px, r.py, case when r.py + o < 0 then -1 - r.py - o when r.py + o > 255 then 511 - r.py - o
+  select r.band, r.px, r.py, case when r.py + o < 0 then -1 - r.py - o when r.py + o >= $N then 2 * $N - 1 - r.py - o
    else r.py + o end as sy, w from raster r, wt) y
  join rows x on x.band = y.band and x.px = y.px and x.py = y.sy group by y.band, y.px, y.py""",
         wt=WEIGHT_SQL,
         rows="""select band, px, py, sum(v * w) as num, sum(w) as den from (
   select r.band, r.py, r.v, w, c.px from raster r, wt, (select distinct px from raster) c
-  where (case when c.px + o < 0 then -1 - c.px - o when c.px + o > 255 then 511 - c.px - o else c.px + o end) = r.px)
+  where (case when c.px + o < 0 then -1 - c.px - o when c.px + o >= $N then 2 * $N - 1 - c.px - o else c.px + o end) = r.px)
  group by band, px, py""",
     ),
 )
 def _gaussian(spark, d):
-    return rounded(N.gaussian(raster(spark, d), GRID, SIGMA), 6, "v")
+    return rounded(N.gaussian(raster(spark, d), grid(spark, d), SIGMA), 6, "v")
 
 
 CUBIC = """case when abs(d) <= 1 then (1.5 * abs(d) - 2.5) * d * d + 1
@@ -308,11 +314,11 @@ CUBIC = """case when abs(d) <= 1 then (1.5 * abs(d) - 2.5) * d * d + 1
   from raster r join ax a on a.j = r.px join ax b on b.j = r.py)
  group by band, ox, oy having max(case when px = nx and py = ny then 1 else 0 end) = 1""",
         ax=f"""select o, j, near, {CUBIC} as w from (select o, j, (j + 0.5e0 - (o + 0.5e0) * 1.6e0) / 1.6e0 as d,
- cast(floor((o + 0.5e0) * 1.6e0) as int) as near from range(160) x(o), range(256) y(j)) where abs(d) < 2""",
+ cast(floor((o + 0.5e0) * 1.6e0) as int) as near from (select unnest(range($N * 5 // 8)) as o) x, (select unnest(range($N)) as j) y) where abs(d) < 2""",
     ),
 )
 def _resample(spark, d):
-    out, _ = N.resample(raster(spark, d), GRID, 8.0, "cubic", block=64)
+    out, _ = N.resample(raster(spark, d), grid(spark, d), 8.0, "cubic", block=64)
     return rounded(out, 6, "v")
 
 
@@ -325,14 +331,15 @@ def _resample(spark, d):
   from raster r join ax a on a.j = r.px join ay b on b.j = r.py)
  group by band, ox, oy having max(case when px = nx and py = ny then 1 else 0 end) = 1 and sum(wx * wy) > 0""",
         ax="""select o, j, near, 1 - abs(d) as w from (select o, j, j + 0.5e0 - (20.4e0 + (o + 0.5e0) * 0.6e0) as d,
- cast(floor(20.4e0 + (o + 0.5e0) * 0.6e0) as int) as near from range(300) x(o), range(256) y(j)) where abs(d) < 1""",
+ cast(floor(20.4e0 + (o + 0.5e0) * 0.6e0) as int) as near from (select unnest(range($N + 44)) as o) x, (select unnest(range($N)) as j) y) where abs(d) < 1""",
         ay="""select o, j, near, 1 - abs(d) as w from (select o, j, j + 0.5e0 - (-8e0 + (o + 0.5e0) * 0.6e0) as d,
- cast(floor(-8e0 + (o + 0.5e0) * 0.6e0) as int) as near from range(200) x(o), range(256) y(j)) where abs(d) < 1""",
+ cast(floor(-8e0 + (o + 0.5e0) * 0.6e0) as int) as near from (select unnest(range($N - 56)) as o) x, (select unnest(range($N)) as j) y) where abs(d) < 1""",
     ),
 )
 def _align(spark, d):
-    ref = R.Grid(102.0, 1320.0, 3.0, 300, 200)
-    return rounded(N.align(raster(spark, d), GRID, ref, block=64), 6, "v")
+    g = grid(spark, d)
+    ref = R.Grid(102.0, g.top + 40.0, 3.0, g.width + 44, g.height - 56)
+    return rounded(N.align(raster(spark, d), grid(spark, d), ref, block=64), 6, "v")
 
 
 # --- patches of pixels --------------------------------------------------------------
@@ -340,7 +347,7 @@ def _align(spark, d):
 # the patch layout shrunk to 64 pixels of 5 units, so that several patches meet the raster
 SMALL = "select patch_id, x0 / 4 as x0, y0 / 4 as y0, x1 / 4 as x1, y1 / 4 as y1 from patches"
 INSIDE = "x >= x0 and x < x1 and y > y0 and y <= y1"
-CENTRES = "select band, px, py, v, (px + 0.5) * 5 as x, 1280 - (py + 0.5) * 5 as y from raster"
+CENTRES = "select band, px, py, v, (px + 0.5) * 5 as x, $E - (py + 0.5) * 5 as y from raster"
 
 
 def small_patches(spark, d) -> DataFrame:
@@ -354,7 +361,7 @@ def _image_pixels(spark, d) -> DataFrame:
 
 
 PLACE = """cast(px - greatest(cast(floor(x0 / 5) as bigint), 0) as bigint) as col,
- cast(py - greatest(cast(floor((1280 - y1) / 5) as bigint), 0) as bigint) as row"""
+ cast(py - greatest(cast(floor(($E - y1) / 5) as bigint), 0) as bigint) as row"""
 
 
 @query(
@@ -367,7 +374,7 @@ PLACE = """cast(px - greatest(cast(floor(x0 / 5) as bigint), 0) as bigint) as co
     ),
 )
 def _extract(spark, d):
-    out = P.extract_patches(_image_pixels(spark, d), band_meta(spark), small_patches(spark, d), 160.0)
+    out = P.extract_patches(_image_pixels(spark, d), band_meta(spark, d), small_patches(spark, d), 160.0)
     return out.select("patch_id", "band", "col", "row", "v")
 
 
@@ -377,20 +384,20 @@ def _extract(spark, d):
     with_views(
         "raster patches",
         f"""select patch_id, band, {PLACE}, case when v is not null and (px + 0.5) * 5 >= x0 and (px + 0.5) * 5 < x1
-  and 1280 - (py + 0.5) * 5 > y0 and 1280 - (py + 0.5) * 5 <= y1 then v else -999999e0 end as v
+  and $E - (py + 0.5) * 5 > y0 and $E - (py + 0.5) * 5 <= y1 then v else -999999e0 end as v
  from grid left join raster using (band, px, py)""",
         p="select patch_id, x0 + 3 as x0, y0 + 1 as y0, x1 + 3 as x1, y1 + 1 as y1 from (" + SMALL + ")",
         cols="""select *, unnest(range(greatest(cast(floor(x0 / 5) as bigint), 0),
- least(cast(ceil(x1 / 5) as bigint), 256))) as px from p, (select distinct band from raster)""",
-        grid="""select *, unnest(range(greatest(cast(floor((1280 - y1) / 5) as bigint), 0),
- least(cast(ceil((1280 - y0) / 5) as bigint), 256))) as py from cols""",
+ least(cast(ceil(x1 / 5) as bigint), $N))) as px from p, (select distinct band from raster)""",
+        grid="""select *, unnest(range(greatest(cast(floor(($E - y1) / 5) as bigint), 0),
+ least(cast(ceil(($E - y0) / 5) as bigint), $N))) as py from cols""",
     ),
 )
 def _filled(spark, d):
     moved = small_patches(spark, d).withColumns(
         {"x0": F.col("x0") + 3, "y0": F.col("y0") + 1, "x1": F.col("x1") + 3, "y1": F.col("y1") + 1}
     )
-    out = P.extract_patches(_image_pixels(spark, d), band_meta(spark), moved, 160.0, fill=PATCH_FILL)
+    out = P.extract_patches(_image_pixels(spark, d), band_meta(spark, d), moved, 160.0, fill=PATCH_FILL)
     return out.select("patch_id", "band", "col", "row", "v")
 
 
@@ -615,15 +622,15 @@ def _rasterise_polygon(spark, d):
     "clip_raster_polygon",
     with_views(
         "raster aoi",
-        """select band, px - cast(floor(w / 5) as bigint) as px, py - cast(floor((1280 - n) / 5) as bigint) as py, v
- from raster, ex where exists (select 1 from b where (px + 0.5) * 5 >= x0 and 1280 - (py + 0.5) * 5 >= y0
-  and ((px + 0.5) * 5 - x0) / (x1 - x0) + (1280 - (py + 0.5) * 5 - y0) / (y1 - y0) < 1)""",
-        b="select x0 / 25 + grp as x0, y0 / 25 + 101 as y0, x1 / 25 + grp - 60 as x1, y1 / 25 + 101 as y1 from aoi",
+        """select band, px - cast(floor(w / 5) as bigint) as px, py - cast(floor(($E - n) / 5) as bigint) as py, v
+ from raster, ex where exists (select 1 from b where (px + 0.5) * 5 >= x0 and $E - (py + 0.5) * 5 >= y0
+  and ((px + 0.5) * 5 - x0) / (x1 - x0) + ($E - (py + 0.5) * 5 - y0) / (y1 - y0) < 1)""",
+        b="select x0 / 50 + grp as x0, y0 / 50 + 101 as y0, x1 / 50 + grp - 30 as x1, y1 / 50 + 101 as y1 from aoi",
         ex="select min(x0) as w, max(y1) as n from b",
     ),
 )
 def _clip_raster_polygon(spark, d):
-    out, _ = R.clip_raster(raster(spark, d), GRID, lower_halves(clip_areas(spark, d)), 100.0, geometry=True)
+    out, _ = R.clip_raster(raster(spark, d), grid(spark, d), lower_halves(clip_areas(spark, d)), 100.0, geometry=True)
     return out
 
 
@@ -637,19 +644,16 @@ def _clip_raster_polygon(spark, d):
         t="select band, px, py, v * 2 as v, case band when 'A' then 0 when 'N' then 1 else 2 end as o from raster",
         m=MOSAIC,
         ax="""select o, j, o * 2 + 1 as near, 1 - abs(d) as w from (select o, j, (j + 0.5e0 - (o + 0.5e0) * 2) / 2 as d
- from range(228) x(o), range(456) y(j)) where abs(d) < 1""",
+ from (select unnest(range(($N + 200) // 2)) as o) x, (select unnest(range($N + 200)) as j) y) where abs(d) < 1""",
     ),
 )
 def _mosaic_resampled(spark, d):
     tiles = raster(spark, d).withColumnRenamed("band", "image")
     both = tiles.withColumn("band", F.lit(1)).unionByName(tiles.withColumns({"band": F.lit(2), "v": F.col("v") * 2}))
-    out, _ = R.mosaic(both, tile_meta(spark), band=2, res=10.0)
+    out, _ = R.mosaic(both, tile_meta(spark, d), band=2, res=10.0)
     return rounded(out, 6, "v")
 
 
-DEGREES = R.Grid(0.001, 0.0105, 0.00004, 200, 150)
-
-
 @query(
     "align_crs",
     with_views(
@@ -657,14 +661,16 @@ DEGREES = R.Grid(0.001, 0.0105, 0.00004, 200, 150)
         """select band, a.o as px, b.o as py, round(sum(a.w * b.w * r.v) / sum(a.w * b.w), 6) as v
  from raster r join ax a on a.j = r.px join ay b on b.j = r.py
  group by band, a.o, b.o having max(case when r.px = a.near and r.py = b.near then 1 else 0 end) = 1 and sum(a.w * b.w) > 1e-9""",
-        cx="select o, radians(0.001e0 + (o + 0.5e0) * 0.00004e0) * 6378137e0 / 5 as c from range(200) x(o)",
-        cy="select o, (1280 - ln(tan(pi() / 4 + radians(0.0105e0 - (o + 0.5e0) * 0.00004e0) / 2)) * 6378137e0) / 5 as c from range(150) x(o)",
-        ax="select o, j, cast(floor(c) as bigint) as near, 1 - abs(j + 0.5e0 - c) as w from cx, range(256) y(j) where abs(j + 0.5e0 - c) < 1",
-        ay="select o, j, cast(floor(c) as bigint) as near, 1 - abs(j + 0.5e0 - c) as w from cy, range(256) y(j) where abs(j + 0.5e0 - c) < 1",
+        cx="select o, radians(0.001e0 + (o + 0.5e0) * 0.00004e0) * 6378137e0 / 5 as c from (select unnest(range($N - 56)) as o) x",
+        cy="select o, ($E - ln(tan(pi() / 4 + radians($N * 0.00004e0 - (o + 0.5e0) * 0.00004e0) / 2)) * 6378137e0) / 5 as c from (select unnest(range($N - 106)) as o) x",
+        ax="select o, j, cast(floor(c) as bigint) as near, 1 - abs(j + 0.5e0 - c) as w from cx, (select unnest(range($N)) as j) y where abs(j + 0.5e0 - c) < 1",
+        ay="select o, j, cast(floor(c) as bigint) as near, 1 - abs(j + 0.5e0 - c) as w from cy, (select unnest(range($N)) as j) y where abs(j + 0.5e0 - c) < 1",
     ),
 )
 def _align_crs(spark, d):
-    out = N.align(raster(spark, d), GRID, DEGREES, src_crs="EPSG:3857", dst_crs="EPSG:4326")
+    g = grid(spark, d)
+    degrees = R.Grid(0.001, g.width * 0.00004, 0.00004, g.width - 56, g.height - 106)
+    out = N.align(raster(spark, d), g, degrees, src_crs="EPSG:3857", dst_crs="EPSG:4326")
     return rounded(out, 6, "v")
 
 
