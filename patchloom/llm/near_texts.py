@@ -31,7 +31,7 @@ BANDS, ROWS = 32, 4
 RING = 1 << 20
 #: Elements of sets that one task of a star compares with its hub, about; rows of a block.
 STAR_ELEMENTS, BLOCK_ROWS = 2_000_000, 1024
-MEMO = 250_000
+MEMO = 50_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from patchloom.llm.common import add_columns
 
 SPACE = "▁"
-#: Entries after which the memo of a worker is emptied.
-MEMO = 500_000
+#: Entries after which a worker's memo of segments, and that of pairs, is emptied.
+MEMO, PAIRS = 250_000, 500_000
 _LETTER = r"[^\W\d_]"
 
 
@@ -105,7 +105,7 @@ class PieceTable:
         if not found:  # they can merge across, so see whether they do
             *_, last = self._merging("".join(pair))
             found = last == pair
-        if len(self.pairs) >= MEMO:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         self.pairs[a * self.size + b] = found
         return found
@@ -158,7 +158,7 @@ class PieceTable:
         return text.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _load(digest: bytes, model: bytes) -> PieceTable:
     return PieceTable(model)
 
