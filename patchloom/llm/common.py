@@ -9,6 +9,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from patchloom.session import written
 
 MAX_ROUNDS = 60
+#: Records of an Arrow batch of texts. Spark's default of 10,000 may be gigabytes where texts are long.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of ``BATCH_ROWS``, unless the session asks for smaller ones."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +65,7 @@ def add_columns(docs: DataFrame, inputs: list[str], ddl: str, start, rows: int =
     Columns of the same name are replaced. Batches are cut to ``rows`` rows, so
     that what Python holds beside the texts stays small.
     """
+    small_batches(docs.sparkSession)
     added = T.StructType.fromDDL(ddl)
     docs = docs.drop(*(f.name for f in added if f.name not in inputs))
     kept = [f for f in docs.schema if f.name not in added.names]

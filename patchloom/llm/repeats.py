@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patchloom.llm.common import add_columns
+from patchloom.llm.common import add_columns, small_batches
 from patchloom.llm.near_texts import _MIX, _WORDS, mixed
 from patchloom.session import written
 
@@ -191,6 +191,7 @@ def _count_shards(reference: DataFrame, size: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     """Word ranges that repeated windows cover: key (hash of doc_id and text), spans (start, end)."""
+    small_batches(docs.sparkSession)
     sketch = written(_sketch(docs, size))
     counts = sketch.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     counts = written(counts)  # so that the join below is free to split a frequent anchor
