@@ -98,14 +98,12 @@ def extract_patches(
         at = located.withColumns({"cx": cx, "cy": cy}).withColumn(
             "__salt", F.pmod(F.xxhash64("px", "py"), F.lit(PIXEL_SALTS)).cast("int")
         )
-        listed = sized_cells(patches, cell, keep=["patch_id"])
-        listed = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(PIXEL_SALTS - 1))))
-        listed = listed.drop("fx", "fy")
+        listed = sized_cells(patches, cell, keep=["patch_id"], salts=PIXEL_SALTS).drop("fx", "fy")
         x = F.col("left") + (F.col("px") + 0.5) * F.col("res_x")
         y = F.col("top") - (F.col("py") + 0.5) * F.col("res_y")
         # the right and lower sides are open, as for neighbouring patches
         inside = (x >= F.col("x0")) & (x < F.col("x1")) & (y > F.col("y0")) & (y <= F.col("y1"))
-        hit = at.join(listed, ["cx", "cy", "__salt"]).where(inside)
+        hit = at.join(listed, [c for c in ("cx", "cy", "__salt") if c in listed.columns]).where(inside)
         return hit.select("patch_id", *keys, *_place(), "v")
 
     per_image = pixels.select(*keys).distinct()

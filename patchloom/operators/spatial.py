@@ -66,13 +66,12 @@ def _width(df: DataFrame, keep: Sequence[str]) -> Column:
     return total
 
 
-def sized_cells(df: DataFrame, cell: float, tol: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
-    """The cell list of the right side of a join, with the join strategy it allows.
+def cell_list_size(
+    df: DataFrame, cell: float, tol: float = 0.0, keep: Sequence[str] = ()
+) -> tuple[bool, bool]:
+    """Whether a cell list may be broadcast, and whether a box in it has very many cells.
 
-    Its rows and bytes are summed first, without listing it: a small list is
-    broadcast.  Otherwise the merge hint keeps the planner from guessing the
-    exploded size from the input, and adaptive execution splits skewed cells at
-    run time.
+    Rows and bytes are summed first, without listing it.
     """
     x0, x1 = _span(F.col("x0"), F.col("x1"), cell, tol)
     y0, y1 = _span(F.col("y0"), F.col("y1"), cell, tol)
@@ -80,9 +79,27 @@ def sized_cells(df: DataFrame, cell: float, tol: float = 0.0, keep: Sequence[str
     size = df.select(
         F.sum(per_box).alias("n"), F.max(per_box).alias("m"), F.sum(per_box * _width(df, keep)).alias("b")
     ).first()
-    if (size["n"] or 0) <= BROADCAST_CELLS and (size["b"] or 0) <= BROADCAST_BYTES:
+    small = (size["n"] or 0) <= BROADCAST_CELLS and (size["b"] or 0) <= BROADCAST_BYTES
+    return small, (size["m"] or 0) > SPREAD_CELLS
+
+
+def sized_cells(
+    df: DataFrame, cell: float, tol: float = 0.0, keep: Sequence[str] = (), salts: int = 0
+) -> DataFrame:
+    """The cell list of the right side of a join, with the join strategy it allows.
+
+    A small list is broadcast.  Otherwise the merge hint keeps the planner from
+    guessing the exploded size from the input, and adaptive execution splits
+    skewed cells at run time.  With ``salts`` such a list, and only such a list,
+    has a copy for each number below it in ``__salt``.
+    """
+    small, spread = cell_list_size(df, cell, tol, keep)
+    if small:
         return F.broadcast(cells(df, cell, tol, keep))
-    return cells(df, cell, tol, keep, spread=size["m"] > SPREAD_CELLS).hint("merge")
+    listed = cells(df, cell, tol, keep, spread=spread)
+    if salts:
+        listed = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return listed.hint("merge")
 
 
 def spatial_join(

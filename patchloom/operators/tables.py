@@ -64,19 +64,21 @@ def download_plan(
 
     ``present`` holds file names (without extension) in ``id_col``.  With
     ``substring`` a tile also counts as present when its id is a part of a name;
-    candidates then come from an equi-join on all parts of the names.
+    candidates then come from an equi-join on the parts of the names that are as
+    long as some id.
     """
     if substring:
-        name = F.col(id_col)
-        starts = F.sequence(F.lit(1), F.length(name))
-        parts = present.select(name.alias("__name"), F.explode(starts).alias("__from")).select(
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("__name") - F.col("__from") + 1),
-                    lambda n: F.substring(F.col("__name"), F.col("__from"), n),
-                )
-            ).alias(id_col)
-        )
+        # no part of another length than an id's can match
+        lengths = [r[0] for r in index.select(F.length(id_col)).distinct().collect() if r[0]]
+        name = F.col("__name")
+
+        def of_length(n):
+            starts = F.sequence(F.lit(1), F.length(name) - n + 1)
+            return F.when(F.length(name) >= n, F.transform(starts, lambda i: F.substring(name, i, F.lit(n))))
+
+        none = F.array().cast("array<string>")
+        found = F.flatten(F.array(none, *[F.coalesce(of_length(n), none) for n in sorted(lengths)]))
+        parts = present.select(F.col(id_col).alias("__name")).select(F.explode(found).alias(id_col))
         missing = index.join(parts.distinct(), id_col, "left_anti")
     else:
         missing = index.join(present.select(id_col).distinct(), id_col, "left_anti")

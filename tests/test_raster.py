@@ -254,3 +254,15 @@ def test_assemble_oversampled_ids(spark):
         c = np.array(r["channels"])
         assert c.shape == (2, 2, 2) and sorted(c[0].ravel()) == [-0.5, 0, 0, 0.5] and sorted(c[1].ravel()) == [0, 1, 1, 2]
         assert len(r["labels"]) == 2
+
+
+def test_pixels_meet_patches_the_same_way_without_broadcast(spark, sf, monkeypatch):
+    import __spark_entry__ as entry
+    from patchloom.operators import spatial
+
+    query = entry.queries()["extract_patches"]
+    want = query(spark, sf).collect()
+    monkeypatch.setattr(spatial, "BROADCAST_CELLS", 0)
+    got = query(spark, sf)
+    assert sorted(got.collect()) == sorted(want)
+    assert "__salt" in got._jdf.queryExecution().optimizedPlan().toString()
