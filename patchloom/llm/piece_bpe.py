@@ -28,7 +28,7 @@ from patchloom.llm.common import add_columns
 
 SPACE = "▁"
 #: Entries after which a worker's memo of segments, and that of pairs, is emptied.
-MEMO, PAIRS = 150_000, 300_000
+MEMO, PAIRS = 150_000, 600_000
 _LETTER = r"[^\W\d_]"
 
 
