@@ -114,6 +114,36 @@ def test_pii_field_labels_repeated_mentions(spark):
     assert pii.find(docs_of(spark, [])).count() == 0
 
 
+def test_pii_field_labels_bare_forms_wherever_they_are_common(spark):
+    """No base span is repeated anywhere; each document has one base and one bare form."""
+    rng = np.random.default_rng(5)
+    texts, want = [], []
+    for i in range(300):
+        a, b, c = (int(x) for x in rng.integers(200, 999, 3))
+        base, other, kind = [
+            (f"+1 ({a}) {b}-{c}{i % 10}", f"({a}) {b}-{c}{i % 10}", 3),
+            (f"{a % 250}.{b % 250}.{c % 250}.{i % 250}", f"{a % 250}-{b % 250}-{c % 250}-{i % 250}", 1),
+            (f"smith{chr(97 + i % 26)}{chr(97 + a % 26)}{chr(97 + b % 26)}@a.com", f"smith{chr(97 + i % 26)}{chr(97 + a % 26)}{chr(97 + b % 26)}", 0),
+        ][i % 3]
+        texts.append(f"write to {base} now, and it is long since anybody had an answer there. Or {other} at night")
+        want.append([(kind, texts[-1].index(base), True), (kind, texts[-1].rindex(other.lstrip("(")), False)])
+    # An ordinary word that is also the name of an address is as common without the address.
+    texts += ["mail support@a.com for support"] + ["mail office@a.com today"] * 300 + ["our support is good"] * 600
+    want += [[(0, 5, True)]] + [[(0, 5, True)]] * 300 + [[]] * 600
+    got = {r.doc_id: [(x.kind, x.start, x.base) for x in r.spans] for r in pii.find(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_pii_field_without_repeats_in_a_single_document(spark):
+    got = pii.find(docs_of(spark, ["Call +1 (706) 555-3138 today. Or (706) 555-3138 at night."])).first().spans
+    assert [(x.kind, x.base) for x in got] == [(3, True), (3, False)]
+
+
+def test_pii_bare_number_is_cut_from_a_longer_run():
+    text = "card 4845168114407329, then 7536784127813050 4845168114407329 again"
+    assert [(text[s:e], k) for s, e, k, _ in pii.mentions(text)] == [("4845168114407329", 2), ("4845168114407329", pii.OTHER)]
+
+
 def test_beliefs_are_marginals_of_a_tree():
     rng = np.random.default_rng(1)
     unary, pair = rng.normal(size=(3, 2)), rng.normal(size=(2, 2, 2))
