@@ -1,9 +1,11 @@
 """Secret scan with corpus-wide ownership of every candidate.
 
 Candidates are the values that the base patterns find, and long mixed tokens
-beside them. How many repositories (documents) and owners (sources) hold the
-same value decides what it is: one that several owners hold is a copied
-example, one that a single owner holds and that looks random is live.
+beside them. How many repositories (distinct documents) and owners (sources of
+those) hold the same value decides what it is: one that several owners hold in
+documents of their own is a copied example, others that look random are live.
+Copies and near copies of a document are one repository with one owner, in
+however many sources they lie: copying a document does not make its keys examples.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame, functions as F
 
+from patchloom.llm import near_texts
 from patchloom.llm.common import add_columns
 from patchloom.session import written
 
@@ -28,6 +31,9 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
+#: Documents that have so many percent of their shingles of so many words in common are copies.
+SHINGLE_WORDS, PERCENT = 5, 80
+
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
 
@@ -78,41 +84,67 @@ def find(text: str | None) -> list[tuple[int, int, int, str, bool]]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with ``found``: what ``find`` says of it."""
+    """``docs`` with ``found``: what ``find`` says of the text; a text without candidates becomes null."""
 
     def start():
-        return lambda texts: [[[dict(zip(FIELDS, x)) for x in find(text)] for text in texts]]
+        def look(texts):
+            found = [[dict(zip(FIELDS, x)) for x in find(text)] for text in texts]
+            return [t if f else None for t, f in zip(texts, found)], found
+
+        return look
+
+    return add_columns(docs, ["text"], f"text string, found array<struct<{DDL}>>", start)
 
-    return add_columns(docs, ["text"], f"found array<struct<{DDL}>>", start).drop("text")
+
+def holders(kept: DataFrame) -> DataFrame:
+    """``value``, ``repositories`` and ``owners`` of every candidate of ``kept`` (row, source, text, found).
+
+    Rows with one ``row`` are equal. Of documents that hold a value of several
+    rows, near copies are one repository. A repository that lies in several sources
+    counts for that of them that holds the value in most repositories (the first
+    by name, if several do), so owners are few where few sources explain all.
+    Counts are combined before they are shuffled, and joins may be split where a
+    value is common.
+    """
+    each = kept.select("row", F.coalesce("source", F.lit("")).alias("owner"), F.explode("found.value").alias("value"))
+    each = written(each.distinct())
+    shared = each.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
+    rows = written(each.join(written(shared), "value").select("row").distinct())
+    if rows.isEmpty():
+        parts = rows.select("row", F.col("row").alias("part"))
+    else:
+        texts = kept.join(rows, "row", "left_semi").select(F.col("row").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        parts = near_texts.near_texts(texts, SHINGLE_WORDS, PERCENT)
+        parts = parts.select(F.col("doc_id").alias("row"), F.col("component_id").alias("part"))
+    held = each.join(written(parts), "row", "left").withColumn("part", F.coalesce("part", "row"))
+    held = written(held.select("value", "part", "owner").distinct())
+    most = held.groupBy("value", "owner").agg(F.count("*").alias("n"))
+    named = held.join(most, ["value", "owner"]).groupBy("value", "part")
+    named = named.agg(F.min(F.struct(-F.col("n"), "owner"))["owner"].alias("owner"))
+    named = named.groupBy("value", "owner").agg(F.count("*").alias("n"))
+    return named.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
 def scan(docs: DataFrame, max_owners: int = 1) -> DataFrame:
     """Spans of every document with the verdict of the corpus: columns of ``docs`` less text, ``spans``.
 
     ``spans`` is sorted by start and kind: (start, kind, end, live, repositories,
-    owners). Base kinds are all listed; a token is listed only if it is live. A
-    value is live if it looks random and at most ``max_owners`` sources hold it. A
-    null text has no spans, a null source counts as one owner, repeated rows
-    count once as repositories if their doc_id is the same. Counts are combined
-    per (value, source, document) before they are shuffled, so an example that a
-    third of all documents hold is a few rows per task; the join with the verdicts
-    may be split where a value is that common. Only digests and offsets are
-    shuffled or written, no texts.
+    owners). All candidates are listed, live or not. A value is live if it looks
+    random and has at most ``max_owners`` owners, as ``holders`` counts them. A
+    null text has no spans, a null source counts as one owner. The join with the
+    verdicts may be split where a value is common. Digests and offsets are
+    shuffled, and texts only of documents that share a value with others.
     """
     docs = docs.select("doc_id", "text", "source")
     kept = written(candidates(docs).withColumn("row", F.monotonically_increasing_id()))
-    each = kept.select("row", "doc_id", "source", F.explode("found").alias("x"))
-    each = each.select("row", "doc_id", "source", "x.*")
-    owner = F.coalesce("source", F.lit(""))
-    held = each.groupBy("value", owner.alias("owner"), "doc_id").agg(F.lit(1).alias("one"))
-    held = held.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    held = held.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
+    each = kept.select("row", F.explode("found").alias("x")).select("row", "x.*")
     live = F.col("random") & (F.col("owners") <= max_owners)
-    judged = each.join(held, "value").withColumn("live", live).where(F.col("live") | (F.col("kind") < 3))
+    judged = each.join(written(holders(kept)), "value").withColumn("live", live)
     span = F.struct("start", "kind", "end", "live", "repositories", "owners")
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     empty = F.array().cast(spans.schema["spans"].dataType)
-    return kept.drop("found").join(spans, "row", "left").withColumn("spans", F.coalesce("spans", empty)).drop("row")
+    out = kept.drop("found", "text").join(spans, "row", "left")
+    return out.withColumn("spans", F.coalesce("spans", empty)).drop("row")
 
 
 def redact(docs: DataFrame, max_owners: int = 1, mark: str = "[SECRET]") -> DataFrame:
@@ -123,12 +155,12 @@ def redact(docs: DataFrame, max_owners: int = 1, mark: str = "[SECRET]") -> Data
     """
     names = docs.columns
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
-    kept = candidates(keyed.select("_row", "source", "text"))
-    each = kept.select("_row", F.coalesce("source", F.lit("")).alias("owner"), F.explode("found").alias("x"))
-    each = written(each.where("x.random").select("_row", "owner", F.col("x.value").alias("value")).distinct())
-    owners = each.groupBy("value", "owner").agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("*").alias("n"))
-    live = owners.where(F.col("n") <= max_owners).select("value")
-    hit = each.join(live, "value").groupBy("_row").agg(F.collect_set("value").alias("_live"))
+    kept = candidates(keyed.select(F.col("_row").alias("row"), "source", "text"))
+    kept = written(kept.where(F.size("found") > 0))
+    live = holders(kept).where(F.col("owners") <= max_owners).select("value")
+    each = kept.select(F.col("row").alias("_row"), F.explode("found").alias("x")).where("x.random")
+    each = each.select("_row", F.col("x.value").alias("value")).distinct()
+    hit = each.join(written(live), "value").groupBy("_row").agg(F.collect_set("value").alias("_live"))
 
     def start():
         def clean(text, live):

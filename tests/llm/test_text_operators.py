@@ -241,6 +241,30 @@ def test_ownership_tells_examples_from_live_secrets(spark):
     assert secret_scan.scan(docs_of(spark, [])).count() == 0
 
 
+def test_copies_of_a_document_do_not_make_its_secrets_examples(spark):
+    live, token, copied = "api_key=Zx9Kq27LmP0aWv31", "Q7wE9rT2yU4iO6pA8sD1fG3h", "token=Example77Key88Sample99"
+    words = [f"w{i}" for i in range(120)]
+    body = " ".join(words[:60] + [live, token] + words[60:])
+    near = body.replace("w59 ", "v59 ").replace(" w60", " v60")  # changed right beside the values
+    own = [f"{copied} {' '.join(f'{c}{i}' for i in range(30))}" for c in "abc"]
+    texts = [body] * 6 + [near] * 3 + own
+    rows = [(i, t, None, f"s{i}", 0) for i, t in enumerate(texts)]
+    docs = local_table(spark, rows, DOCS)
+    got = {r.doc_id: [(x.kind, x.live, x.repositories, x.owners) for x in r.spans] for r in secret_scan.scan(docs).collect()}
+    want = [[(0, True, 1, 1), (3, True, 1, 1)]] * 9 + [[(0, False, 3, 3)]] * 3
+    assert got == dict(enumerate(want))
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    gone = [t.replace(live, "[SECRET]").replace(token, "[SECRET]") for t in texts]
+    assert {i: t.replace("api_key=", "") for i, t in clean.items()} == dict(enumerate(gone))
+
+
+def test_copied_tokens_are_listed_with_their_verdict(spark):
+    token = "Q7wE9rT2yU4iO6pA8sD1fG3h"
+    rows = [(i, f"{c} {token} {c}", None, f"s{i}", 0) for i, c in enumerate("ab")]
+    got = [[(x.kind, x.live, x.owners) for x in r.spans] for r in secret_scan.scan(local_table(spark, rows, DOCS)).collect()]
+    assert got == [[(3, False, 2)]] * 2
+
+
 # -- pieces -------------------------------------------------------------------------------------
 
 
