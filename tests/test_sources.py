@@ -162,6 +162,36 @@ def test_stream_best_batches(spark, tmp_path):
     assert {(r["run"], r["epoch"]): (r["new_best"], r["new_best_accuracy"]) for r in out} == expected_flags(spark)
 
 
+LATE_PARTS = [
+    [("a", 2, 2.0, 60.0)],
+    [("a", 1, 0.5, 90.0), ("a", 3, 1.0, 70.0)],  # the first is late and better
+    [("a", 4, 0.4, 80.0), ("a", 2, 3.0, 1.0)],
+]
+
+
+def test_stream_best_state_keeps_late_records(spark, tmp_path):
+    stream = best.stream_running_best(stream_of(spark, tmp_path, LATE_PARTS, RECORDS), ignore_late=False)
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    q.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(best.OUTPUT_LATE).parquet(str(tmp_path / "out")).collect()
+    got = sorted((r["epoch"], r["loss"], r["new_best"], r["new_best_accuracy"], r["late"]) for r in out)
+    assert got == [
+        (1, 0.5, None, None, True), (2, 2.0, True, True, False), (2, 3.0, None, None, True),
+        (3, 1.0, False, False, False), (4, 0.4, True, False, False),
+    ]
+
+
+def test_stream_best_batches_keep_late_records(spark, tmp_path):
+    stream = stream_of(spark, tmp_path, LATE_PARTS, RECORDS)
+    table = str(tmp_path / "best")
+    best.start_best(stream, table, str(tmp_path / "ck"), ignore_late=False).awaitTermination()
+    late = spark.read.parquet(f"{table}/late").collect()
+    assert sorted((r["epoch"], r["loss"]) for r in late) == [(1, 0.5), (2, 3.0)]
+    flags = spark.read.parquet(f"{table}/flags").collect()
+    got = sorted((r["epoch"], r["new_best"], r["new_best_accuracy"]) for r in flags)
+    assert got == [(2, True, True), (3, False, False), (4, True, False)]
+
+
 def test_score_checks_the_model(spark):
     df = spark.range(5).select(F.col("id").alias("sid"), F.array(F.lit(1.0), F.lit(0.0)).alias("t"))
     out = ml.score(df, lambda b: np.zeros((len(b), 2)), 2, "sid", "t")
