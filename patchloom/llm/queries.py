@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import chat, language, mixing, near_texts, near_vectors, pii, piece_bpe, repeats, secret_scan, topk
+from patchloom.llm import chat, language, merkle, mixing, near_texts, near_vectors, pii, piece_bpe, repeats, secret_scan, topk
 from patchloom.llm.common import count_kind, span_list, table
 from patchloom.session import ship_package
 
@@ -240,3 +240,80 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words that a repeated window of 35 words covers."""
     found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("""
+with recursive ops as (
+    select doc_id, list_reduce(list_prepend(4294967295 :: bigint,
+        flatten(list_transform(string_split(doc_id :: varchar, ''), lambda c: [ord(c) :: bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, o: case when o >= 0 then xor(c, o) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from (select distinct doc_id from documents where doc_id is not null)
+), texts as (
+    select d.*, case when xor(o.c, 4294967295) % 3 = 0
+        then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as changed
+    from documents d left join ops o on o.doc_id = d.doc_id
+), leaves as materialized (
+    select doc_id, lang, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as r,
+        count(*) over (partition by lang) as n, leaf, altered
+    from (
+        select doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+            sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) as altered
+        from (
+            select *, coalesce(strlen(doc_id :: varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars :: varchar) || ':' || n_chars, '-') as head
+            from texts
+        )
+    )
+), own as materialized (
+    select 0 as level, lang, r, leaf as node, n from leaves
+    union all
+    select level + 1, lang, r // 8, sha256(string_agg(node, '' order by r)), (max(n) + 7) // 8
+    from own where n > 1 group by level, lang, r // 8
+), subroots as materialized (
+    select lang, node, level, row_number() over (order by lang nulls first) - 1 as r, count(*) over () as n from own where n = 1
+), upper_nodes as materialized (
+    select 0 as level, r, node, n from subroots
+    union all
+    select level + 1, r // 8, sha256(string_agg(node, '' order by r)), (max(n) + 7) // 8
+    from upper_nodes where n > 1 group by level, r // 8
+), nodes as materialized (
+    select s.r as tree, o.level, o.r, o.node from own o join subroots s on s.lang is not distinct from o.lang where o.n > 1
+    union all
+    select -1, level, r, node from upper_nodes where n > 1
+), steps as materialized (
+    select l.leaf, l.r as place, s.r as tree0, t.level + 1 as step, s.r as tree, t.level, l.r // cast(pow(8, t.level) as bigint) as r
+    from leaves l join subroots s on s.lang is not distinct from l.lang, range(0, 30) t(level) where t.level < s.level
+    union all
+    select l.leaf, l.r, s.r, s.level + t.level + 1, -1, t.level, s.r // cast(pow(8, t.level) as bigint)
+    from leaves l join subroots s on s.lang is not distinct from l.lang, range(0, 30) t(level)
+    where t.level < (select max(level) from upper_nodes)
+), runs as materialized (
+    select p.tree0, p.place, p.step, coalesce(string_agg(n.node, '' order by n.r) filter (n.r < p.r), '') as before,
+        coalesce(string_agg(n.node, '' order by n.r) filter (n.r > p.r), '') as after
+    from steps p join nodes n on n.tree = p.tree and n.level = p.level and n.r // 8 = p.r // 8
+    group by p.tree0, p.place, p.step
+), folded as (
+    select s.r as tree0, l.r as place, 0 as step, l.altered as node from leaves l join subroots s on s.lang is not distinct from l.lang
+    union all
+    select f.tree0, f.place, f.step + 1, sha256(x.before || f.node || x.after)
+    from folded f join runs x on x.tree0 = f.tree0 and x.place = f.place and x.step = f.step + 1
+), ends as (
+    select tree0, place, arg_max(node, step) as folded_root from folded group by all
+), proofs as (
+    select tree0, place, sha256(string_agg(before || after, '' order by step)) as proof_sha256 from runs group by all
+), top as (
+    select node as root from upper_nodes where n = 1
+)
+select l.doc_id, l.leaf, s.node as subroot, t.root, coalesce(p.proof_sha256, sha256('')) as proof_sha256, e.folded_root,
+    e.folded_root = t.root as verified
+from leaves l join subroots s on s.lang is not distinct from l.lang join ends e on e.tree0 = s.r and e.place = l.r
+left join proofs p on p.tree0 = s.r and p.place = l.r, top t
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents; every third one is folded with its text in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    text = F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), text)
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified"
+    )
