@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import chat, language, merkle, mixing, near_texts, near_vectors, pii, piece_bpe, repeats, secret_scan, topk
+from patchloom.llm import chat, decontaminate, language, merkle, mixing, near_texts, near_vectors, pii, piece_bpe, repeats, secret_scan, topk, vector_codes
 from patchloom.llm.common import count_kind, span_list, table
 from patchloom.session import ship_package
 
@@ -317,3 +317,84 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified"
     )
+
+
+@register(r"""
+with items as (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), windows as materialized (
+    select distinct item_id :: varchar as item_id, n, array_to_string(w[i : i + n - 1], ' ') as c
+    from (select *, unnest(range(1, len(w) - n + 2)) as i from (select *, least(len(w), 10) as n from items where len(w) > 0))
+), words as materialized (
+    select row_number() over () as row, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), spans as (
+    select row, i, n, array_to_string(w[i : i + n - 1], ' ') as c
+    from (select row, w, n, unnest(range(1, len(w) - n + 2)) as i from words, (select distinct n from windows) where len(w) >= n)
+), hits as materialized (
+    select row, i, n, item_id from spans join windows using (n, c)
+), covered as (
+    select row, count(distinct p) as n_hit from (select row, unnest(range(i, i + n)) as p from hits) group by row
+), named as (
+    select row, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names
+    from (select distinct row, item_id from hits) group by row
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join covered using (row) left join named using (row)
+""")
+def op13_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of all documents is in the benchmark, by windows of ten words."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+_ROUND = """
+), score{i} as (
+    select q.row, q.part, c.entry, list_inner_product(c.e, c.e) - 2 * list_inner_product(q.x, c.e) as d
+    from pieces q join book{j} c on c.part = q.part
+), owner{i} as materialized (
+    select row, part, arg_min(entry, struct_pack(d := d, entry := entry)) as entry from score{i} group by row, part
+), means{i} as (
+    select part, entry, list(m order by p) as e from (
+        select part, entry, p, floor(sum(v) / count(*)) as m from (
+            select o.part, o.entry, unnest(q.x) as v, unnest(range(len(q.x))) as p
+            from owner{i} o join pieces q on q.row = o.row and q.part = o.part
+        ) group by part, entry, p
+    ) group by part, entry
+), book{i} as materialized (
+    select b.part, b.entry, coalesce(m.e, b.e) as e from book{j} b left join means{i} m on m.part = b.part and m.entry = b.entry
+"""
+
+
+@register("""
+with ok as materialized (
+    select row_number() over (order by vec_id) as row, vec_id, label, list_transform(embedding, lambda v: floor(v :: double * 1024)) as x
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0
+), pieces as materialized (
+    select row, part, x[part * len(x) // 4 + 1 : (part + 1) * len(x) // 4] as x from ok, range(4) t(part)
+), book0 as materialized (
+    select part, row - 1 as entry, x as e from pieces where row <= 256
+""" + "".join(_ROUND.format(i=i, j=i - 1) for i in range(1, 6)).rsplit("), means5", 1)[0] + """), coded as (
+    select k.row, k.vec_id, k.label, string_agg(format('{:02x}', o.entry), '' order by o.part) as code,
+        cast(sum(list_inner_product(q.x, q.x) - 2 * list_inner_product(q.x, b.e) + list_inner_product(b.e, b.e)) as bigint) as error
+    from ok k join owner5 o on o.row = k.row join pieces q on q.row = o.row and q.part = o.part
+    join book4 b on b.part = o.part and b.entry = o.entry group by k.row, k.vec_id, k.label
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+    (select sha256(string_agg(array_to_string(list_transform(e, lambda v: v :: bigint), ','), ',' order by part, entry)) from book4) as codebooks_sha256
+from coded
+""")
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in four parts of 256 entries, after four rounds."""
+    x = vector_codes.quantise(F.col("embedding")).alias("x")
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings").select("vec_id", "label", x))
+    text = ",".join(str(v) for book in books for entry in book for v in entry)
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.sha2(F.lit(text), 256).alias("codebooks_sha256")
+    )
