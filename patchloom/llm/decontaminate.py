@@ -32,15 +32,22 @@ def lowered(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(exact)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
     """Words in order; none for null."""
-    found = F.split(lowered(text), SEPARATORS, -1)
-    return F.coalesce(F.array_remove(found, ""), F.array().cast("array<string>"))
 
+    def inner(found: Column) -> Column:
+        """Without the empty ends of a text that a separator begins or ends."""
+        before = F.when(F.get(found, F.lit(0)) == "", 1).otherwise(0)
+        after = F.when(F.element_at(found, -1) == "", 1).otherwise(0)
+        return F.slice(found, before + 1, F.greatest(F.size(found) - before - after, F.lit(0)))
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    found = F.split(F.coalesce(lowered(text), F.lit("")), SEPARATORS, -1)
+    return _let(found, inner)
 
 
 def _neighbours(values: Column, apart: int, join) -> Column:
@@ -69,9 +76,8 @@ def kept_runs(words: Column, length: int) -> Column:
     while have < k:
         h = _neighbours(h, have, lambda a, b: F.xxhash64(a, b))
         have *= 2
-    placed = F.transform(
-        h, lambda x, i: F.shiftleft(F.shiftright(x, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))
-    )
+    high = F.lit(-1 << PLACE_BITS).cast("long")
+    placed = F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long")))
     low, have = placed, 1
     while have < w:
         step = min(have, w - have)
@@ -134,17 +140,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     keys = ["key1", "key2"]
     words = words_of(F.col("text")).alias("words")
 
-    def mark(length: int) -> Column:
-        return F.transform(
-            kept_runs(F.col("words"), length), lambda r: F.struct(F.lit(length).alias("length"), run_hash(r).alias("h"))
-        )
-
-    marks = F.concat(*map(mark, lengths))
+    marks = F.concat(*(kept_runs(F.col("words"), n) for n in lengths))
     about = ["row", "doc_id", *keys, "n_words"]
     read = text.select(F.monotonically_increasing_id().alias("row"), "doc_id", *_key(F.col("text")), words)
     read = read.withColumn("n_words", F.size("words").cast("long"))
-    asked = read.select(*about, F.explode_outer(F.array_distinct(marks)).alias("m")).select(*about, "m.*")
-    asked = asked.join(runs.withColumn("met", F.lit(True)), ["length", "h"], "left")
+    asked = read.select(*about, F.explode_outer(marks).alias("run")).select(*about, run_hash(F.col("run")).alias("h"))
+    asked = asked.join(runs.select("h").distinct().withColumn("met", F.lit(True)), "h", "left")
     seen = written(asked.groupBy(about).agg(F.max(F.coalesce("met", F.lit(False))).alias("met")))
 
     suspects = seen.where("met").select(keys).distinct()
