@@ -118,33 +118,29 @@ def spatial_join(
     ``how`` is ``inner`` (one row per pair; columns of the right that also occur
     on the left get ``suffix``), ``left_semi`` or ``left_anti``.  ``cell`` should
     be near the usual box side; ``left_id`` must be unique on the left.  With
-    ``exact_geometry`` the box test only selects candidates and the ``geom``
-    columns decide.
+    ``exact_geometry`` the outlines in the ``geom`` columns decide, edge by edge.
     """
     if predicate not in boxes.PREDICATES:
         raise ValueError(f"unknown predicate {predicate}")
     same_crs(left, right)
     crs = ["crs"] if "crs" in left.columns else []
-    geom = ["geom"] if exact_geometry else []
-    if how == "inner":
-        return _pairs(left, right, predicate, cell, tol, suffix, crs, exact_geometry)
-    if how not in ("left_semi", "left_anti"):
+    if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unknown join type {how}")
+    if exact_geometry:
+        from patchloom.operators.outlines import outline_join  # built on this module
 
-    if not exact_geometry:
-        right = right.select(*SIDES, *crs).distinct()  # copies of a box test alike
-    lc = cells(left, cell, tol, [left_id, *crs, *geom])
-    rc = _renamed(
-        sized_cells(right, cell, tol, [*crs, *geom]), [*SIDES, "fx", "fy", *crs, *geom], "__r_"
-    )
-    near = boxes.PREDICATES["intersects" if exact_geometry else predicate](box(), box("__r_"), tol)
+        return outline_join(left, right, predicate, how, cell, left_id, tol, suffix)
+    if how == "inner":
+        return _pairs(left, right, predicate, cell, tol, suffix, crs)
+
+    right = right.select(*SIDES, *crs).distinct()  # copies of a box test alike
+    lc = cells(left, cell, tol, [left_id, *crs])
+    rc = _renamed(sized_cells(right, cell, tol, crs), [*SIDES, "fx", "fy", *crs], "__r_")
+    near = boxes.PREDICATES[predicate](box(), box("__r_"), tol)
     on = (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy")) & near
     if crs:
         on = on & _crs_equal()
-    kind = "inner" if exact_geometry else "left_semi"
-    hit = lc.alias("l").join(rc.alias("r"), on, kind)
-    if exact_geometry:
-        hit = hit.where(_geometry_test(predicate, tol))
+    hit = lc.alias("l").join(rc.alias("r"), on, "left_semi")
     return left.join(hit.select(left_id).distinct(), left_id, how)
 
 
@@ -157,10 +153,6 @@ def _renamed(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({n: f"{prefix}{n}" for n in names})
 
 
-def _geometry_test(predicate: str, tol: float) -> Column:
-    return polygons.predicate_udf(predicate, max(tol, polygons.EPS))("geom", "__r_geom")
-
-
 def _pairs(
     left: DataFrame,
     right: DataFrame,
@@ -169,7 +161,6 @@ def _pairs(
     tol: float,
     suffix: str,
     crs: list[str],
-    exact: bool,
 ) -> DataFrame:
     lc = cells(left, cell, tol, [c for c in left.columns if c not in SIDES])
     rc = sized_cells(right, cell, tol, [c for c in right.columns if c not in SIDES])
@@ -178,10 +169,7 @@ def _pairs(
     joined = lc.join(rc, ["cx", "cy"]).where(first)
     if crs:
         joined = joined.where(_crs_equal())
-    near = boxes.PREDICATES["intersects" if exact else predicate](box(), box("__r_"), tol)
-    joined = joined.where(near)
-    if exact:
-        joined = joined.where(_geometry_test(predicate, tol))
+    joined = joined.where(boxes.PREDICATES[predicate](box(), box("__r_"), tol))
     out = [F.col(c) for c in left.columns]
     for c in right.columns:
         if c in crs:
@@ -271,15 +259,21 @@ def reassign_symbol(
     """Give the chosen symbols to the neighbour with which they share most border.
 
     Neighbours are units of other symbols with a common border longer than zero;
-    ties go to the lowest id; a unit without neighbours keeps its symbol.
+    ties go to the lowest id; a unit without neighbours keeps its symbol. With
+    ``geometry`` borders are those of the outlines, and lengths that are equal to six
+    digits are ties.
     """
-    cols = [unit_id, symbol, *SIDES, *(["geom"] if geometry else [])]
-    chosen = units.where(F.col(symbol).isin(*symbols)).select(*cols)
-    others = units.where(~F.col(symbol).isin(*symbols)).select(*cols)
-    pairs = spatial_join(chosen, others, "intersects", "inner", cell, unit_id, tol, "_n")
+    chosen, others = units.where(F.col(symbol).isin(*symbols)), units.where(~F.col(symbol).isin(*symbols))
     if geometry:
-        length = polygons.shared_length_udf(max(tol, polygons.EPS))("geom", "geom_n")
+        from patchloom.operators.outlines import LEFT, RIGHT, shared_borders  # built on this module
+
+        named = others.select(F.col(unit_id).alias(RIGHT), F.col(symbol).alias(f"{symbol}_n"))
+        sides = (side.select(F.col(unit_id).alias(key), "geom") for side, key in ((chosen, LEFT), (others, RIGHT)))
+        pairs = shared_borders(*sides, cell, tol).join(named, RIGHT).withColumnsRenamed({LEFT: unit_id, RIGHT: f"{unit_id}_n"})
+        length = F.round("shared", 6)
     else:
+        chosen, others = (side.select(unit_id, symbol, *SIDES) for side in (chosen, others))
+        pairs = spatial_join(chosen, others, "intersects", "inner", cell, unit_id, tol, "_n")
         length = boxes.shared_border(box(), boxes.Box(*[F.col(f"{s}_n") for s in SIDES]), tol)
     best = (
         pairs.withColumn("__len", length)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from patchloom.functions.boxes import expand_box
+from patchloom.functions.boxes import SIDES, expand_box
 from patchloom.functions.geometry import area, box_geom, bbox, explode_parts, to_crs
 from patchloom.operators import dataset as D, spatial as S
 from patchloom.operators.labels import split_summary
@@ -335,6 +337,36 @@ def halves(spark, d, name: str = "aoi") -> DataFrame:
     return view(spark, d, name).withColumn("geom", F.array(F.array(ring)))
 
 
+# A box and a half area meet inside if the lower left corner of what their bounds share is before the slanted side.
+CORNER = """(greatest(a.x0, b.x0) - b.x0) * (b.y1 - b.y0) + (greatest(a.y0, b.y0) - b.y0) * (b.x1 - b.x0)
+ - (b.x1 - b.x0) * (b.y1 - b.y0)"""
+MEET_INSIDE = f"{MEET} and {CORNER} < 0"
+
+
+@query(
+    "spatial_join_outlines",
+    with_views(
+        "patches aoi",
+        f"""select pid, aoi_id, predicate from (
+ select pid, aoi_id, {MEET_INSIDE} as inner_, {IN_HALF} as in_, {B_IN_A} as around
+ from patches a join aoi b on {MEET_HALF}
+), (values ('intersects'), ('overlaps'), ('within'), ('touches')) p(predicate)
+ where case predicate when 'intersects' then true when 'within' then in_ when 'touches' then not inner_
+ else inner_ and not in_ and not around end""",
+    ),
+)
+def _outline_pairs(spark, d):
+    patches = view(spark, d, "patches").withColumn("geom", box_geom(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
+    areas = halves(spark, d).select("aoi_id", *SIDES, "geom")
+    found = [
+        S.spatial_join(patches, areas, p, cell=PATCH_CELL, left_id="pid", exact_geometry=True).select(
+            "pid", "aoi_id", F.lit(p).alias("predicate")
+        )
+        for p in ("intersects", "overlaps", "within", "touches")
+    ]
+    return reduce(DataFrame.unionAll, found)
+
+
 @query(
     "split_contained_polygon",
     with_views("tile_index aoi", f"select tile_id, exists (select 1 from aoi b where {IN_HALF}) as contained from small a",
