@@ -108,6 +108,7 @@ def start_best(
             if number > 0:
                 state = spark.read.schema(STATE_TABLE).parquet(f"{table}/state/batch={number - 1}")
                 newer = F.col("last").isNull() | (F.col("epoch") > F.col("last"))
+                newer = F.coalesce(newer, F.lit(False))  # a record without an epoch is late in a run that has begun
                 late = attach(batch, state, ["run"], ["epoch"]).where(~newer).select(*batch.columns)
                 if not ignore_late:
                     state = _lowered(state, late)

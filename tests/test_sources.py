@@ -192,6 +192,15 @@ def test_stream_best_batches_keep_late_records(spark, tmp_path):
     assert got == [(2, True, True), (3, False, False), (4, True, False)]
 
 
+def test_stream_best_batches_keep_records_without_epoch(spark, tmp_path):
+    parts = [[("a", 1, 2.0, 60.0)], [("a", None, 0.1, 99.0), ("a", 2, 1.0, 70.0)]]
+    table = str(tmp_path / "best")
+    best.start_best(stream_of(spark, tmp_path, parts, RECORDS), table, str(tmp_path / "ck")).awaitTermination()
+    assert [(r["epoch"], r["loss"]) for r in spark.read.parquet(f"{table}/late").collect()] == [(None, 0.1)]
+    flags = spark.read.parquet(f"{table}/flags").collect()
+    assert sorted((r["epoch"], r["new_best"]) for r in flags) == [(1, True), (2, True)]
+
+
 def test_score_checks_the_model(spark):
     df = spark.range(5).select(F.col("id").alias("sid"), F.array(F.lit(1.0), F.lit(0.0)).alias("t"))
     out = ml.score(df, lambda b: np.zeros((len(b), 2)), 2, "sid", "t")
