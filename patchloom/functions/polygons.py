@@ -93,34 +93,6 @@ def _ring(left: list, right: list) -> list[list[float]]:
     return [*kept, *kept[:1]]
 
 
-def line_spans(e: np.ndarray, y: float) -> list[tuple[float, float]]:
-    """x-intervals inside the rings along one horizontal line, by even-odd rule."""
-    ax, ay, bx, by = e.T
-    cross = (ay > y) != (by > y)
-    xs = np.sort(ax[cross] + (y - ay[cross]) * (bx - ax)[cross] / (by - ay)[cross])
-    return [(float(a), float(b)) for a, b in zip(xs[::2], xs[1::2])]
-
-
-def strip_spans(geom, ylo: float, yhi: float) -> list[tuple[float, float]]:
-    """x-intervals that the geometry covers somewhere in ``ylo <= y <= yhi``.
-
-    Border pieces inside the strip plus the even-odd interior at mid height
-    cover every column of cells that the polygon reaches in this strip.
-    """
-    e = edges(geom)
-    ax, ay, bx, by = e.T
-    near = (np.maximum(ay, by) > ylo) & (np.minimum(ay, by) < yhi)
-    spans = []
-    for x0, y0, x1, y1 in e[near]:
-        if y0 != y1:
-            cut = np.clip([ylo, yhi], min(y0, y1), max(y0, y1))
-            xs = x0 + (cut - y0) * (x1 - x0) / (y1 - y0)
-        else:
-            xs = np.array([x0, x1])
-        spans.append((float(xs.min()), float(xs.max())))
-    return spans + line_spans(e, (ylo + yhi) / 2)
-
-
 def clip_udf():
     """Arrow-batched ``clip_to``."""
 
@@ -129,24 +101,3 @@ def clip_udf():
         return pd.Series([clip_to(g, m) for g, m in zip(geom, mask)], dtype=object)
 
     return clip
-
-
-def strip_udf():
-    """Arrow-batched ``strip_spans``; spans come as ``[from, to]`` pairs."""
-
-    @F.pandas_udf("array<array<double>>")
-    def spans(geom: pd.Series, ylo: pd.Series, yhi: pd.Series) -> pd.Series:
-        cut = [[list(s) for s in strip_spans(g, lo, hi)] for g, lo, hi in zip(geom, ylo, yhi)]
-        return pd.Series(cut, dtype=object)
-
-    return spans
-
-
-def line_udf():
-    """Arrow-batched ``line_spans``; spans come as ``[from, to]`` pairs."""
-
-    @F.pandas_udf("array<array<double>>")
-    def spans(geom: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([[list(s) for s in line_spans(edges(g), v)] for g, v in zip(geom, y)], dtype=object)
-
-    return spans

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 from math import ceil
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from patchloom.functions import polygons
+from patchloom.operators.areas import edges
 from patchloom.operators.lookup import attach
 from patchloom.operators.spatial import sized_cells
 
@@ -53,22 +53,19 @@ def touched_cells(units: DataFrame, grid: Grid, keep: Sequence[str], geometry: b
     """Every grid cell that a box or polygon touches, as ``(keep..., py, bx, px)``.
 
     A feature is cut into the strips of its pixel rows, and strips into runs of
-    at most ``RUN`` columns; for a polygon Python gives the x-intervals of each
-    strip.  Runs are moved by ``(py, bx)`` and listed as cells only after that: a
-    huge feature becomes many tasks, and grouping by ``(py, bx, px)`` needs no
-    further shuffle of single cells.
+    at most ``RUN`` columns; a polygon is gone through by its edges, see
+    ``border_strips`` and ``inner_strips``.  Runs are moved by ``(py, bx)`` and
+    listed as cells only after that: a huge feature becomes many tasks, and
+    grouping by ``(py, bx, px)`` needs no further shuffle of single cells.
     """
-    rows = _touched(
-        (F.lit(grid.top) - F.col("y1")) / grid.res, (F.lit(grid.top) - F.col("y0")) / grid.res, grid.height - 1
-    )
     if geometry:
-        strips = units.select(*keep, "geom", F.explode(rows).alias("py"))
-        top = F.lit(grid.top) - F.col("py") * grid.res
-        spans = F.explode(polygons.strip_udf()("geom", top - grid.res, top))
-        strips = strips.select(*keep, "py", spans.alias("__s")).select(
-            *keep, "py", F.col("__s")[0].alias("__x0"), F.col("__s")[1].alias("__x1")
-        )
+        lines = rising_edges(units, keep)
+        strips = border_strips(lines, grid).unionByName(inner_strips(lines, grid))
+        strips = strips.select(*(F.col(f"__f.{c}").alias(c) for c in keep), "py", "__x0", "__x1")
     else:
+        rows = _touched(
+            (F.lit(grid.top) - F.col("y1")) / grid.res, (F.lit(grid.top) - F.col("y0")) / grid.res, grid.height - 1
+        )
         strips = units.select(
             *keep, F.explode(rows).alias("py"), F.col("x0").alias("__x0"), F.col("x1").alias("__x1")
         )
@@ -76,16 +73,70 @@ def touched_cells(units: DataFrame, grid: Grid, keep: Sequence[str], geometry: b
     end = F.least(
         F.ceil((F.col("__x1") - grid.left) / grid.res) - 1, F.lit(grid.width - 1).cast("long")
     )
-    runs = (
-        strips.select(*keep, "py", first.alias("__a"), end.alias("__b"))
-        .where(F.col("__a") <= F.col("__b"))
-        .withColumn("bx", F.explode(F.sequence(F.floor(F.col("__a") / RUN), F.floor(F.col("__b") / RUN))))
-        .repartition("py", "bx")
-    )
-    columns = F.sequence(
-        F.greatest("__a", F.col("bx") * RUN), F.least("__b", F.col("bx") * RUN + (RUN - 1))
+    runs = _runs(strips.select(*keep, "py", first.alias("__a"), end.alias("__b"))).repartition("py", "bx")
+    return runs.withColumn("px", F.explode(F.sequence("__a", "__b"))).drop("__a", "__b")
+
+
+def _runs(spans: DataFrame) -> DataFrame:
+    """Spans ``__a..__b`` of columns cut at multiples of ``RUN``, with the number ``bx`` of the run; empty ones go."""
+    blocks = F.sequence(F.floor(F.col("__a") / RUN), F.floor(F.col("__b") / RUN))
+    cut = spans.where(F.col("__a") <= F.col("__b")).withColumn("bx", F.explode(blocks))
+    start = F.col("bx") * RUN
+    return cut.withColumns({"__a": F.greatest("__a", start), "__b": F.least("__b", start + (RUN - 1))})
+
+
+def rising_edges(units: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Edges of outlines from their lower to their upper end: ``__f, ax, ay, bx, by``.
+
+    ``__f`` has the ``keep`` columns and ``__id``, which tells features apart, equal
+    ones too.  All edges of a feature come from one row, so an id means the same
+    to all rows that meet in a group, however often a lost task is run again.
+    """
+    feature = F.struct(F.monotonically_increasing_id().alias("__id"), *keep)
+    found = edges(units.select(feature.alias("__f"), "geom"), "__f")
+    up = F.col("ay") <= F.col("by")
+    turned = {
+        n: F.when(up, F.col(n)).otherwise(F.col(m)) for n, m in (("ax", "bx"), ("ay", "by"), ("bx", "ax"), ("by", "ay"))
+    }
+    return found.select("__f", *(c.alias(n) for n, c in turned.items()))
+
+
+def _x_at(y: Column) -> Column:
+    """Where a rising edge is at the height ``y``; its ends are met exactly."""
+    share = (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    return F.when(y == F.col("by"), F.col("bx")).otherwise(F.col("ax") + share)
+
+
+def border_strips(lines: DataFrame, grid: Grid) -> DataFrame:
+    """What the edges cover of the strips of pixel rows: ``__f, py, __x0, __x1``.
+
+    An edge on the border of two strips is in neither, as for boxes.
+    """
+    rows = _touched((F.lit(grid.top) - F.col("by")) / grid.res, (F.lit(grid.top) - F.col("ay")) / grid.res, grid.height - 1)
+    at = lines.withColumn("py", F.explode(rows))
+    top = F.lit(grid.top) - F.col("py") * grid.res
+    low, high = F.greatest("ay", F.least("by", top - grid.res)), F.least("by", F.greatest("ay", top))
+    flat = F.col("ay") == F.col("by")
+    one, two = F.when(flat, F.col("ax")).otherwise(_x_at(low)), F.when(flat, F.col("bx")).otherwise(_x_at(high))
+    return at.select("__f", "py", F.least(one, two).alias("__x0"), F.greatest(one, two).alias("__x1"))
+
+
+def inner_strips(lines: DataFrame, grid: Grid) -> DataFrame:
+    """What lies inside the outlines on the middle lines of pixel rows: ``__f, py, __x0, __x1``.
+
+    Each edge is listed in the rows whose middle line it crosses, its lower end
+    included and its upper end not, so edges that share a vertex never both miss or
+    both take it.  Crossings of a feature in a row are paired in order of x, by the
+    even-odd rule; a group is never larger than the feature's own list of edges.
+    """
+    row = {c: F.floor((F.lit(grid.top) - F.col(c)) / grid.res - 0.5) for c in ("ay", "by")}
+    at = lines.where("ay < by").withColumn("py", F.explode(_cut(row["by"] + 1, row["ay"], grid.height - 1)))
+    y = F.lit(grid.top) - (F.col("py") + 0.5) * grid.res
+    along = Window.partitionBy("__f.__id", "py").orderBy("__x0")
+    paired = at.select("__f", "py", _x_at(y).alias("__x0")).withColumns(
+        {"__n": F.row_number().over(along), "__x1": F.lead("__x0").over(along)}
     )
-    return runs.withColumn("px", F.explode(columns)).drop("__a", "__b")
+    return paired.where("__n % 2 = 1 and __x1 is not null").drop("__n")
 
 
 def rasterise(
@@ -232,7 +283,10 @@ def clip_raster(
     )
     near = pixels.where(F.col("px").between(x_from, x_to - 1) & F.col("py").between(y_from, y_to - 1))
     if geometry:
-        kept = near.join(inner_cells(boundary, grid), ["px", "py"], "left_semi")
+        at = near.withColumn("bx", F.floor(F.col("px") / RUN))
+        inside = F.col("px").between(F.col("__a"), F.col("__b"))
+        on = (F.col("a.py") == F.col("b.py")) & (F.col("a.bx") == F.col("b.bx")) & inside
+        kept = at.alias("a").join(inner_runs(boundary, grid).alias("b"), on, "left_semi")
     else:
         # a pixel centre has exactly one grid cell, so the semi join needs no ids
         x = F.lit(grid.left) + (F.col("px") + 0.5) * grid.res
@@ -247,21 +301,15 @@ def clip_raster(
     )
 
 
-def inner_cells(boundary: DataFrame, grid: Grid) -> DataFrame:
-    """Cells whose centre lies inside a polygon, as ``(px, py)``.
+def inner_runs(boundary: DataFrame, grid: Grid) -> DataFrame:
+    """Cells whose centre lies inside a polygon, as runs ``(py, bx, __a, __b)`` of columns.
 
-    Python sees a polygon once per pixel row and returns the x-intervals inside
-    it; the columns are listed by Spark.
+    Of runs with one start the longest stays, so there are at most ``RUN`` of them
+    for one ``(py, bx)``, however many features lie over each other.
     """
-    first = F.ceil((F.lit(grid.top) - F.col("y1")) / grid.res - 0.5)
-    last = F.ceil((F.lit(grid.top) - F.col("y0")) / grid.res - 0.5) - 1
-    rows = _cut(first, last, grid.height - 1)
-    lines = boundary.select("geom", F.explode(rows).alias("py"))
-    y = F.lit(grid.top) - (F.col("py") + 0.5) * grid.res
-    spans = lines.select("py", F.explode(polygons.line_udf()("geom", y)).alias("__span"))
-    columns = _cut(
-        F.ceil((F.col("__span")[0] - grid.left) / grid.res - 0.5),
-        F.ceil((F.col("__span")[1] - grid.left) / grid.res - 0.5) - 1,
-        grid.width - 1,
-    )
-    return spans.select(F.explode(columns).alias("px"), "py")
+    spans = inner_strips(rising_edges(boundary), grid)
+    first = F.ceil((F.col("__x0") - grid.left) / grid.res - 0.5)
+    last = F.ceil((F.col("__x1") - grid.left) / grid.res - 0.5) - 1
+    zero, end = F.lit(0).cast("long"), F.lit(grid.width - 1).cast("long")
+    spans = spans.select("py", F.greatest(first, zero).alias("__a"), F.least(last, end).alias("__b"))
+    return _runs(spans).groupBy("py", "bx", "__a").agg(F.max("__b").alias("__b"))

@@ -1,4 +1,4 @@
-"""Predicates and shared borders of two outlines, vertex by vertex, to compare joins with."""
+"""Predicates, shared borders and scan lines of outlines, vertex by vertex, to compare joins with."""
 
 import numpy as np
 
@@ -71,3 +71,31 @@ def shared_length(a, b, tol: float = EPS) -> float:
     for q in (p[:, :2], p[:, 2:], (p[:, :2] + p[:, 2:]) / 2):
         ends_on &= locate(q, eb, tol) == 0
     return float(d[ends_on].sum())
+
+
+def line_spans(e: np.ndarray, y: float) -> list[tuple[float, float]]:
+    """x-intervals inside the rings along one horizontal line, by even-odd rule."""
+    ax, ay, bx, by = e.T
+    cross = (ay > y) != (by > y)
+    xs = np.sort(ax[cross] + (y - ay[cross]) * (bx - ax)[cross] / (by - ay)[cross])
+    return [(float(a), float(b)) for a, b in zip(xs[::2], xs[1::2])]
+
+
+def strip_spans(geom, ylo: float, yhi: float) -> list[tuple[float, float]]:
+    """x-intervals that the geometry covers somewhere in ``ylo <= y <= yhi``.
+
+    Border pieces inside the strip plus the even-odd interior at mid height
+    cover every column of cells that the polygon reaches in this strip.
+    """
+    e = edges(geom)
+    ax, ay, bx, by = e.T
+    near = (np.maximum(ay, by) > ylo) & (np.minimum(ay, by) < yhi)
+    spans = []
+    for x0, y0, x1, y1 in e[near]:
+        if y0 != y1:
+            cut = np.clip([ylo, yhi], min(y0, y1), max(y0, y1))
+            xs = x0 + (cut - y0) * (x1 - x0) / (y1 - y0)
+        else:
+            xs = np.array([x0, x1])
+        spans.append((float(xs.min()), float(xs.max())))
+    return spans + line_spans(e, (ylo + yhi) / 2)

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patchloom.functions import geometry as G
+from patchloom.functions import geometry as G, polygons
 from patchloom.operators import dataset as D, focal as N, patches as P, raster as R
+from plain_polygons import line_spans, strip_spans
 
 rng = np.random.default_rng(7)
 
@@ -218,6 +219,59 @@ def test_clip_raster_polygon(spark):
     assert out.count() == 6  # centres with x + y < 4
 
 
+def star(cx, cy, r, n, turn):
+    """A concave ring around a hole, with corners off the grid."""
+    a = np.linspace(0, 2 * np.pi, 2 * n, endpoint=False) + turn
+    far = np.where(np.arange(2 * n) % 2, 0.45, 1.0) * r
+    outer = np.column_stack([cx + far * np.cos(a), cy + far * np.sin(a)])
+    hole = np.column_stack([cx + 0.3 * r * np.cos(a[::2]), cy + 0.3 * r * np.sin(a[::2])])
+    return [[ring.tolist() + [ring[0].tolist()] for ring in (outer, hole)]]
+
+
+STARS = [star(9.13, 11.27, 8.4, 5, 0.2), star(20.61, 8.9, 7.7, 7, 1.1), star(20.61, 8.9, 7.7, 7, 1.1), star(2.2, 21.4, 6.3, 3, 0.7)]
+
+
+def test_scan_lines_of_concave_outlines(spark):
+    grid = R.Grid(0.5, 24.0, 0.7, 33, 31)  # cuts some of the outlines off
+    units = spark.createDataFrame([(i, i + 1, g) for i, g in enumerate(STARS)], f"gid int, code int, geom {G.GEOM_TYPE}")
+    out = R.rasterise(G.bbox(units), grid, "code", geometry=True)
+    want = np.full((grid.height, grid.width), np.nan)
+    inside = np.zeros(want.shape, dtype=bool)
+    for code, g in enumerate(STARS, start=1):
+        e = polygons.edges(g)
+        for y in range(grid.height):
+            top = grid.top - y * grid.res
+            for lo, hi in strip_spans(g, top - grid.res, top):
+                first, end = np.floor((lo - grid.left) / grid.res), np.ceil((hi - grid.left) / grid.res)
+                want[y, int(max(first, 0)) : int(max(end, 0))] = code
+            x = grid.left + (np.arange(grid.width) + 0.5) * grid.res
+            for lo, hi in line_spans(e, top - grid.res / 2):
+                inside[y] |= (x >= lo) & (x < hi)
+    np.testing.assert_array_equal(dense(out, want.shape), want)
+
+    p = pixels(spark, np.arange(want.size, dtype=float).reshape(want.shape), band="b")
+    clipped, cropped = R.clip_raster(p, grid, G.bbox(units), 4.0, geometry=True)
+    assert sorted(r["v"] for r in clipped.collect()) == np.flatnonzero(inside).tolist()
+    assert (cropped.left, cropped.top) == (grid.left, grid.top)
+    for plan in (out, clipped):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in text
+        assert not [line for line in text.split("\n") if "Exchange" in line and "geom" in line]
+
+
+def test_scan_lines_share_borders(spark):
+    # neighbours with one slanted border: every cell centre has one of them, corners on centres included
+    a = [[[[0.0, 0.0], [6.5, 0.0], [2.5, 8.0], [0.0, 8.0], [0.0, 0.0]]]]
+    b = [[[[6.5, 0.0], [9.0, 0.0], [9.0, 8.0], [2.5, 8.0], [6.5, 0.0]]]]
+    p = pixels(spark, np.arange(72, dtype=float).reshape(8, 9), band="b")
+    grid, got = R.Grid(0.0, 8.0, 1.0, 9, 8), []
+    for g in (a, b):
+        area = G.bbox(spark.createDataFrame([(g,), (g,), (None,), ([],)], f"geom {G.GEOM_TYPE}"))
+        kept, cropped = R.clip_raster(p, grid, area, 2.0, geometry=True)
+        got += [r["v"] for r in kept.collect()]
+    assert sorted(got) == list(range(72))
+
+
 def test_augment_forms_agree(spark):
     chips = [(f"s{i}", int(x), int(y), float(i * 100 + y * 4 + x)) for i in range(24) for y in range(4) for x in range(4)]
     df = spark.createDataFrame(chips, "sample string, px int, py int, v double")
