@@ -75,12 +75,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Delete the tables ``written`` so far, when no result that reads them is needed any more."""
-    gone = 0
-    while _WRITTEN:
-        path = hadoop_path(spark, _WRITTEN.pop())
+def written_count() -> int:
+    """How many tables are ``written`` and not dropped."""
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, since: int = 0, last: int = 0) -> int:
+    """Delete the tables ``written`` so far, when no result that reads them is needed any more.
+
+    The first ``since`` tables and the ``last`` newest ones stay.
+    """
+    gone, end = 0, max(len(_WRITTEN) - last, since)
+    for place in _WRITTEN[since:end]:
+        path = hadoop_path(spark, place)
         gone += file_system(spark, path).delete(path, True)
+    del _WRITTEN[since:end]
     return gone
 
 
