@@ -23,6 +23,11 @@ SAMPLE_ROWS = 600
 #: The most frequent four-byte sequences kept per language; bounds the size of the model.
 MAX_NODES = 300_000
 PAD = b"   "
+#: About so many held out rows per language tell how long the codes of its texts are.
+LIMIT_ROWS = 2000
+#: A text fits a language if its code is no longer than ``SLACK_BITS`` (a key or number of 32 characters
+#: in an otherwise usual text) beyond ``MARGIN`` times the bits a byte that the share ``USUAL`` of texts has.
+USUAL, MARGIN, SLACK_BITS = 0.999, 1.5, 256.0
 #: Bytes scored at a time, which bounds the memory that a long text takes.
 CHUNK = 1 << 20
 
@@ -124,6 +129,17 @@ class Model:
         return found
 
 
+def _some(docs: DataFrame, rows: int) -> DataFrame | None:
+    """About ``rows`` labelled texts per language, taken by a hash of the id; None if there are none."""
+    docs = docs.where("lang is not null and text is not null")
+    sizes = docs.groupBy("lang").count().collect()  # a row per language
+    if not sizes:
+        return None
+    size = F.create_map(*(F.lit(v) for r in sizes for v in r))[F.col("lang")]
+    place = F.pmod(F.xxhash64("doc_id", F.lit(71)), F.lit(1 << 30)) / float(1 << 30)
+    return docs.where(place * size < rows).select("lang", "text")
+
+
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, nodes: int = MAX_NODES) -> list[tuple[str, bytes, bytes]]:
     """Counts per language from about ``rows`` labelled texts each, taken by a hash of the id.
 
@@ -131,13 +147,9 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, nodes: int = MAX_NODES) -> l
     share kept follows from it. Whole texts are counted on the executors; at most
     ``nodes`` sequences per language come to the driver.
     """
-    docs = docs.where("lang is not null and text is not null")
-    sizes = docs.groupBy("lang").count().collect()  # a row per language
-    if not sizes:
+    chosen = _some(docs, rows)
+    if chosen is None:
         return []
-    size = F.create_map(*(F.lit(v) for r in sizes for v in r))[F.col("lang")]
-    place = F.pmod(F.xxhash64("doc_id", F.lit(71)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.where(place * size < rows).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -191,3 +203,34 @@ def predict(docs: DataFrame, learned: list[tuple[str, bytes, bytes]]) -> DataFra
         return lambda texts: [*zip(*map(judge, texts))] if texts else [[], [], []]
 
     return add_columns(docs, ["text"], "lang_pred string, score double, bits_per_byte double", start)
+
+
+def limits(docs: DataFrame, learned: list[tuple[str, bytes, bytes]], rows: int = LIMIT_ROWS) -> dict[str, float]:
+    """Bits a byte up to which a text fits a language: ``MARGIN`` times the quantile ``USUAL`` of ``docs``.
+
+    ``docs`` are labelled rows that nothing was learned from; about ``rows`` per
+    language are coded, and those that are taken for their own language count. A
+    language without such rows gets the largest limit of the others. Without any
+    there are no limits.
+    """
+    chosen = _some(docs, rows)
+    if chosen is None or not learned:
+        return {}
+    found = predict(chosen, learned).where(F.col("lang") == F.col("lang_pred"))
+    usual = found.groupBy("lang").agg(F.percentile_approx("bits_per_byte", USUAL, 10_000).alias("bits")).collect()
+    known = {r["lang"]: MARGIN * r["bits"] for r in usual}
+    return {name: known.get(name, max(known.values())) for name, _, _ in learned} if known else {}
+
+
+def fits(limit: dict[str, float], text: Column | str = "text") -> Column:
+    """Whether a row of ``predict`` is a text of the language it was taken for.
+
+    False for ``und``. Without limits every text fits that was taken for a language.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    known = F.col("lang_pred") != UNKNOWN
+    if not limit:
+        return known
+    most = F.create_map(*(F.lit(v) for pair in sorted(limit.items()) for v in pair))[F.col("lang_pred")]
+    size = F.octet_length(F.lower(text))
+    return known & F.coalesce(F.col("bits_per_byte") * size <= most * size + SLACK_BITS, F.lit(False))

@@ -307,10 +307,19 @@ def undecided(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id.
+    """``docs`` with one document of each group: the one with the smallest doc_id (a null one last).
 
-    Of rows with equal doc_id one stays; rows with a null doc_id all stay.
+    Every row is compared under a number of its own, so rows with one doc_id and
+    different texts are different documents, and copies among rows with a null
+    doc_id go. Rows without words link with nothing and stay. Other columns of any
+    name pass through.
     """
-    kept = near_texts(docs.where("doc_id is not null"), size, percent).where("kept").select("doc_id").distinct()
-    kept = written(kept)
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    names = docs.columns
+    others = F.struct(*(c for c in names if c != "text")).alias("doc")
+    rows = written(docs.select(others, "text", F.monotonically_increasing_id().alias("row")))
+    found = near_texts(rows.select(F.col("row").alias("doc_id"), "text"), size, percent)
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("part"))
+    place = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row")
+    first = rows.select("row", place.alias("place")).join(found, "row").groupBy("part").agg(F.min("place").alias("place"))
+    kept = rows.join(written(first.select(F.col("place.row").alias("row"))), "row", "left_semi")
+    return kept.select(*(F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in names))

@@ -103,7 +103,7 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(base, 256).alias("base_sha256"),
         span_list("spans", secret_scan.KINDS).alias("spans"),
         F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"),
-        F.size(F.filter("spans", lambda x: ~x["live"] & (x["owners"] > 1))).cast("long").alias("n_copied"),
+        F.size(F.filter("spans", lambda x: ~x["live"])).cast("long").alias("n_copied"),
     )
 
 

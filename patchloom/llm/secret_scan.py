@@ -2,8 +2,10 @@
 
 Candidates are the values that the base patterns find, and long mixed tokens
 beside them. How many repositories (distinct documents) and owners (sources of
-those) hold the same value decides what it is: one that several owners hold in
-documents of their own is a copied example, others that look random are live.
+those) hold the same value decides what it is: one that more than ``MAX_OWNERS``
+owners hold in documents of their own is a copied example, all others are live.
+Ownership alone decides, for words, digits and random characters alike; only which
+tokens are candidates beside the base patterns is a matter of how they look.
 Copies and near copies of a document are one repository with one owner, in
 however many sources they lie: copying a document does not make its keys examples.
 """
@@ -33,6 +35,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 #: Documents that have so many percent of their shingles of so many words in common are copies.
 SHINGLE_WORDS, PERCENT = 5, 80
+#: A value with more owners is widely copied; an owner and someone who quotes it are not enough.
+MAX_OWNERS = 2
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 
@@ -72,15 +76,15 @@ def added_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
     return found
 
 
-FIELDS = ("start", "kind", "end", "value", "random")
-DDL = "start:long,kind:int,end:long,value:string,random:boolean"
+FIELDS = ("start", "kind", "end", "value")
+DDL = "start:long,kind:int,end:long,value:string"
 
 
-def find(text: str | None) -> list[tuple[int, int, int, str, bool]]:
-    """All candidates of a text in order: start, kind, end, digest of the value, whether it looks random."""
+def find(text: str | None) -> list[tuple[int, int, int, str]]:
+    """All candidates of a text in order: start, kind, end, digest of the value."""
     base = base_spans(text or "")
     found = sorted(base + added_spans(text or "", base))
-    return [(s, k, e, sha256(v.encode()).hexdigest()[:32], looks_random(v)) for s, k, e, v in found]
+    return [(s, k, e, sha256(v.encode()).hexdigest()[:32]) for s, k, e, v in found]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -125,20 +129,21 @@ def holders(kept: DataFrame) -> DataFrame:
     return named.groupBy("value").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
-def scan(docs: DataFrame, max_owners: int = 1) -> DataFrame:
+def scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """Spans of every document with the verdict of the corpus: columns of ``docs`` less text, ``spans``.
 
     ``spans`` is sorted by start and kind: (start, kind, end, live, repositories,
-    owners). All candidates are listed, live or not. A value is live if it looks
-    random and has at most ``max_owners`` owners, as ``holders`` counts them. A
-    null text has no spans, a null source counts as one owner. The join with the
+    owners). All candidates are listed, live or not. A value is live if it has at
+    most ``max_owners`` owners, as ``holders`` counts them. A null text has no spans,
+    a null source counts as one owner, columns but these three of ``docs`` are not
+    returned. The join with the
     verdicts may be split where a value is common. Digests and offsets are
     shuffled, and texts only of documents that share a value with others.
     """
     docs = docs.select("doc_id", "text", "source")
     kept = written(candidates(docs).withColumn("row", F.monotonically_increasing_id()))
     each = kept.select("row", F.explode("found").alias("x")).select("row", "x.*")
-    live = F.col("random") & (F.col("owners") <= max_owners)
+    live = F.col("owners") <= max_owners
     judged = each.join(written(holders(kept)), "value").withColumn("live", live)
     span = F.struct("start", "kind", "end", "live", "repositories", "owners")
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
@@ -147,30 +152,32 @@ def scan(docs: DataFrame, max_owners: int = 1) -> DataFrame:
     return out.withColumn("spans", F.coalesce("spans", empty)).drop("row")
 
 
-def redact(docs: DataFrame, max_owners: int = 1, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with live spans in ``text`` replaced by ``mark``; overlapping ones become one mark.
 
     Live is meant as in ``scan``. Copied examples and everything else stay; no row
-    is dropped and null texts stay null. Equal rows share their verdicts.
+    is dropped and null texts stay null. Equal rows share their verdicts. Other
+    columns of any name pass through.
     """
     names = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "source", "text"))
-    kept = candidates(keyed.select(F.col("_row").alias("row"), "source", "text"))
+    others = F.struct(*(c for c in names if c != "text")).alias("doc")
+    keyed = docs.select(others, "text", F.xxhash64("doc_id", "source", "text").alias("row"))
+    kept = candidates(keyed.select("row", F.col("doc.source").alias("source"), "text"))
     kept = written(kept.where(F.size("found") > 0))
     live = holders(kept).where(F.col("owners") <= max_owners).select("value")
-    each = kept.select(F.col("row").alias("_row"), F.explode("found").alias("x")).where("x.random")
-    each = each.select("_row", F.col("x.value").alias("value")).distinct()
-    hit = each.join(written(live), "value").groupBy("_row").agg(F.collect_set("value").alias("_live"))
+    each = kept.select("row", F.explode("found.value").alias("value")).distinct()
+    hit = each.join(written(live), "value").groupBy("row").agg(F.collect_set("value").alias("live"))
 
     def start():
         def clean(text, live):
             at, parts = 0, []
-            for s, _, e, value, random in find(text):
-                if random and value in live and e > at:
+            for s, _, e, value in find(text):
+                if value in live and e > at:
                     parts += [text[at:s], mark] if s >= at else []
                     at = e
             return "".join(parts) + text[at:]
 
         return lambda texts, live: [[clean(t, set(v)) if v else t for t, v in zip(texts, live)]]
 
-    return add_columns(keyed.join(hit, "_row", "left"), ["text", "_live"], "text string", start).select(*names)
+    clean = add_columns(keyed.join(hit, "row", "left"), ["text", "live"], "text string", start)
+    return clean.select(*(F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in names))
