@@ -21,6 +21,8 @@ from patchloom.operators.lookup import attach
 ROWS_PER_BUCKET = 50_000
 #: Upper bound on buckets over all groups, so the offset table stays small.
 MAX_BUCKETS = 16_384
+#: Most totals that one window task adds up; more buckets are added up in levels.
+FAN_OUT = 16_384
 #: Draws of one first-column value beyond which it is split by the whole key.
 MAX_DRAWN = 4
 #: Hex digits of the hash by which a sample narrows down its cut at a time (16**3 counts).
@@ -30,10 +32,11 @@ BUCKET = "__bucket"
 
 
 class Cut(NamedTuple):
-    """Rows with a bucket number; ``single`` when all rows share bucket 0."""
+    """Rows with a bucket number below ``buckets``; ``single`` when all rows share bucket 0."""
 
     df: DataFrame
     single: bool
+    buckets: int = MAX_BUCKETS
 
 
 def hash_key(seed: int | str, *cols: str) -> Column:
@@ -136,23 +139,46 @@ def hash_buckets(df: DataFrame, key_col: str, rows_per_bucket: int | None = None
     digits = ceil(log(buckets, 16)) if buckets > 1 else 0
     if not digits:
         return Cut(df.withColumn(BUCKET, F.lit(0)), True)
-    return Cut(df.withColumn(BUCKET, F.conv(F.substring(key_col, 1, digits), 16, 10).cast("long")), False)
+    bucket = F.conv(F.substring(key_col, 1, digits), 16, 10).cast("long")
+    return Cut(df.withColumn(BUCKET, bucket), False, 16**digits)
 
 
 def offsets(
-    df: DataFrame, part: Sequence[str], totals: dict[str, Column], descending: bool = False
+    df: DataFrame,
+    part: Sequence[str],
+    totals: dict[str, Column],
+    descending: bool = False,
+    buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """Per (part, bucket) sums of everything in earlier buckets, ``__off_<name>``.
 
-    The window runs over bucket totals, at most ``MAX_BUCKETS`` rows for ranges.
+    ``buckets`` bounds the bucket numbers. Windows run over at most ``FAN_OUT`` totals.
     """
-    order = F.col(BUCKET).desc() if descending else F.col(BUCKET)
-    before = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = df.groupBy(*part, BUCKET).agg(*[c.alias(n) for n, c in totals.items()])
-    return per_bucket.select(
-        *part,
-        BUCKET,
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__off_{n}") for n in totals],
+    return _sums_before(per_bucket, list(part), list(totals), descending, buckets)
+
+
+def _sums_before(
+    sums: DataFrame, part: list[str], names: list[str], descending: bool, buckets: int
+) -> DataFrame:
+    """Sums of earlier buckets of the same parent, and those of earlier parents by the same rule."""
+    order = F.col(BUCKET).desc() if descending else F.col(BUCKET)
+    top = buckets <= FAN_OUT
+    if not top:
+        sums = sums.withColumn("__up", F.floor(F.col(BUCKET) / FAN_OUT))
+    within = [*part] if top else [*part, "__up"]
+    before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = sums.select(
+        *within, BUCKET, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__off_{n}") for n in names]
+    )
+    if top:
+        return found
+    parents = sums.groupBy(*within).agg(*[F.sum(n).alias(n) for n in names]).withColumnRenamed("__up", BUCKET)
+    above = _sums_before(parents, part, names, descending, ceil(buckets / FAN_OUT)).withColumnsRenamed(
+        {BUCKET: "__up", **{f"__off_{n}": f"__above_{n}" for n in names}}
+    )
+    return found.join(above, within).select(
+        *part, BUCKET, *[(F.col(f"__off_{n}") + F.col(f"__above_{n}")).alias(f"__off_{n}") for n in names]
     )
 
 
@@ -164,7 +190,7 @@ def ranked(
     local = cut.df.withColumn(out, F.row_number().over(inside).cast("long"))
     if cut.single:
         return local.drop(BUCKET)
-    off = offsets(cut.df, part, {"n": F.count(F.lit(1))})
+    off = offsets(cut.df, part, {"n": F.count(F.lit(1))}, buckets=cut.buckets)
     return (
         attach(local, off, [*part, BUCKET], spread)
         .withColumn(out, F.col("__off_n") + F.col(out))

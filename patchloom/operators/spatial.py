@@ -4,6 +4,8 @@ Every box is listed in the grid cells it meets and the two lists are joined on
 the cell.  For inner joins a pair is kept only in its lowest common cell, so no
 ``distinct`` over pairs is needed.  Semi and anti joins carry the id and box
 alone through the grid and stop at the first match instead of emitting pairs.
+Where a cell is crowded on both sides the grid is a quadtree: such cells are cut
+into four, level by level, and both sides are listed by its leaves.
 """
 
 from __future__ import annotations
@@ -15,12 +17,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from patchloom.functions import boxes, polygons
 from patchloom.functions.boxes import SIDES, box
 from patchloom.functions.geometry import GEOM_TYPE, bbox, to_crs
+from patchloom.operators.lookup import attach
+from patchloom.session import written
 
 #: Largest cell list (rows, bytes) that is broadcast, known from sums beforehand.
 BROADCAST_CELLS = 200_000
 BROADCAST_BYTES = 64 << 20
 #: A box with more cells than this has them produced by several tasks.
 SPREAD_CELLS = 100_000
+#: A cell that lists more boxes than this on both sides is cut into four.
+CROWDED = 5_000
+#: How often a cell is halved at most.
+MOST_HALVINGS = 12
+#: A cut must leave at most this share of the box tests, by the children that boxes meet.
+WORTH_CUTTING = 0.75
+LEAF = ["lv", "cx", "cy"]
 
 
 def same_crs(left: DataFrame, right: DataFrame) -> None:
@@ -102,6 +113,83 @@ def sized_cells(
     return listed.hint("merge")
 
 
+def _children(cell: float, tol: float, level: int) -> tuple[Column, Column, Column, Column]:
+    """First and last child column and row of a cell of ``level`` that a box listed there meets.
+
+    Sides of cells are halved exactly, so children agree with their parents.
+    """
+    side = cell / 2 ** (level + 1)
+    x0, x1 = _span(F.col("x0"), F.col("x1"), side, tol)
+    y0, y1 = _span(F.col("y0"), F.col("y1"), side, tol)
+    cx, cy = F.col("cx") * 2, F.col("cy") * 2
+    return F.greatest(x0, cx), F.least(x1, cx + 1), F.greatest(y0, cy), F.least(y1, cy + 1)
+
+
+def _descend(listed: DataFrame, cut: DataFrame, cell: float, tol: float, level: int) -> DataFrame:
+    """Boxes listed in the cells ``cut`` of ``level`` move to the children they meet; others stay."""
+    ax, bx, ay, by = _children(cell, tol, level)
+    below = F.flatten(
+        F.transform(
+            F.sequence(ax, bx),
+            lambda x: F.transform(
+                F.sequence(ay, by),
+                lambda y: F.struct(F.lit(level + 1).alias("lv"), x.alias("cx"), y.alias("cy")),
+            ),
+        )
+    )
+    marked = attach(listed, cut.withColumn("__cut", F.lit(True)), LEAF, SIDES)
+    at = F.when(F.col("__cut"), below).otherwise(F.array(F.struct(*LEAF)))
+    moved = marked.withColumn("__at", F.explode(at)).drop(*LEAF, "__cut")
+    return moved.select("*", "__at.*").drop("__at")
+
+
+def _cuts(left: DataFrame, right: DataFrame, cell: float, tol: float) -> list[DataFrame]:
+    """Cells ``(lv, cx, cy)`` to cut, a table per level, found from counts alone.
+
+    A cell is cut where both sides list more than ``CROWDED`` boxes and the boxes
+    meet so few of its children that fewer pairs are left to test. Boxes larger
+    than a cell do not cut it, and copies of one place stop at ``MOST_HALVINGS``.
+    """
+    sides = [cells(df.select(*SIDES), cell, tol).withColumn("lv", F.lit(0)) for df in (left, right)]
+    cuts = []
+    for level in range(MOST_HALVINGS):
+        ax, bx, ay, by = _children(cell, tol, level)
+        counts = [
+            df.groupBy(*LEAF)
+            .agg(
+                F.count(F.lit(1)).cast("double").alias(f"n{i}"),
+                F.sum((bx - ax + 1) * (by - ay + 1)).cast("double").alias(f"k{i}"),
+            )
+            .where(F.col(f"n{i}") > CROWDED)
+            for i, df in enumerate(sides)
+        ]
+        worth = F.col("k0") * F.col("k1") / 4 <= WORTH_CUTTING * F.col("n0") * F.col("n1")
+        cut = written(counts[0].join(counts[1], LEAF).where(worth).select(*LEAF))
+        if cut.isEmpty():
+            break
+        cuts.append(cut)
+        sides = [_descend(df, cut, cell, tol, level).where(F.col("lv") == level + 1) for df in sides]
+    return cuts
+
+
+def leaf_lists(
+    left: DataFrame, right: DataFrame, cell: float, tol: float, keep: Sequence[str], right_keep: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join listed by ``LEAF``, the leaves of one quadtree over the grid.
+
+    With a right side small enough to be broadcast nothing is shuffled by cell
+    and the grid stays as it is.
+    """
+    small, spread = cell_list_size(right, cell, tol, right_keep)
+    lists = [cells(left, cell, tol, keep), cells(right, cell, tol, right_keep, spread=spread and not small)]
+    lists = [df.drop("fx", "fy").withColumn("lv", F.lit(0)) for df in lists]
+    if small:
+        return lists[0], F.broadcast(lists[1])
+    for level, cut in enumerate(_cuts(left, right, cell, tol)):
+        lists = [_descend(df, cut, cell, tol, level) for df in lists]
+    return lists[0], lists[1].hint("merge")
+
+
 def spatial_join(
     left: DataFrame,
     right: DataFrame,
@@ -134,10 +222,11 @@ def spatial_join(
         return _pairs(left, right, predicate, cell, tol, suffix, crs)
 
     right = right.select(*SIDES, *crs).distinct()  # copies of a box test alike
-    lc = cells(left, cell, tol, [left_id, *crs])
-    rc = _renamed(sized_cells(right, cell, tol, crs), [*SIDES, "fx", "fy", *crs], "__r_")
-    near = boxes.PREDICATES[predicate](box(), box("__r_"), tol)
-    on = (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy")) & near
+    lc, rc = leaf_lists(left, right, cell, tol, [left_id, *crs], crs)
+    rc = _renamed(rc, [*SIDES, *crs], "__r_")
+    on = boxes.PREDICATES[predicate](box(), box("__r_"), tol)
+    for c in LEAF:
+        on = (F.col(f"l.{c}") == F.col(f"r.{c}")) & on
     if crs:
         on = on & _crs_equal()
     hit = lc.alias("l").join(rc.alias("r"), on, "left_semi")
@@ -162,11 +251,15 @@ def _pairs(
     suffix: str,
     crs: list[str],
 ) -> DataFrame:
-    lc = cells(left, cell, tol, [c for c in left.columns if c not in SIDES])
-    rc = sized_cells(right, cell, tol, [c for c in right.columns if c not in SIDES])
-    rc = _renamed(rc, [c for c in rc.columns if c not in ("cx", "cy")], "__r_")
-    first = (F.col("cx") == F.greatest("fx", "__r_fx")) & (F.col("cy") == F.greatest("fy", "__r_fy"))
-    joined = lc.join(rc, ["cx", "cy"]).where(first)
+    keep, right_keep = ([c for c in df.columns if c not in SIDES] for df in (left, right))
+    lc, rc = leaf_lists(left, right, cell, tol, keep, right_keep)
+    rc = _renamed(rc, [c for c in rc.columns if c not in LEAF], "__r_")
+    # the leaf that holds the lower corner of the common part, in no other leaf
+    side = F.lit(cell) / F.pow(F.lit(2.0), "lv")
+    first = (F.col("cx") == F.floor((F.greatest("x0", "__r_x0") - tol) / side)) & (
+        F.col("cy") == F.floor((F.greatest("y0", "__r_y0") - tol) / side)
+    )
+    joined = lc.join(rc, LEAF).where(first)
     if crs:
         joined = joined.where(_crs_equal())
     joined = joined.where(boxes.PREDICATES[predicate](box(), box("__r_"), tol))

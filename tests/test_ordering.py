@@ -110,3 +110,22 @@ def test_attach_small_and_salted(rows, limit):
     assert got.count() == 6000
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert ("__salt" in plan) == (limit == 10)
+
+
+def test_offsets_in_three_levels(spark, monkeypatch):
+    monkeypatch.setattr(O, "FAN_OUT", 4)
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 10)
+    df = spark.range(600).select("id", (F.col("id") % 3 == 0).alias("g"))
+    for part in ([], ["g"]):
+        got = O.hash_row_number(df, "id", 7, part=part)
+        order = Window.partitionBy(*part).orderBy(O.hash_key(7, "id"), "id")
+        wrong = got.withColumn("want", F.row_number().over(order)).where("rn is null or rn <> want")
+        assert wrong.count() == 0 and got.count() == 600
+    cut = O.hash_buckets(df.withColumn("h", O.hash_key(7, "id")), "h")
+    assert cut.buckets > 4**3
+    sums = {"n": F.count(F.lit(1))}
+    down = O.offsets(cut.df, [], sums, descending=True, buckets=cut.buckets).collect()
+    up = O.offsets(cut.df, [], sums, buckets=cut.buckets).collect()
+    own = {r[O.BUCKET]: r["count"] for r in cut.df.groupBy(O.BUCKET).count().collect()}
+    above = {r[O.BUCKET]: r["__off_n"] for r in down}
+    assert all(r["__off_n"] + own[r[O.BUCKET]] + above[r[O.BUCKET]] == 600 for r in up) and len(up) == len(own)

@@ -271,3 +271,52 @@ def test_tables(spark):
     ids = spark.createDataFrame([("p",), (None,)], "patch_id string")
     rows = spark.createDataFrame([("p",), ("q",)], "patch_id string")
     assert [r[0] for r in T.exclude_ids(rows, ids).collect()] == ["q"]
+
+
+def crowded_boxes(n, seed):
+    """A third in one spot of a cell, some larger than a cell, the rest anywhere."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        near = i % 3 == 0
+        x, y = (rng.uniform(0, 12), rng.uniform(0, 12)) if near else (rng.uniform(-200, 200), rng.uniform(-200, 200))
+        side = 0.5 if near else rng.choice([1, 5, 90])
+        out.append((x, y, x + rng.uniform(0, side), y + rng.uniform(0, side)))
+    return out
+
+
+@pytest.mark.parametrize("predicate,tol", [("intersects", 0.0), ("overlaps", 0.0), ("within", 0.25), ("intersects", 1.5)])
+def test_crowded_cells_are_cut_and_pairs_stay(spark, monkeypatch, predicate, tol):
+    monkeypatch.setattr(S, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(S, "CROWDED", 20)
+    a, b = crowded_boxes(300, 1), crowded_boxes(300, 2)
+    # equal corners on the lines of finer cells, and copies that no cut separates
+    a, b = a + [(12.5, 12.5, 12.5, 12.5)] * 30, b + [(12.5, 12.5, 25.0, 25.0)] * 30
+    left, right = table(spark, a), table(spark, b).withColumnRenamed("id", "j")
+    plain = left.crossJoin(right.toDF("j", "bx0", "by0", "bx1", "by1")).where(
+        boxes.PREDICATES[predicate](boxes.box(), boxes.box("b"), tol)
+    )
+    want = sorted(map(tuple, plain.select("id", "j").collect()))
+    got = S.spatial_join(left, right, predicate, cell=50.0, tol=tol).select("id", "j").collect()
+    assert sorted(map(tuple, got)) == want
+    assert len(want) > 100
+    met = {i for i, _ in want}
+    for how in ("left_semi", "left_anti"):
+        ids = [r["id"] for r in S.spatial_join(left, right, predicate, how, 50.0, tol=tol).collect()]
+        assert sorted(ids) == [i for i in range(len(a)) if (i in met) == (how == "left_semi")]
+
+
+def test_leaves_of_a_crowded_cell_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(S, "CROWDED", 50)
+    rng = random.Random(5)
+    spots = [[(x := rng.uniform(0, 5), y := rng.uniform(0, 5), x + 0.01, y + 0.01) for _ in range(2000)] for _ in range(2)]
+    left, right = (table(spark, rows) for rows in spots)
+    lists = S.leaf_lists(left, right, 50.0, 0.0, ["id"], ["id"])
+    counts = [df.groupBy(*S.LEAF).count() for df in lists]
+    both = counts[0].join(counts[1].withColumnRenamed("count", "m"), S.LEAF)
+    worst = both.select(F.max(F.least("count", "m")).alias("n"), F.max("lv").alias("lv")).first()
+    assert worst["n"] <= 50 and worst["lv"] > 3
+    # boxes as large as the cell stay where they are
+    large = table(spark, [(0, 0, 49, 49)] * 200)
+    assert S.leaf_lists(large, large, 50.0, 0.0, ["id"], ["id"])[0].select(F.max("lv")).first()[0] == 0
