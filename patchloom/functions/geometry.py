@@ -7,9 +7,15 @@ from math import pi
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from patchloom.functions.projections import Stage, projection
+
 GEOM_TYPE = "array<array<array<array<double>>>>"
 # Fixed value: sphere radius of the web Mercator projection, metres.
 MERCATOR_RADIUS = 6378137.0
+#: Codes of plain degrees; no shift of the datum is made between them.
+GEOGRAPHIC = ("EPSG:4326", "EPSG:4269")
+#: Points on each side of a box whose sides do not stay straight.
+SIDE_POINTS = 21
 
 
 def bbox(df: DataFrame, geom: str = "geom") -> DataFrame:
@@ -72,13 +78,53 @@ def point_transform(src: str, dst: str, affine: tuple[float, ...] | None = None)
     if affine is not None:
         a, b, c, d, e, f = affine
         return lambda x, y: (x * a + y * b + c, x * d + y * e + f)
+    steps = stages(src, dst)
+
+    def move(x, y):
+        for stage in steps:
+            x, y = stage(x, y)
+        return x, y
+
+    return move
+
+
+def stages(src: str, dst: str) -> list[Stage]:
+    """Steps from one coordinate system over degrees to another."""
     if src == dst:
-        return lambda x, y: (x, y)
-    if (src, dst) == ("EPSG:4326", "EPSG:3857"):
-        return _to_mercator
-    if (src, dst) == ("EPSG:3857", "EPSG:4326"):
-        return _from_mercator
-    raise ValueError(f"no transform from {src} to {dst}")
+        return []
+    out = []
+    for crs, there, mercator in ((src, "inverse", _from_mercator), (dst, "forward", _to_mercator)):
+        if crs in GEOGRAPHIC:
+            continue
+        known = projection(crs)
+        if crs != "EPSG:3857" and known is None:
+            raise ValueError(f"no transform from {src} to {dst}")
+        out += [mercator] if known is None else getattr(known, there)()
+    return out
+
+
+def _each_vertex(geom: Column, stage: Stage) -> Column:
+    return F.transform(
+        geom,
+        lambda poly: F.transform(
+            poly, lambda ring: F.transform(ring, lambda p: F.array(*stage(p[0], p[1])))
+        ),
+    )
+
+
+def _dense_box() -> Column:
+    """The four sides of a box as one ring of ``SIDE_POINTS`` points each."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SIDE_POINTS - 1)), lambda i: i / (SIDE_POINTS - 1))
+
+    def side(ax, ay, bx, by):
+        # the last point is the corner itself
+        return F.transform(
+            parts, lambda t: F.array(F.when(t == 1, bx).otherwise(ax + (bx - ax) * t), F.when(t == 1, by).otherwise(ay + (by - ay) * t))
+        )
+
+    ring = F.concat(side(x0, y0, x1, y0), side(x1, y0, x1, y1), side(x1, y1, x0, y1), side(x0, y1, x0, y0))
+    return F.array(F.array(ring))
 
 
 def to_crs(
@@ -86,21 +132,26 @@ def to_crs(
 ) -> DataFrame:
     """Reproject the geometry column, or the box columns when ``geom`` is None.
 
-    Both supported projections map axis-parallel boxes to such boxes.
+    Degrees and web Mercator map axis-parallel boxes to such boxes. With any other
+    projection a box becomes the box around ``SIDE_POINTS`` points of each side.
     """
+    steps = [point_transform(src, dst, affine)] if affine is not None else stages(src, dst)
+    straight = affine is not None or {src, dst} <= {*GEOGRAPHIC, "EPSG:3857"}
     move = point_transform(src, dst, affine)
     if geom is not None:
         if geom not in df.columns:
             raise ValueError(f"no geometry column {geom}")
-        moved = F.transform(
-            F.col(geom),
-            lambda poly: F.transform(
-                poly, lambda ring: F.transform(ring, lambda p: F.array(*move(p[0], p[1])))
-            ),
-        )
+        moved = F.col(geom)
+        for stage in steps:
+            moved = _each_vertex(moved, stage)
         df = df.withColumn(geom, moved)
         if "x0" in df.columns:
             df = bbox(df, geom)
+    elif not straight:
+        moved = _dense_box()
+        for stage in steps:
+            moved = _each_vertex(moved, stage)
+        df = bbox(df.withColumn("__edge", moved), "__edge").drop("__edge")
     else:
         ax, ay = move(F.col("x0"), F.col("y0"))
         bx, by = move(F.col("x1"), F.col("y1"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from patchloom.functions.boxes import SIDES, expand_box
 from patchloom.functions.geometry import area, box_geom, bbox, explode_parts, to_crs
+from patchloom.functions.projections import CONICS
 from patchloom.operators import dataset as D, spatial as S
 from patchloom.operators.labels import split_summary
 from patchloom.operators.patches import make_patches
@@ -136,6 +139,77 @@ def _crs(spark, d):
     return rounded(out.select("pid", "x0", "y0", "x1", "y1"), 6, "x0", "y0", "x1", "y1")
 
 
+def _number(v: float) -> str:
+    return f"({v:.17e})"
+
+
+def _corners(x: str, y: str, middle: str, flat: float = 298.257223563) -> str:
+    """SQL of box corners in another projection, from longitude ``lam`` and isometric latitude ``psi``."""
+    e = _number(math.sqrt((2 - 1 / flat) / flat))
+    return f"""select pid, round(min({x}), 2) as x0, round(min({y}), 2) as y0, round(max({x}), 2) as x1,
+ round(max({y}), 2) as y1 from (select pid, {middle} from (select pid, lam,
+ atanh(sin(phi)) - {e} * atanh({e} * sin(phi)) as psi from (select pid, x / 6378137e0 as lam,
+ 2 * atan(exp(y / 6378137e0)) - pi() / 2 as phi from (select pid, unnest([x0, x1, x1, x0]) as x,
+ unnest([y0, y0, y1, y1]) as y from patches)))) group by pid"""
+
+
+def _reprojected(spark, d, crs):
+    """Outlines of patches in another projection, as their boxes."""
+    patches = view(spark, d, "patches").withColumn("geom", box_geom(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+    out = to_crs(patches, "EPSG:3857", crs)
+    return rounded(out.select("pid", "x0", "y0", "x1", "y1"), 2, "x0", "y0", "x1", "y1")
+
+
+THIRD = 1 / (2 * 298.257223563 - 1)
+UTM_RADIUS = 0.9996 * 6378137.0 / (1 + THIRD) * (1 + THIRD**2 / 4 + THIRD**4 / 64)
+UTM_TERMS = [
+    THIRD / 2 - 2 / 3 * THIRD**2 + 5 / 16 * THIRD**3 + 41 / 180 * THIRD**4,
+    13 / 48 * THIRD**2 - 3 / 5 * THIRD**3 + 557 / 1440 * THIRD**4,
+    61 / 240 * THIRD**3 - 103 / 140 * THIRD**4,
+    49561 / 161280 * THIRD**4,
+]
+
+
+def _utm_sum(own: str, f: str, other: str, g: str) -> str:
+    return own + "".join(
+        f" + {_number(a)} * {f}({2 * j} * {own}) * {g}({2 * j} * {other})" for j, a in enumerate(UTM_TERMS, 1)
+    )
+
+
+@query(
+    "to_crs_utm",
+    with_views(
+        "patches",
+        _corners(
+            f"500000e0 + {_number(UTM_RADIUS)} * ({_utm_sum('eta', 'sinh', 'xi', 'cos')})",
+            f"{_number(UTM_RADIUS)} * ({_utm_sum('xi', 'sin', 'eta', 'cosh')})",
+            "atan2(sinh(psi), cos(lam - radians(3))) as xi, atanh(sin(lam - radians(3)) / cosh(psi)) as eta",
+        ),
+    ),
+)
+def _utm(spark, d):
+    return _reprojected(spark, d, "EPSG:32631")
+
+
+CONE, CONE_EQUATOR, CONE_ORIGIN = CONICS["EPSG:3034"].cone()
+
+
+@query(
+    "to_crs_conic",
+    with_views(
+        "patches",
+        _corners(
+            "4000000e0 + r * sin(angle)",
+            f"2800000e0 + {_number(CONE_ORIGIN)} - r * cos(angle)",
+            f"{_number(CONE)} * (lam - radians(10)) as angle, {_number(CONE_EQUATOR)} * exp(-{_number(CONE)} * psi) as r",
+            298.257222101,
+        ),
+    ),
+)
+def _conic(spark, d):
+    return _reprojected(spark, d, "EPSG:3034")
+
+
 @query(
     "clip",
     with_views(
