@@ -1,17 +1,29 @@
-"""Scoring with a user's model and fitting one classifier per label."""
+"""Scoring with a user's model and fitting the classifiers of all labels together."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from patchloom.functions.scalar import sigmoid
+
+#: Steps that a search direction remembers.
+MEMORY = 10
+#: Largest gradient entry, over scaled features, at which a label is fitted.
+SETTLED = 1e-6
+
+
+class LabelModel(NamedTuple):
+    """A fitted label: its score is the sigmoid of ``intercept`` plus the weighted features."""
+
+    coefficients: list[float]
+    intercept: float
+
 
 def score(
     samples: DataFrame,
@@ -68,30 +80,128 @@ def fit_multilabel(
     weights: Mapping[str, float] | None = None,
     max_iter: int = 200,
     reg: float = 0.01,
-) -> dict[str, Model]:
-    """One logistic regression per label; ``weights`` raise the weight of positives.
+) -> dict[str, LabelModel]:
+    """Logistic regressions of all labels at once; ``weights`` raise the weight of positives.
+
+    Every pass over the table sums loss and gradient of all labels at their own
+    trial points, so the number of passes (``max_iter`` at most) does not grow with
+    the labels; write the features before. Labels x features numbers reach the
+    driver per pass. The penalty is on the coefficients as they are, without
+    scaling the features. Null or non-finite features or labels, and an empty
+    table, raise.
+    """
+    columns, labels = list(columns), list(labels)
+    data = features.select(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate([*columns, *labels])])
+    spread = data.agg(
+        F.count("*").alias("n"),
+        *[f(f"f{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in (("m", F.avg), ("s", F.stddev_pop))],
+    ).first()
+    if not spread["n"]:
+        raise ValueError("no rows to fit")
+    mean, scale = (
+        np.array([np.nan if (v := spread[f"{n}{i}"]) is None else v for i in range(len(columns))]) for n in "ms"
+    )
+    scale[scale == 0] = 1.0
+    raised = np.array([float((weights or {}).get(label, 1.0)) for label in labels])
+    searches = [_Search(len(columns) + 1) for _ in labels]
+    for _ in range(max_iter):
+        open_ = [k for k, s in enumerate(searches) if not s.done]
+        if not open_:
+            break
+        points = np.array([searches[k].trial() for k in open_])
+        total, loss, gradient = _pass(data, len(columns), open_, points, mean, scale, raised[open_])
+        if not np.isfinite(loss).all():
+            raise ValueError("features and labels to fit must be finite numbers")
+        own = points[:, :-1] / scale
+        loss = loss / total + reg / 2 * (own**2).sum(axis=1)
+        gradient = gradient / total[:, None]
+        gradient[:, :-1] += reg * own / scale
+        for k, f, g in zip(open_, loss, gradient):
+            searches[k].tell(float(f), g)
+    found = {}
+    for label, search in zip(labels, searches):
+        own = search.x[:-1] / scale
+        found[label] = LabelModel([float(v) for v in own], float(search.x[-1] - own @ mean))
+    return found
+
+
+def _pass(
+    data: DataFrame, d: int, labels: list[int], points: np.ndarray, mean: np.ndarray, scale: np.ndarray, raised: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weight, loss and gradient of every label in ``labels``, each summed over all rows.
 
-    Labels are fitted one after the other, each over the whole table; write the
-    features before. The penalty is on the coefficients as they are, without
-    scaling the features.
+    Tasks add up their batches; their sums are added per entry before the driver sees them.
     """
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(features)
-    models = {}
-    for label in labels:
-        w = float((weights or {}).get(label, 1.0))
-        rows = assembled.select(
-            "features",
-            F.col(label).cast("double").alias("label"),
-            F.when(F.col(label) > 0, w).otherwise(1.0).alias("weight"),
-        )
-        models[label] = LogisticRegression(
-            weightCol="weight", maxIter=max_iter, regParam=reg, standardization=False
-        ).fit(rows)
-    return models
+    width = d + 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(labels), width))
+        for batch in batches:
+            rows = [np.asarray(c.cast(pa.float64()).to_numpy(zero_copy_only=False)) for c in batch.columns]
+            x = (np.column_stack(rows[:d]) - mean) / scale if d else np.zeros((batch.num_rows, 0))
+            y = np.column_stack([rows[d + k] for k in labels])
+            z = x @ points[:, :-1].T + points[:, -1]
+            w = np.where(y > 0, raised, 1.0)
+            sums[:, 0] += w.sum(axis=0)
+            sums[:, 1] += (w * (np.logaddexp(0, z) - np.where(y > 0, z, 0.0) + 0 * y)).sum(axis=0)
+            off = w * (np.exp(-np.logaddexp(0, -z)) - (y > 0))
+            sums[:, 2:-1] += off.T @ x
+            sums[:, -1] += off.sum(axis=0)
+        place = np.arange(sums.size, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(sums.ravel())], ["i", "v"])
+
+    sums = np.zeros(len(labels) * width)
+    for i, v in data.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v")).collect():
+        sums[i] = v
+    sums = sums.reshape(len(labels), width)
+    return sums[:, 0], sums[:, 1], sums[:, 2:]
+
+
+class _Search:
+    """Quasi-Newton descent of one label, asked for a trial point and told its value."""
+
+    def __init__(self, n: int):
+        self.x, self.step, self.done = np.zeros(n), 1.0, False
+        self.value, self.gradient, self.direction = None, None, np.zeros(n)
+        self.moves: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def trial(self) -> np.ndarray:
+        return self.x + self.step * self.direction
+
+    def tell(self, value: float, gradient: np.ndarray) -> None:
+        if self.value is not None:
+            slope = float(self.gradient @ self.direction)
+            if value > self.value + 1e-4 * self.step * slope + 1e-13 * abs(self.value):
+                self.step /= 2
+                self.done = self.step < 1e-12
+                return
+            moved, turned = self.step * self.direction, gradient - self.gradient
+            if moved @ turned > 1e-12 * (turned @ turned):
+                self.moves = [*self.moves, (moved, turned)][-MEMORY:]
+            self.x = self.x + moved
+        self.value, self.gradient = value, gradient
+        self.done = float(np.abs(gradient).max()) <= SETTLED
+        self.direction, self.step = -self._curved(gradient), 1.0
+        if not self.moves:
+            self.step = 1 / max(1.0, float(np.linalg.norm(gradient)))
+
+    def _curved(self, gradient: np.ndarray) -> np.ndarray:
+        """The gradient times the inverse curvature that the remembered moves tell."""
+        out, shares = gradient.copy(), []
+        for moved, turned in reversed(self.moves):
+            share = (moved @ out) / (moved @ turned)
+            shares.append(share)
+            out -= share * turned
+        if self.moves:
+            moved, turned = self.moves[-1]
+            out *= (moved @ turned) / (turned @ turned)
+        for (moved, turned), share in zip(self.moves, reversed(shares)):
+            out += (share - (turned @ out) / (moved @ turned)) * moved
+        return out
 
 
 def fit_report(
-    models: Mapping[str, Model],
+    models: Mapping[str, LabelModel],
     features: DataFrame,
     columns: Sequence[str],
     id_col: str,
@@ -131,24 +241,18 @@ def fit_report(
 
 
 def predict_multilabel(
-    models: Mapping[str, Model], features: DataFrame, columns: Sequence[str], id_col: str, labels: bool = True
+    models: Mapping[str, LabelModel], features: DataFrame, columns: Sequence[str], id_col: str, labels: bool = True
 ) -> DataFrame:
     """Long scores ``(id, k, y, score)`` of fitted models, in one pass over the features.
 
     All models' probabilities are columns of the same row, so the table is read
     once however many labels there are.
     """
-    rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(features)
+    entries = []
     for i, (label, model) in enumerate(models.items()):
-        model = model.copy()
-        model.setProbabilityCol(f"__p{i}").setRawPredictionCol(f"__r{i}").setPredictionCol(f"__d{i}")
-        rows = model.transform(rows).drop(f"__r{i}", f"__d{i}")
-    entries = [
-        F.struct(
-            F.lit(i).alias("k"),
-            *([F.col(label).cast("int").alias("y")] if labels else []),
-            vector_to_array(f"__p{i}")[1].alias("score"),
-        )
-        for i, label in enumerate(models)
-    ]
-    return rows.select(id_col, F.explode(F.array(*entries)).alias("e")).select(id_col, "e.*")
+        z = F.lit(model.intercept)
+        for c, a in zip(columns, model.coefficients):
+            z = z + F.col(c) * a
+        y = [F.col(label).cast("int").alias("y")] if labels else []
+        entries.append(F.struct(F.lit(i).alias("k"), *y, sigmoid(z).alias("score")))
+    return features.select(id_col, F.explode(F.array(*entries)).alias("e")).select(id_col, "e.*")

@@ -217,3 +217,38 @@ def test_fit_finds_separable_labels(spark):
     out = ml.predict_multilabel(models, df, ["x"], "patch_id")
     right = out.select(((F.col("score") >= 0.5).cast("int") == F.col("y")).cast("double").alias("ok"))
     assert right.agg(F.avg("ok")).first()[0] > 0.95
+
+
+def test_joint_fit_equals_one_fit_per_label(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 3)) * [1, 50, 0.02] + [0, 200, -1]
+    logit = x @ [1.0, 0.04, -30.0] - 38
+    y = [(rng.random(600) < 1 / (1 + np.exp(-z))).astype(int) for z in (logit, -logit, 0 * logit - 2)]
+    rows = [(i, *map(float, r), *map(int, t)) for i, (r, t) in enumerate(zip(x, np.array(y).T))]
+    df = spark.createDataFrame(rows, "pid int, a double, b double, c double, u int, v int, w int").repartition(5)
+    passes = []
+    one = ml._pass
+    monkeypatch.setattr(ml, "_pass", lambda *args: passes.append(len(args[2])) or one(*args))
+    models = ml.fit_multilabel(df, ["a", "b", "c"], ["u", "v", "w"], {"w": 3.0}, reg=0.01)
+    assert passes[0] == 3 and len(passes) < 60  # all labels share a pass
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(df)
+    for label, model in models.items():
+        weight = F.when(F.col(label) > 0, 3.0 if label == "w" else 1.0).otherwise(1.0)
+        plain = LogisticRegression(
+            featuresCol="x", labelCol=label, weightCol="h", regParam=0.01, standardization=False, maxIter=500, tol=1e-12
+        ).fit(rows.withColumn("h", weight))
+        assert model.coefficients == pytest.approx(list(plain.coefficients), rel=1e-3, abs=1e-4)
+        assert model.intercept == pytest.approx(plain.intercept, rel=1e-3, abs=2e-3)
+    report = ml.fit_report(models, df, ["a", "b", "c"], "pid", {"w": 3.0}, reg=0.01).collect()
+    assert len(report) == 3 and all(r["gradient"] < 1e-3 for r in report)
+
+
+def test_fit_refuses_what_is_not_a_number(spark):
+    bad = spark.createDataFrame([(1, 1.0, 0), (2, None, 1)], "patch_id int, x double, t int")
+    with pytest.raises(ValueError, match="finite"):
+        ml.fit_multilabel(bad, ["x"], ["t"])
+    with pytest.raises(ValueError, match="no rows"):
+        ml.fit_multilabel(bad.limit(0), ["x"], ["t"])
