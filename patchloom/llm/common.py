@@ -92,5 +92,8 @@ def span_list(spans: Column | str, kinds: tuple[str, ...], keep=None) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
 
 
-def count_kind(spans: str, kind: int) -> Column:
-    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+def count_kind(spans: str, kind: int, keep=None) -> Column:
+    """How many spans have the kind; ``keep`` chooses among them."""
+    held = F.col(spans) if keep is None else F.filter(spans, keep)
+    # one parameter only: Spark gives a second one the place of the element
+    return F.size(F.filter(held, lambda x: x["kind"] == kind)).cast("long")

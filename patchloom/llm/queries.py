@@ -133,10 +133,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents."""
     found = pii.find(table(spark, sf_dir, "documents"))
-    base = [F.size(F.filter("spans", lambda x, i=i: x["base"] & (x["kind"] == i))) for i in range(len(pii.KINDS))]
     return found.select(
         "doc_id",
-        *(n.cast("long").alias(f"n_{k}") for n, k in zip(base, pii.KINDS)),
+        *(count_kind("spans", i, lambda x: x["base"]).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)),
         F.sha2(span_list("spans", pii.KINDS, lambda x: x["base"]), 256).alias("base_sha256"),
         span_list("spans", pii.KINDS).alias("spans"),
     )

@@ -139,6 +139,17 @@ def test_pii_field_without_repeats_in_a_single_document(spark):
     assert [(x.kind, x.base) for x in got] == [(3, True), (3, False)]
 
 
+def test_pii_query_counts_base_spans_by_kind(spark, tmp_path):
+    five = "1.2.3.4 10.0.0.1 8.8.8.8 9.9.9.9 7.7.7.7"
+    texts = [five, "joe@x.com and joe", "+1 (706) 555-3138, 4111 1111 1111 1111, a@b.c", five + " a@b.c d@e.f", None, ""]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.QUERIES["op3_pii_crf"](spark, str(tmp_path)).collect():
+        spans = plain_pii(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for k, _, _ in spans) for i in range(4)]
+        listed = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in spans)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+
+
 def test_pii_bare_number_is_cut_from_a_longer_run():
     text = "card 4845168114407329, then 7536784127813050 4845168114407329 again"
     assert [(text[s:e], k) for s, e, k, _ in pii.mentions(text)] == [("4845168114407329", 2), ("4845168114407329", pii.OTHER)]
