@@ -11,10 +11,10 @@ from patchloom.functions.geometry import GEOM_TYPE, bbox
 POLYGON_TYPE = "array<array<array<double>>>"
 
 
-def _feature_schema(properties: str) -> str:
-    # coordinates stay text here: their depth depends on the geometry type
+def _feature_schema(properties: str, coordinates: str = "string") -> str:
+    # coordinates are not parsed here: their depth depends on the geometry type
     return (
-        f"struct<properties:struct<{_colons(properties)}>,geometry:struct<type:string,coordinates:string>>"
+        f"struct<properties:struct<{_colons(properties)}>,geometry:struct<type:string,coordinates:{coordinates}>>"
     )
 
 
@@ -23,9 +23,11 @@ def _colons(ddl: str) -> str:
     return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in fields)
 
 
-def _geometry(features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def _geometry(features: DataFrame, keep: Sequence[str] = (), variant: bool = False) -> DataFrame:
     """Columns of parsed features ``f``: properties, type, geometry array and box."""
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    if variant:
+        text = F.to_json(text)
     geom = F.when(kind == "Polygon", F.array(F.from_json(text, POLYGON_TYPE))).when(
         kind == "MultiPolygon", F.from_json(text, GEOM_TYPE)
     )
@@ -42,15 +44,17 @@ def parse_features(lines: DataFrame, properties: str, value: str = "value") -> D
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Read feature collections (one JSON document per file); Polygon and MultiPolygon.
 
-    A document is read whole by one task, as its format asks; many files are read
-    in parallel.  For large layers use feature-per-line files.
+    A document is read whole and once by one task, as its format asks; many files are
+    read in parallel.  For large layers use feature-per-line files.  Coordinates are
+    variants, which are parsed as they go by: for text the reader goes back to the file,
+    some 12 kB for each feature.  Spark bounds a variant, so one geometry, at 128 MB.
     """
-    schema = f"crs struct<properties:struct<name:string>>, features array<{_feature_schema(properties)}>"
+    schema = f"crs struct<properties:struct<name:string>>, features array<{_feature_schema(properties, 'variant')}>"
     docs = spark.read.schema(schema).option("multiLine", True).json(path)
     features = docs.select(
         F.col("crs.properties.name").alias("crs"), F.explode("features").alias("f")
     )
-    return _geometry(features, ["crs"])
+    return _geometry(features, ["crs"], variant=True)
 
 
 def read_geojson_lines(spark: SparkSession, path: str, properties: str) -> DataFrame:

@@ -36,6 +36,23 @@ def test_geojson_round_trip(spark, tmp_path):
             assert json.loads(text)["type"] == "Feature"
 
 
+def test_geojson_documents_are_read_once(spark, tmp_path):
+    ring = [[0.1, 1e-7], [12345678.123456789, 3], [0.30000000000000004, 5e300], [0.1, 1e-7]]
+    features = [
+        {"type": "Feature", "properties": {"n": i}, "geometry": {"type": "Polygon", "coordinates": [ring]}} for i in range(2000)
+    ]
+    path = tmp_path / "many.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+
+    def bytes_read():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    before = bytes_read()
+    rows = geojson.read_geojson(spark, str(path), "n int").collect()
+    assert bytes_read() - before <= 2 * path.stat().st_size
+    assert sorted(r["n"] for r in rows) == list(range(2000)) and all(r["geom"] == [[ring]] for r in rows)
+
+
 def test_small_text_sources(spark, tmp_path):
     (tmp_path / "stats.csv").write_text("path,mean,std\ndem.tif,5.5,2.0\n")
     got = tables.read_table_csv(spark, str(tmp_path / "stats.csv"), tables.STATS_SCHEMA).first()
