@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from patchloom.functions.geometry import bbox
 from patchloom.operators.areas import edges
 from patchloom.operators.lookup import attach
 from patchloom.operators.spatial import sized_cells
@@ -15,6 +16,8 @@ from patchloom.operators.spatial import sized_cells
 
 #: Longest run of cells that is listed by one row.
 RUN = 1024
+#: Cells that one task lists, about.
+TASK_CELLS = 1 << 19
 
 
 class Grid(NamedTuple):
@@ -56,27 +59,64 @@ def touched_cells(units: DataFrame, grid: Grid, keep: Sequence[str], geometry: b
     at most ``RUN`` columns; a polygon is gone through by its edges, see
     ``border_strips`` and ``inner_strips``.  Runs are moved by ``(py, bx)`` and
     listed as cells only after that: a huge feature becomes many tasks, and
-    grouping by ``(py, bx, px)`` needs no further shuffle of single cells.
+    grouping by ``(py, bx, px)`` needs no further shuffle of single cells.  Bytes of
+    runs say little about cells, so the number of tasks comes from ``most_cells``;
+    boxes or edges are dealt to as many, as few of them may be very many runs.
     """
+    tasks = min(ceil(most_cells(units, grid, geometry) / TASK_CELLS), grid.height * ceil(grid.width / RUN))
+    tasks = max(tasks, 1)
     if geometry:
-        lines = rising_edges(units, keep)
+        lines = rising_edges(units, keep).repartition(tasks)
         strips = border_strips(lines, grid).unionByName(inner_strips(lines, grid))
         strips = strips.select(*(F.col(f"__f.{c}").alias(c) for c in keep), "py", "__x0", "__x1")
     else:
         rows = _touched(
             (F.lit(grid.top) - F.col("y1")) / grid.res, (F.lit(grid.top) - F.col("y0")) / grid.res, grid.height - 1
         )
-        strips = units.select(
+        strips = units.repartition(tasks).select(
             *keep, F.explode(rows).alias("py"), F.col("x0").alias("__x0"), F.col("x1").alias("__x1")
         )
     first = F.greatest(F.floor((F.col("__x0") - grid.left) / grid.res), F.lit(0).cast("long"))
     end = F.least(
         F.ceil((F.col("__x1") - grid.left) / grid.res) - 1, F.lit(grid.width - 1).cast("long")
     )
-    runs = _runs(strips.select(*keep, "py", first.alias("__a"), end.alias("__b"))).repartition("py", "bx")
+    runs = _runs(strips.select(*keep, "py", first.alias("__a"), end.alias("__b"))).repartition(tasks, "py", "bx")
     return runs.withColumn("px", F.explode(F.sequence("__a", "__b"))).drop("__a", "__b")
 
 
+def most_cells(units: DataFrame, grid: Grid, geometry: bool = False) -> int:
+    """At most how many different cells each feature touches, added up, from one pass over the features.
+
+    Those of its box, cut to the grid. For an outline also no more than its edges touch
+    and its rings hold; a ring lies in the triangles between its first corner and its edges.
+    """
+    sides, bound = units, F.lit(None)
+    if geometry:
+        sides = bbox(units.select("geom").where("geom is not null"))
+        bound = F.aggregate(F.flatten("geom"), F.lit(0.0), lambda n, ring: n + _ring_cells(ring, grid.res))
+
+    def span(lo: Column, hi: Column, last: int) -> Column:
+        first, end = F.greatest(F.floor(lo), F.lit(0).cast("long")), F.least(F.ceil(hi) - 1, F.lit(last).cast("long"))
+        return F.greatest(end - first + 1, F.lit(0).cast("long")).cast("double")
+
+    columns = span((F.col("x0") - grid.left) / grid.res, (F.col("x1") - grid.left) / grid.res, grid.width - 1)
+    rows = span((F.lit(grid.top) - F.col("y1")) / grid.res, (F.lit(grid.top) - F.col("y0")) / grid.res, grid.height - 1)
+    return int(sides.agg(F.sum(F.least(columns * rows, bound))).first()[0] or 0)
+
+
+def _ring_cells(ring: Column, res: float) -> Column:
+    """At most how many cells the edges of a ring touch and the triangles below them hold."""
+    start = F.get(ring, F.lit(0))
+
+    def add(n: Column, i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, F.pmod(i + 1, F.greatest(F.size(ring), F.lit(1))))
+        edge = sum((F.abs(b[c] - a[c]) for c in range(2)), F.lit(0.0)) / res + 3
+        fan = F.abs((a[0] - start[0]) * (b[1] - start[1]) - (b[0] - start[0]) * (a[1] - start[1]))
+        return n + F.coalesce(edge + fan / res**2, F.lit(0.0))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(ring) - 1), F.lit(0.0), add)
+
+
 def _runs(spans: DataFrame) -> DataFrame:
     """Spans ``__a..__b`` of columns cut at multiples of ``RUN``, with the number ``bx`` of the run; empty ones go."""
     blocks = F.sequence(F.floor(F.col("__a") / RUN), F.floor(F.col("__b") / RUN))
@@ -174,7 +214,8 @@ def burn_layers(
     cells = touched_cells(merged, grid, ["__n"], geometry)
     top = cells.groupBy("py", "bx", "px").agg(F.max("__n").alias("__n")).drop("bx")
     number = F.when(F.col("__n").isNull(), 0).otherwise(1 if binary else F.col("__n"))
-    out = ref.join(top, ["px", "py"], "left").withColumn(
+    # the planner takes the cells for as few as the features, and would broadcast them
+    out = ref.join(top.hint("merge"), ["px", "py"], "left").withColumn(
         "v", F.when(F.col("v").isNotNull(), number.cast("double"))
     )
     return out.drop("__n"), {"background": 0} | {n: i for i, n in enumerate(names, start=1)}

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import geometry as G, polygons
 from patchloom.operators import dataset as D, focal as N, patches as P, raster as R
+from patchloom.plans import load
 from plain_polygons import line_spans, strip_spans
 
 rng = np.random.default_rng(7)
@@ -166,6 +167,29 @@ def test_rasterise_boxes_equals_polygons(spark):
     assert np.isnan(a[4, 5])  # the last feature has no code and clears the cell
 
 
+def test_listed_cells_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_CELLS", 1000)
+    rows = [(i, i, 16.0 * (i % 8), 16.0 * (i // 8), 16.0 * (i % 8) + 16, 16.0 * (i // 8) + 16) for i in range(64)]
+    units = spark.createDataFrame(rows, "gid int, code int, x0 double, y0 double, x1 double, y1 double")
+    shaped = units.withColumn("geom", G.box_geom(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+    grid = R.Grid(0.0, 128.0, 1.0, 128, 128)
+    assert R.most_cells(units, grid) == 128 * 128 and R.most_cells(units, grid._replace(width=40)) == 128 * 40
+    empty = spark.createDataFrame([(None,), ([],), ([[[]]],)], f"geom {G.GEOM_TYPE}")
+    assert 128 * 128 <= R.most_cells(shaped.select("geom").unionAll(empty), grid, True) < 2 * 128 * 128
+    thin = [[[[0.0, 0.0], [100.0, 100.0], [100.0, 99.5], [0.0, 0.0]]]]
+    assert 100 <= R.most_cells(spark.createDataFrame([(thin,)], f"geom {G.GEOM_TYPE}"), grid, True) < 1000
+    for geometry in (False, True):
+        cells = R.touched_cells(shaped, grid, ["gid"], geometry).withColumn("task", F.spark_partition_id())
+        most = cells.select("task", "py", "px").distinct().groupBy("task").count().agg(F.max("count")).first()[0]
+        assert most <= 4000
+        assert cells.select("py", "px").distinct().count() == 128 * 128
+
+
+def test_burned_cells_are_not_broadcast(spark, sf):
+    plan = load().QUERIES["burn_layers"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_rasterise_slanted_polygon(spark):
     # all cells whose square meets the triangle with positive extent
     tri = [[[[0.0, 0.0], [6.0, 0.0], [0.0, 6.0], [0.0, 0.0]]]]
