@@ -196,14 +196,22 @@ def relate_outlines(left: DataFrame, right: DataFrame, cell: float, tol: float =
     )
 
 
+def outline_relations(left: DataFrame, right: DataFrame, cell: float, left_id: str, tol: float = 0.0) -> DataFrame:
+    """``relate_outlines`` of two tables, written: joins of them by several predicates can share it."""
+    keyed = right.select(row_key(*right.columns).alias(RIGHT), "geom").dropDuplicates([RIGHT])
+    return written(relate_outlines(left.select(F.col(left_id).alias(LEFT), "geom"), keyed, cell, tol))
+
+
 def outline_join(
-    left: DataFrame, right: DataFrame, predicate: str, how: str, cell: float, left_id: str, tol: float, suffix: str
-) -> DataFrame:
+    left: DataFrame, right: DataFrame, predicate: str, how: str, cell: float, left_id: str, tol: float, suffix: str,
+    related: DataFrame | None = None,
+) -> DataFrame:
     """``spatial_join`` by outlines; columns of both sides join the pairs at the end."""
     keyed = right.withColumn(RIGHT, row_key(*right.columns))
-    one = left.select(F.col(left_id).alias(LEFT), "geom")
-    pairs = relate_outlines(one, keyed.select(RIGHT, "geom").dropDuplicates([RIGHT]), cell, tol)
-    pairs = pairs.where(predicate).select(F.col(LEFT).alias(left_id), RIGHT)
+    if related is None:
+        one = left.select(F.col(left_id).alias(LEFT), "geom")
+        related = relate_outlines(one, keyed.select(RIGHT, "geom").dropDuplicates([RIGHT]), cell, tol)
+    pairs = related.where(predicate).select(F.col(LEFT).alias(left_id), RIGHT)
     if how != "inner":
         return left.join(pairs.select(left_id).distinct(), left_id, how)
     names = {c: f"{c}{suffix}" if c in left.columns else c for c in right.columns}

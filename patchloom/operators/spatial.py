@@ -200,13 +200,16 @@ def spatial_join(
     tol: float = 0.0,
     suffix: str = "_right",
     exact_geometry: bool = False,
+    related: DataFrame | None = None,
 ) -> DataFrame:
     """Join two box tables by ``intersects``, ``overlaps``, ``within`` or ``touches``.
 
     ``how`` is ``inner`` (one row per pair; columns of the right that also occur
     on the left get ``suffix``), ``left_semi`` or ``left_anti``.  ``cell`` should
     be near the usual box side; ``left_id`` must be unique on the left.  With
-    ``exact_geometry`` the outlines in the ``geom`` columns decide, edge by edge.
+    ``exact_geometry`` the outlines in the ``geom`` columns decide, edge by edge; for
+    several predicates ``related`` (``outlines.outline_relations`` of the same tables)
+    has them related once.
     """
     if predicate not in boxes.PREDICATES:
         raise ValueError(f"unknown predicate {predicate}")
@@ -217,7 +220,7 @@ def spatial_join(
     if exact_geometry:
         from patchloom.operators.outlines import outline_join  # built on this module
 
-        return outline_join(left, right, predicate, how, cell, left_id, tol, suffix)
+        return outline_join(left, right, predicate, how, cell, left_id, tol, suffix, related)
     if how == "inner":
         return _pairs(left, right, predicate, cell, tol, suffix, crs)
 

@@ -13,6 +13,7 @@ from patchloom.functions.geometry import area, box_geom, bbox, explode_parts, to
 from patchloom.functions.projections import CONICS
 from patchloom.operators import dataset as D, spatial as S
 from patchloom.operators.labels import split_summary
+from patchloom.operators.outlines import outline_relations
 from patchloom.operators.patches import make_patches
 from patchloom.plans.fixtures import view, with_views
 from patchloom.plans.queries_metrics import rounded
@@ -432,8 +433,9 @@ MEET_INSIDE = f"{MEET} and {CORNER} < 0"
 def _outline_pairs(spark, d):
     patches = view(spark, d, "patches").withColumn("geom", box_geom(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
     areas = halves(spark, d).select("aoi_id", *SIDES, "geom")
+    related = outline_relations(patches, areas, PATCH_CELL, "pid")
     found = [
-        S.spatial_join(patches, areas, p, cell=PATCH_CELL, left_id="pid", exact_geometry=True).select(
+        S.spatial_join(patches, areas, p, cell=PATCH_CELL, left_id="pid", exact_geometry=True, related=related).select(
             "pid", "aoi_id", F.lit(p).alias("predicate")
         )
         for p in ("intersects", "overlaps", "within", "touches")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import geometry as G
 from patchloom.operators import outlines as O, spatial as S
+from patchloom.session import written_count
 
 
 def closed(points):
@@ -101,3 +102,21 @@ def test_no_outline_meets_python(spark):
     ):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_several_predicates_relate_outlines_once(spark):
+    square = [[[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]]]
+    moved = {"over": (2.0, 2.0), "in": (1.0, 1.0), "beside": (4.0, 0.0), "far": (9.0, 9.0)}
+    rows = [(k, [[[[x + p[0] / 2, y + p[1] / 2] for p in square[0][0]]]]) for k, (x, y) in moved.items()]
+    left = G.bbox(spark.createDataFrame([*rows, (None, square)], f"id string, geom {G.GEOM_TYPE}"))
+    right = G.bbox(spark.createDataFrame([(1, square), (1, square)], f"no int, geom {G.GEOM_TYPE}"))
+    related = O.outline_relations(left, right, 3.0, "id")
+    before = written_count()
+    for p in ("intersects", "overlaps", "within", "touches"):
+        shared = S.spatial_join(left, right, p, cell=3.0, exact_geometry=True, related=related)
+        assert written_count() == before
+        alone = S.spatial_join(left, right, p, cell=3.0, exact_geometry=True)
+        before = written_count()
+        got = [sorted(map(repr, df.select("id", "no").collect())) for df in (shared, alone)]
+        assert got[0] == got[1]
+        assert ("in" in {r.id for r in shared.collect()}) == (p in ("intersects", "within"))
