@@ -12,6 +12,8 @@ MAX_ROUNDS = 60
 #: Records of an Arrow batch of texts. Spark's default of 10,000 may be gigabytes where texts are long.
 BATCH_ROWS = 1000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Words of 64 bits in the filter that ``sift`` broadcasts.
+SIFT_WORDS = 1 << 17
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -57,6 +59,26 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def sift(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``key`` may be among ``ids``, and those where it is not.
+
+    ``ids`` has the one column ``key``, of the same type. A Bloom filter decides,
+    which is at most ``SIFT_WORDS`` rows whatever the size of ``ids``, so broadcasting
+    it is bounded; the more ids, the more rows of the first part are not among
+    them. A join with ``ids`` must follow on the first part. The second part needs
+    none, so its texts are not shuffled.
+    """
+    h = F.xxhash64(key, F.lit(3))
+    word = F.pmod(h, F.lit(SIFT_WORDS)).cast("int").alias("_word")
+    one = F.lit(1).cast("long")
+    bits = [F.call_function("shiftleft", one, F.pmod(F.shiftright(h, n), F.lit(64)).cast("int")) for n in (32, 48)]
+    mask = bits[0].bitwiseOR(bits[1])
+    held = ids.select(word, mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_held"))
+    tested = rows.withColumn("_word", word).join(F.broadcast(held), "_word", "left")
+    maybe = F.coalesce(F.col("_held").bitwiseAND(mask) == mask, F.lit(False))
+    return tested.where(maybe).select(*rows.columns), tested.where(~maybe).select(*rows.columns)
+
+
 def add_columns(docs: DataFrame, inputs: list[str], ddl: str, start, rows: int = 256) -> DataFrame:
     """``docs`` with columns computed from Arrow batches.
 

@@ -24,8 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from patchloom.llm.common import add_columns, components
-from patchloom.session import written
+from patchloom.llm.common import add_columns, components, sift
+from patchloom.session import drop_written, written, written_count
 
 BANDS, ROWS = 32, 4
 RING = 1 << 20
@@ -132,7 +132,10 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """rep, n, elements (sorted hashes as binary) of the documents with these ids."""
+    """rep, n, elements (sorted hashes as binary) of the documents with these ids.
+
+    Few documents are candidates, so all others stay behind before the join.
+    """
 
     def start():
         def make(texts):
@@ -141,9 +144,9 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
         return make
 
-    chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("rep"), "left_semi")
-    chosen = chosen.withColumnRenamed("doc_id", "rep")
-    return add_columns(chosen, ["text"], "n long, elements binary", start).drop("text").dropDuplicates(["rep"])
+    texts, _ = sift(docs.select(F.col("doc_id").alias("rep"), "text"), ids, "rep")
+    chosen = texts.join(ids, "rep", "left_semi").dropDuplicates(["rep"])
+    return add_columns(chosen, ["text"], "n long, elements binary", start).drop("text")
 
 
 def _verify_stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,8 +260,8 @@ def near_texts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     one, other columns are ignored.
 
     Documents with equal sets are one node, so exact copies cost no comparison.
-    What is shuffled are sketches, the texts once to take the sets of candidates,
-    and sets of candidate pairs.
+    What is shuffled are sketches, the texts of candidates (and of few others, see
+    ``sift``) once to take their sets, and sets of candidate pairs.
     """
     sketches = written(_sketch(docs, size))
     rows = sketches.where("n > 0 and doc_id is not null")
@@ -312,14 +315,20 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Every row is compared under a number of its own, so rows with one doc_id and
     different texts are different documents, and copies among rows with a null
     doc_id go. Rows without words link with nothing and stay. Other columns of any
-    name pass through.
+    name pass through. Of the texts of rows that stay hardly any are shuffled at the
+    end, and of what was written on the way only the rows and the numbers of the
+    dropped ones are left when this returns.
     """
-    names = docs.columns
+    names, before = docs.columns, written_count()
     others = F.struct(*(c for c in names if c != "text")).alias("doc")
     rows = written(docs.select(others, "text", F.monotonically_increasing_id().alias("row")))
     found = near_texts(rows.select(F.col("row").alias("doc_id"), "text"), size, percent)
     found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("part"))
     place = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row")
-    first = rows.select("row", place.alias("place")).join(found, "row").groupBy("part").agg(F.min("place").alias("place"))
-    kept = rows.join(written(first.select(F.col("place.row").alias("row"))), "row", "left_semi")
+    placed = written(rows.select("row", place.alias("place")).join(found, "row"))
+    first = placed.groupBy("part").agg(F.min("place")["row"].alias("row"))
+    dropped = written(placed.select("row").join(first, "row", "left_anti"))
+    drop_written(docs.sparkSession, since=before + 1, last=1)
+    maybe, kept = sift(rows, dropped, "row")
+    kept = kept.union(maybe.join(dropped, "row", "left_anti").select(*rows.columns))
     return kept.select(*(F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in names))

@@ -20,8 +20,8 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, functions as F
 
 from patchloom.llm import near_texts
-from patchloom.llm.common import add_columns
-from patchloom.session import written
+from patchloom.llm.common import add_columns, sift
+from patchloom.session import drop_written, written, written_count
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "token")
@@ -157,16 +157,20 @@ def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, mark: str = "[SECRET]"
 
     Live is meant as in ``scan``. Copied examples and everything else stay; no row
     is dropped and null texts stay null. Equal rows share their verdicts. Other
-    columns of any name pass through.
+    columns of any name pass through. Texts are shuffled only of documents with live
+    spans (and of few others, see ``sift``), and of what was written on the way only
+    the live values of those documents are left when this returns.
     """
-    names = docs.columns
-    others = F.struct(*(c for c in names if c != "text")).alias("doc")
-    keyed = docs.select(others, "text", F.xxhash64("doc_id", "source", "text").alias("row"))
+    names, before = docs.columns, written_count()
+    doc = F.struct(*(c for c in names if c != "text")).alias("doc")
+    keyed = docs.select(doc, "text", F.xxhash64("doc_id", "source", "text").alias("row"))
     kept = candidates(keyed.select("row", F.col("doc.source").alias("source"), "text"))
     kept = written(kept.where(F.size("found") > 0))
     live = holders(kept).where(F.col("owners") <= max_owners).select("value")
     each = kept.select("row", F.explode("found.value").alias("value")).distinct()
-    hit = each.join(written(live), "value").groupBy("row").agg(F.collect_set("value").alias("live"))
+    hit = written(each.join(written(live), "value").groupBy("row").agg(F.collect_set("value").alias("live")))
+    drop_written(docs.sparkSession, since=before, last=1)
+    maybe, others = sift(keyed, hit.select("row"), "row")
 
     def start():
         def clean(text, live):
@@ -179,5 +183,6 @@ def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, mark: str = "[SECRET]"
 
         return lambda texts, live: [[clean(t, set(v)) if v else t for t, v in zip(texts, live)]]
 
-    clean = add_columns(keyed.join(hit, "row", "left"), ["text", "live"], "text string", start)
+    clean = add_columns(maybe.join(hit, "row", "left"), ["text", "live"], "text string", start)
+    clean = clean.select("doc", "text").union(others.select("doc", "text"))
     return clean.select(*(F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in names))

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from patchloom.llm import near_texts, near_vectors, queries, repeats, topk
+from patchloom.llm import common, near_texts, near_vectors, queries, repeats, topk
 from patchloom.llm.common import components
 from patchloom.session import local_table
 
@@ -100,6 +100,21 @@ def test_near_texts_in_small_blocks(spark, copies, monkeypatch):
     assert got == plain_near(copies, 2)
 
 
+def test_sift_loses_no_row_and_sends_few_to_the_join(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("if(id < 9, null, id * id - 7) as key", "cast(id as string) as text", "1 as _word")
+    ids = spark.range(0, 20_000, 50).selectExpr("id * id - 7 as key")
+    held = {i * i - 7 for i in range(50, 20_000, 50)}
+    for words, most in ((common.SIFT_WORDS, 410), (1, 20_000)):
+        monkeypatch.setattr(common, "SIFT_WORDS", words)
+        maybe, others = common.sift(rows, ids, "key")
+        assert maybe.columns == others.columns == rows.columns
+        first, second = [r.key for r in maybe.collect()], [r.key for r in others.collect()]
+        assert len(first) + len(second) == 20_000 and len(first) <= most
+        assert held <= set(first) and not held & set(second)
+    maybe, others = common.sift(rows, ids.limit(0), "key")
+    assert maybe.count() == 0 and others.count() == 20_000
+
+
 def test_near_texts_repeated_rows_and_null_ids(spark):
     text = "a b c d e f g h"
     rows = [(5, text, None, None, None), (5, text, None, None, None), (3, text, None, None, None), (None, text, None, None, None)]

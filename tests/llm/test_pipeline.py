@@ -12,9 +12,9 @@ from test_joins import DOCS, docs_of, plain_near
 from test_text_operators import plain_secrets
 
 import corpus_pipeline
-from patchloom.llm import language, mixing, near_texts, secret_scan
+from patchloom.llm import common, language, mixing, near_texts, secret_scan
 from patchloom.llm.common import table
-from patchloom.session import local_table, written
+from patchloom.session import local_table, written, written_count
 
 # -- plain versions: rows are (doc_id, text, lang, source, n_chars) -------------------------------
 
@@ -288,6 +288,22 @@ def test_dedup_of_repeated_ids_null_ids_and_clashing_names(spark):
     assert near_texts.dedup(docs.where("doc_id > 9")).count() == 0
 
 
+def test_stages_keep_only_what_their_results_read(spark, monkeypatch):
+    text = "a b c d e f g h i token=Zx9Kq27LmP0aWv31"
+    rows = [(i, text if i % 3 else f"t{i} u v w x y z", None, "s", 0) for i in range(60)]
+    docs, clean = local_table(spark, rows, DOCS), text.replace("token=Zx9Kq27LmP0aWv31", "[SECRET]")
+    for words in (common.SIFT_WORDS, 1):  # with one word, almost every row may be among the ids
+        monkeypatch.setattr(common, "SIFT_WORDS", words)
+        before = written_count()
+        kept = near_texts.dedup(docs)
+        assert written_count() - before == 2
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 1, *range(3, 60, 3)]
+        before = written_count()
+        redacted = secret_scan.redact(docs)
+        assert written_count() - before == 1
+        assert {r.doc_id: r.text for r in redacted.collect()} == {i: clean if i % 3 else t for i, t, *_ in rows}
+
+
 def test_limits_without_labels_or_other_languages(spark):
     docs = docs_of(spark, ["a b c", "d e f"] * 40)
     learned = language.learn(docs)
