@@ -27,36 +27,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components by alternating large and small stars.
+    """Connected components: one row per node that is in an edge between two nodes.
 
-    ``edges`` has two long columns ``u`` and ``v``; the result has one row per
-    node that is in an edge between two nodes: ``node`` and ``component`` (the
-    smallest node reachable). Every round is a few aggregates and equi-joins
+    ``edges`` has two long columns ``u`` and ``v``; the result has ``node`` and
+    ``component`` (the smallest node reachable).
+    """
+    links = stars(edges)
+    return links.union(links.select("component").distinct().select("component", "component"))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Connected components by alternating large and small stars, as in ``components`` without the smallest nodes.
+
+    Every round is a few aggregates and equi-joins
     whose output is written to the shared folder, so the lineage stays short and
     no node's neighbours have to fit in one task: minima are combined before
-    they are shuffled and large join partitions can be split.
+    they are shuffled and large join partitions can be split. Rounds end when only
+    stars are left, which no further round would change.
     """
     pairs = edges.where("u is not null and v is not null and u <> v")
     links = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
     for _ in range(MAX_ROUNDS):
+        if _only_stars(links):
+            break
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         links = written(small.union(low.select("u", F.col("low").alias("v"))).distinct())
-        now = links.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-        ).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    roots = links.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _only_stars(links: DataFrame) -> bool:
+    """Whether every ``u`` of the distinct links has one ``v`` and no ``v`` is a ``u``."""
+    up = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = up.union(links.select("v", F.lit(0), F.lit(1))).groupBy("node")
+    ends = ends.agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.where("up > 1 or up = 1 and down = 1").agg(F.count("*")).first()[0]
 
 
 def sift(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

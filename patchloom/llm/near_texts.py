@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from patchloom.llm.common import add_columns, components, sift
+from patchloom.llm.common import add_columns, sift, stars
 from patchloom.session import drop_written, written, written_count
 
 BANDS, ROWS = 32, 4
@@ -222,7 +222,7 @@ def _verify_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Buckets with the same members are looked at once. A bucket is cut into blocks,
     every two blocks are a task, and a task returns no more links than it takes to
-    join its components.
+    join its components. The links are between components.
     """
     same = rest.groupBy("band").agg(
         F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"),
@@ -240,11 +240,11 @@ def _verify_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(key, t):
         sets = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
-        ids, part = t.column("rep").to_numpy(), t.column("component").to_numpy()
+        part = t.column("component").to_numpy()
         size = np.array([len(s) for s in sets])
         ok = alike(common_counts(sets), size[:, None], size, percent)
         edges = forest(ok, part)
-        return pa.table({"u": ids[[a for a, _ in edges]], "v": ids[[b for _, b in edges]]})
+        return pa.table({"u": part[[a for a, _ in edges]], "v": part[[b for _, b in edges]]})
 
     joined = rows.join(sets.select("rep", "elements"), "rep")
     return joined.groupBy("band", "low", "high").applyInArrow(run, "u long, v long")
@@ -261,52 +261,71 @@ def near_texts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Documents with equal sets are one node, so exact copies cost no comparison.
     What is shuffled are sketches, the texts of candidates (and of few others, see
-    ``sift``) once to take their sets, and sets of candidate pairs.
+    ``sift``) once to take their sets, and sets of candidate pairs. Components found
+    by one step are the nodes of the next one, and steps that have nothing to
+    compare are left out.
     """
     sketches = written(_sketch(docs, size))
     rows = sketches.where("n > 0 and doc_id is not null")
     reps = rows.groupBy("h", "g").agg(F.min("doc_id").alias("rep"))
-    nodes = written(rows.select("doc_id", "n", "h", "g").join(reps, ["h", "g"]).select("doc_id", "rep").distinct())
+    nodes = written(rows.select("doc_id", "h", "g").join(reps, ["h", "g"]).select("doc_id", "rep"))
+    judged = nodes.select(F.col("doc_id").alias("id"), F.col("rep").alias("component"))
+    for parts in _steps(rows, nodes, docs, size, percent):
+        judged = renamed(judged, parts)
+    judged = judged.groupBy("id").agg(F.min("component").alias("c"))
+    out = sketches.select("doc_id", "n").join(judged, F.col("doc_id") == F.col("id"), "left")
+    component = F.coalesce("c", "doc_id")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+    )
+
+
+def _steps(rows: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> list[DataFrame]:
+    """Tables (node, component) that name a node's component if they are applied one after the other."""
     chosen = nodes.where("doc_id = rep").select("rep").distinct()
     banded = rows.join(chosen, F.col("doc_id") == F.col("rep"), "left_semi")
     banded = banded.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")).distinct()
     buckets = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("k")).where("k > 1")
     buckets = written(buckets)  # so that the join below is free to split a large bucket
+    if buckets.isEmpty():
+        return []
     full = written(banded.join(buckets, "band").select("band", "rep", "hub"))
     sets = written(_sets(docs, full.select("rep").distinct(), size))
 
-    links = _verify_stars(full.where("rep <> hub").select("hub", "rep").distinct(), sets, percent)
-    links = written(links)
-    rest = undecided(full.where("rep <> hub").select("band", "rep"), components(links))
+    links = written(_verify_stars(full.where("rep <> hub").select("hub", "rep").distinct(), sets, percent))
+    steps = [stars(links)]
+    rest = full.where("rep <> hub").select("band", "rep", F.col("rep").alias("component"))
+    rest = renamed(rest, steps[0])
     degree = links.select(F.col("u").alias("rep")).union(links.select(F.col("v").alias("rep")))
     degree = degree.groupBy("rep").agg(F.count("*").alias("degree"))
-    ranked = rest.join(degree, "rep", "left")
-    place = F.struct(F.coalesce("degree", F.lit(0)), -F.col("rep"))
-    best = ranked.groupBy("band").agg((-F.max(place)["col2"]).alias("hub"))
+    ends = F.min("component").alias("low"), F.max("component").alias("high")
+    place = F.struct(F.coalesce("degree", F.lit(0)), -F.col("rep"), F.col("component"))
+    best = rest.join(degree, "rep", "left").groupBy("band").agg(F.max(place).alias("best"), *ends)
+    best = best.where("low <> high")
+    best = written(best.select("band", (-F.col("best.col2")).alias("hub"), F.col("best.component").alias("center")))
+    if best.isEmpty():
+        return steps
     rest = written(rest.join(best, "band"))
-    pairs = rest.where("rep <> hub").select("hub", "rep").distinct()
-    links = written(links.union(_verify_stars(pairs, sets, percent)))
-    rest = written(undecided(rest.where("rep <> hub").select("band", "rep"), components(links)))
-    links = links.union(_verify_blocks(rest, sets, percent))
-
-    parts = components(links)
-    judged = nodes.join(parts, nodes["rep"] == parts["node"], "left")
-    judged = judged.select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("c"))
-    judged = judged.groupBy("id").agg(F.min("c").alias("c"))
-    out = sketches.select("doc_id", "n").join(judged, F.col("doc_id") == F.col("id"), "left")
-    component = F.coalesce("c", "doc_id")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
-    )
-
-
-def undecided(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members (band, rep) of buckets with more than one component: band, rep, component."""
-    named = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    named = written(named.select("band", "rep", F.coalesce("component", "rep").alias("component")))
-    open_ = named.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    return named.join(open_.select("band"), "band", "left_semi")
+    pairs = rest.where("component <> center").select("hub", "rep", "center", "component").distinct()
+    links = written(_verify_stars(pairs.select("hub", "rep"), sets, percent))
+    rest = rest.where("rep <> hub").select("band", "rep", "component")
+    if not links.isEmpty():
+        found = links.select(F.col("u").alias("hub"), F.col("v").alias("rep")).join(pairs, ["hub", "rep"])
+        steps.append(stars(found.select(F.col("center").alias("u"), F.col("component").alias("v"))))
+        rest = renamed(rest, steps[-1])
+    open_ = rest.groupBy("band").agg(*ends).where("low <> high").select("band")
+    rest = written(rest.join(open_, "band", "left_semi"))
+    if not rest.isEmpty():
+        steps.append(stars(_verify_blocks(rest, sets, percent)))
+    return steps
+
+
+def renamed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` whose ``component`` is what ``parts`` (node, component) says of it, if anything."""
+    parts = parts.select("node", F.col("component").alias("_now"))
+    found = rows.join(parts, F.col("component") == F.col("node"), "left")
+    return found.withColumn("component", F.coalesce("_now", "component")).select(*rows.columns)
 
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 from patchloom.llm import common, near_texts, near_vectors, queries, repeats, topk
 from patchloom.llm.common import components
-from patchloom.session import local_table
+from patchloom.session import local_table, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,6 +45,28 @@ def test_components_of_chains_stars_and_rings(spark):
     assert components(local_table(spark, [], "u long, v long")).count() == 0
 
 
+def test_steps_without_work_are_left_out(spark, monkeypatch):
+    calls = []
+
+    def counted(df):
+        calls.append(1)
+        return written(df)
+
+    monkeypatch.setattr(common, "written", counted)
+    monkeypatch.setattr(near_texts, "written", counted)
+    edges = local_table(spark, [(1, i) for i in range(2, 40)], "u long, v long")
+    assert {tuple(r) for r in components(edges).collect()} == {(i, 1) for i in range(1, 40)}
+    assert len(calls) == 1  # these are stars already, so no round is run
+    calls.clear()
+    got = {tuple(r) for r in near_texts.near_texts(docs_of(spark, [f"a{i} b{i} c{i}" for i in range(9)]), 2).collect()}
+    assert got == {(i, 2, i, True) for i in range(9)}
+    assert len(calls) == 3  # no bucket holds two documents
+    calls.clear()
+    got = near_texts.near_texts(docs_of(spark, ["a b c d e f g h i j", "a b c d e f g h i j k", "x y"]), 2)
+    assert {tuple(r) for r in got.collect()} == {(0, 9, 0, True), (1, 10, 0, False), (2, 1, 2, True)}
+    assert len(calls) <= 10  # one star links all, nothing is undecided
+
+
 # -- documents ----------------------------------------------------------------------------------
 
 
