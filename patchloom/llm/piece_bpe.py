@@ -28,10 +28,25 @@ from patchloom.llm.common import add_columns
 
 SPACE = "▁"
 #: Entries after which a worker's memo of segments, and that of pairs, is emptied.
-MEMO, PAIRS = 150_000, 600_000
+MEMO, PAIRS = 150_000, 450_000
+#: The score of what does not merge.
+NEVER = float("-inf")
 _LETTER = r"[^\W\d_]"
 
 
+class _Memo(dict):
+    """What ``make`` says of texts; those of up to 64 characters are kept."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.make(text)
+        if len(text) <= 64:
+            self[text] = found
+        return found
+
+
 class PieceTable:
     """Prefix table encoder and decoder for one model."""
 
@@ -62,7 +77,8 @@ class PieceTable:
         self.automaton.make_automaton()
         self.segment = self._segments()
         self.pairs: dict[int, bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.edges: dict[tuple[int, int], list[tuple[str, float]]] = {}
+        self.memo = _Memo(self._encode_segment)
 
     def _segments(self) -> re.Pattern:
         """Segments that no piece reaches across, so that each can be encoded by itself.
@@ -90,25 +106,33 @@ class PieceTable:
             parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
             yield parts
 
-    def _edge(self, piece: str, side: int) -> list[str]:
-        """What stands at one side (0 left, -1 right) of a piece at some time while it is merged."""
-        found = [piece]
-        while self.parts[found[-1]]:
-            found.append(self.parts[found[-1]][side])
+    def _edge(self, piece: int, side: int) -> list[tuple[str, float]]:
+        """What stands at one side (0 left, -1 right) of a piece at each step of its merging, and the next merge's score."""
+        found = self.edges.get((piece, side))
+        if found is None:
+            found = self.edges[piece, side] = []
+            for parts in self._merging(self.pieces[piece]):
+                scores = (self.score.get(a + b, NEVER) for a, b in zip(parts, parts[1:]))
+                found.append((parts[side], max(scores, default=NEVER)))
         return found
 
     def _compatible(self, a: int, b: int) -> bool:
-        """Whether the encoding of the two pieces' concatenation is these two; kept for the next time."""
-        pair = [self.pieces[a], self.pieces[b]]
-        left = self._edge(pair[1], 0)
-        found = not any(x + y in self.ids for x in self._edge(pair[0], -1) for y in left)
-        if not found:  # they can merge across, so see whether they do
-            *_, last = self._merging("".join(pair))
-            found = last == pair
+        """Whether the encoding of the two pieces' concatenation is these two; kept for the next time.
+
+        Both are merged side by side, the best score first and left of right, until
+        what meets in the middle is due to merge or both are done.
+        """
+        left, right = iter(self._edge(a, -1)), iter(self._edge(b, 0))
+        (x, p), (y, q) = next(left), next(right)
+        while not (across := (s := self.score.get(x + y, NEVER)) > p and s >= q) and max(p, q) > NEVER:
+            if p >= q:
+                x, p = next(left)
+            else:
+                y, q = next(right)
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        self.pairs[a * self.size + b] = found
-        return found
+        self.pairs[a * self.size + b] = not across
+        return not across
 
     def _encode_known(self, text: str) -> list[int]:
         last, pairs, n = [-1] * len(text), self.pairs, self.size
@@ -143,11 +167,8 @@ class PieceTable:
         memo = self.memo
         if len(memo) >= MEMO:
             memo.clear()
-        for part in set(parts).difference(memo):
-            if len(part) <= 64:
-                memo[part] = self._encode_segment(part)
-        found = [memo[p] if len(p) <= 64 else self._encode_segment(p) for p in parts]
-        return np.frombuffer(b"".join(found) + np.int32(self.end).tobytes(), np.int32)
+        found = b"".join(map(memo.__getitem__, parts))
+        return np.frombuffer(found + np.int32(self.end).tobytes(), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: one space mark in front is dropped, bytes are put together."""

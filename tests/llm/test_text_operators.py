@@ -295,6 +295,18 @@ def test_pieces_equal_the_library(pieces, text):
     assert ours.decode(ids) == library.decode(ids)
 
 
+def test_pairs_of_pieces_are_judged_by_the_merges_of_each(pieces, monkeypatch):
+    ours, merging, calls = pieces[0], pieces[0]._merging, []
+    monkeypatch.setattr(ours, "_merging", lambda text: calls.append(text) or merging(text))
+    some = [ours.ids[p] for p in sorted(ours.parts)[::200]]
+    got = {(a, b): ours._compatible(a, b) for a in some for b in some}
+    assert len(some) > 100 and len(calls) <= 2 * len(some)
+    for (a, b), fits in got.items():
+        pair = [ours.pieces[a], ours.pieces[b]]
+        assert fits == ([*merging("".join(pair))][-1] == pair)
+    assert len({*got.values()}) == 2
+
+
 def test_pieces_of_whole_documents(spark, pieces):
     _, library = pieces
     docs = table(spark, "/root/testdata/sf0.001", "documents")
