@@ -9,6 +9,8 @@ of one cell, at least one of them at home, and none is lost.
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -18,8 +20,9 @@ from patchloom.session import written
 
 #: Vectors that the centroids are fitted on at most (by a hash of the id), vectors meant for a cell, and most cells.
 SAMPLE_ROWS, CELL_ROWS, MAX_CELLS = 20_000, 2048, 1024
-#: Rows of a block; a task compares two blocks of rows at home, or one with so many blocks of guests.
-BLOCK_ROWS, GUESTS = 2048, 2
+#: A task compares two blocks of rows at home, or one with so many blocks of guests. A block has an eighth of the rows of
+#: its length, ``BLOCK_ROWS`` if that is less, and at most so many components. Within a task, tiles of rows are compared.
+BLOCK_PARTS, BLOCK_ROWS, BLOCK_VALUES, GUESTS, TILE = 8, 2048, 1 << 21, 2, 2048
 STEPS = 12
 #: Cells that a vector is in on average at most; if it were more with more cells, there are fewer and larger ones.
 MOST_VISITS = 4.0
@@ -66,16 +69,27 @@ def unit(flat: np.ndarray, rows: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def compare(a, b, least: float, same: bool, elsewhere=None):
-    """Which rows of ``a`` and ``b`` link, as a matrix.
+def compare(x: np.ndarray, y: np.ndarray, least: float, same: bool, cosines):
+    """Numbers of the rows of ``x`` and of ``y`` that link with any of the other, and which of them link, as a matrix.
 
-    ``same`` says that both are one block of rows. ``elsewhere`` marks the pairs that
-    count in another cell.
+    ``x`` and ``y`` are unit vectors in single precision; ``same`` says that both are one
+    tile. Where a product is so close to ``least`` that single precision cannot decide,
+    ``cosines(i, j)`` does for rows ``i`` of ``x`` and ``j`` of ``y``.
     """
-    ok = a @ b.T >= least
+    dot, slack = x @ y.T, (x.shape[1] + 8) * 2.0**-23
     if same:
-        np.fill_diagonal(ok, False)
-    return ok if elsewhere is None else ok & ~elsewhere
+        np.fill_diagonal(dot, -2)
+    rows = np.flatnonzero(dot.max(1) >= least - slack)
+    dot = dot[rows]
+    columns = np.flatnonzero(dot.max(0, initial=-2) >= least - slack)
+    dot = dot[:, columns]
+    ok = dot >= least
+    i, j = np.nonzero(np.abs(dot - least) <= slack)
+    step = max(BLOCK_VALUES // x.shape[1], 1)
+    for at in range(0, len(i), step):
+        close = i[at : at + step], j[at : at + step]
+        ok[close] = cosines(rows[close[0]], columns[close[1]]) >= least
+    return rows, columns, ok
 
 
 def parts_of(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +109,13 @@ def parts_of(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
+def rows_of_block(n: int, dim: int) -> int:
+    """Rows of a block of ``n`` vectors of length ``dim``."""
+    return min(max(-(-n // BLOCK_PARTS), BLOCK_ROWS), max(BLOCK_VALUES // dim, 1))
+
+
 def near_vectors(
-    vectors: DataFrame, least: float = 0.95, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS
+    vectors: DataFrame, least: float = 0.95, cell_rows: int = CELL_ROWS, block_rows: int | None = None
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -107,8 +126,11 @@ def near_vectors(
 
     Equal vectors are one row with a number of copies, so a vector that holds a
     third of the table costs one comparison. Cells are cut into blocks of
-    bounded size and any two blocks are compared in a task of their own, which
-    returns counts and one edge per row, not pairs. Centroids come from a sample
+    bounded size and any two blocks are compared in a task of their own, tile by
+    tile, which returns counts and one edge per row of a tile, not pairs. Rows are
+    copied to as many tasks as there are blocks in their cell, a number that does not
+    grow with the table before blocks of an eighth of it are at their bound. Products
+    are of single precision; close ones are repeated in double precision. Centroids come from a sample
     of at most ``SAMPLE_ROWS`` vectors per length; they decide on work, not on links.
     """
     spark = vectors.sparkSession
@@ -123,12 +145,13 @@ def near_vectors(
     reps = written(valid.select("vec_id", "x", F.size("x").alias("dim")).join(first, "vec_id"))
 
     margin = np.sqrt(max(2 - 2 * least, 0)) / 2
-    centroids = {}
+    centroids, of_block = {}, {}
     for dim, n in sorted(reps.groupBy("dim").count().collect()):
         place = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
         some = reps.where((F.col("dim") == dim) & (place * n < SAMPLE_ROWS)).orderBy("vec_id").limit(SAMPLE_ROWS)
         got = some.select("x").toPandas()["x"].to_list() or reps.where(F.col("dim") == dim).limit(1).toPandas()["x"].to_list()
         x = unit(np.concatenate(got), len(got))
+        of_block[dim] = block_rows or rows_of_block(n, dim)
         centroids[dim] = choose(x, min(n // cell_rows, MAX_CELLS), margin)
     shared = spark.sparkContext.broadcast(centroids)
 
@@ -156,9 +179,10 @@ def near_vectors(
     schema = f"dim int, cell int, vec_id long, copies long, home int, visits array<int>, x {kind}"
     dealt = reps.select("vec_id", "x", "dim", "copies").mapInArrow(deal, schema)
     at_home = F.col("home") == F.col("cell")
+    most = F.create_map(*(F.lit(v) for pair in of_block.items() for v in pair))[F.col("dim")] if of_block else F.lit(1)
     sizes = dealt.groupBy("dim", "cell").agg(
-        F.ceil(F.count_if(at_home) / block_rows).cast("int").alias("homes"),
-        F.ceil(F.count_if(~at_home) / (GUESTS * block_rows)).cast("int").alias("guests"),
+        F.ceil(F.count_if(at_home) / most).cast("int").alias("homes"),
+        F.ceil(F.count_if(~at_home) / (GUESTS * most)).cast("int").alias("guests"),
     )
     sizes = written(sizes.where("homes > 0"))  # a row per cell
     n = F.when(at_home, F.col("homes")).otherwise(F.col("guests"))
@@ -186,18 +210,28 @@ def near_vectors(
         a, b = order[first[order]], order[~first[order]]
         same = one == two
         b = a if same else b
-        x = unit(t.column("x").combine_chunks().flatten().to_numpy(), t.num_rows)
+        flat = t.column("x").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        x = np.empty(flat.shape, np.float32)
+        for at in range(0, t.num_rows, TILE):
+            x[at : at + TILE] = unit(flat[at : at + TILE], len(flat[at : at + TILE]))
         ids, copies, home = (t.column(c).to_numpy() for c in ("vec_id", "copies", "home"))
-        elsewhere = None
-        if len(b) and home[b[0]] != cell:  # guests: does a row at home visit their home, and is that to count it?
-            visits = t.column("visits").combine_chunks()
-            inside = np.zeros((t.num_rows, len(shared.value[key[0].as_py()])), bool)
-            inside[np.repeat(np.arange(t.num_rows), visits.value_lengths().to_numpy()), visits.flatten().to_numpy()] = True
-            elsewhere = inside[np.ix_(a, home[b])] & (home[b] < cell)
-        ok = compare(x[a], x[b], least, same, elsewhere)
-        left, right = parts_of(ok)
-        sides = [(a, ok @ copies[b], left), (b, ok.T @ copies[a] * (not same), right)]
-        out = [(ids[side][root >= 0], n[root >= 0], ids[a[root[root >= 0]]]) for side, n, root in sides]
+        visits = t.column("visits").combine_chunks()
+        out = [(ids[:0], copies[:0], ids[:0])]
+        for i, j in product(range(0, len(a), TILE), range(0, len(b), TILE)):
+            if same and j < i:
+                continue
+            p, q, twice = a[i : i + TILE], b[j : j + TILE], same and i == j
+            cosines = lambda r, c, p=p, q=q: (unit(flat[p[r]], len(r)) * unit(flat[q[c]], len(c))).sum(1)
+            rows, columns, ok = compare(x[p], x[q], least, twice, cosines)
+            p, q = p[rows], q[columns]
+            if len(p) and len(q) and home[q[0]] != cell:  # guests: does a row at home visit their home, and is that to count it?
+                cells = visits.take(pa.array(p))
+                inside = np.zeros((len(p), len(shared.value[key[0].as_py()])), bool)
+                inside[np.repeat(np.arange(len(p)), cells.value_lengths().to_numpy()), cells.flatten().to_numpy()] = True
+                ok &= ~(inside[:, home[q]] & (home[q] < cell))
+            left, right = parts_of(ok)
+            for side, n, root in ((p, ok @ copies[q], left), (q, ok.T @ copies[p] * (not twice), right)):
+                out.append((ids[side][root >= 0], n[root >= 0], ids[p[root[root >= 0]]]))
         return pa.table(dict(zip(("vec_id", "links", "root"), map(np.concatenate, zip(*out)))))
 
     schema = "vec_id long, links long, root long"

@@ -185,6 +185,41 @@ def test_near_vectors_equals_brute_force(spark, monkeypatch, cell_rows, block_ro
     assert got == want
 
 
+def test_near_vectors_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "MOST_VISITS", 1e9)
+    monkeypatch.setattr(near_vectors, "TILE", 7)
+    rng = np.random.default_rng(6)
+    x = [v for c in rng.normal(size=(12, 5)) for v in c + rng.normal(size=(8, 5)) * rng.choice([0.05, 0.3])]
+    rows = [(int(i), [float(c) for c in v]) for i, v in zip(rng.permutation(1000), x)]
+    vectors = local_table(spark, rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in near_vectors.near_vectors(vectors, 0.95, 20).collect()}
+    assert got == plain_vectors(rows, 0.95)
+
+
+def test_blocks_of_vectors_grow_with_the_table_to_a_bound():
+    for dim in (1, 64, 1536):
+        for n in (1, 5_000, 50_000, 250_000, 10**9):
+            rows = near_vectors.rows_of_block(n, dim)
+            assert rows * dim <= max(near_vectors.BLOCK_VALUES, dim)
+            assert n <= 8 * rows or rows == near_vectors.BLOCK_VALUES // dim
+
+
+def test_links_that_single_precision_cannot_tell():
+    rng = np.random.default_rng(7)
+    a = near_vectors.unit(rng.normal(size=(300, 64)), 300)
+    b = near_vectors.unit(rng.normal(size=(300, 64)), 300)
+    b = near_vectors.unit(b - (a * b).sum(1, keepdims=True) * a, 300)
+    cos = 0.95 + rng.choice([-1, 1], 300) * 10.0 ** -rng.integers(3, 14, 300)
+    b = cos[:, None] * a + np.sqrt(1 - cos**2)[:, None] * b
+    exact = lambda i, j: (a[i] * b[j]).sum(1)
+    rows, columns, ok = near_vectors.compare(a.astype(np.float32), b.astype(np.float32), 0.95, False, exact)
+    got = np.zeros((300, 300), bool)
+    got[np.ix_(rows, columns)] = ok
+    assert (got == (a @ b.T >= 0.95)).all() and 0 < got.sum() < 300
+    rows, columns, ok = near_vectors.compare(a.astype(np.float32), a.astype(np.float32), 0.95, True, exact)
+    assert ok.size == 0
+
+
 def test_near_vectors_odd_rows(spark):
     schema = "vec_id long, embedding array<float>"
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])]
