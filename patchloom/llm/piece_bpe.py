@@ -27,25 +27,31 @@ from pyspark.sql import DataFrame
 from patchloom.llm.common import add_columns
 
 SPACE = "▁"
-#: Entries after which a worker's memo of segments, and that of pairs, is emptied.
-MEMO, PAIRS = 150_000, 450_000
+#: Entries after which a worker's memo of segments is turned, and that of pairs emptied. Two turns of segments are kept.
+MEMO, PAIRS = 100_000, 450_000
 #: The score of what does not merge.
 NEVER = float("-inf")
-_LETTER = r"[^\W\d_]"
 
 
 class _Memo(dict):
-    """What ``make`` says of texts; those of up to 64 characters are kept."""
+    """What ``make`` says of texts; those of up to 64 characters are kept until two turns pass without them."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, text: str) -> bytes:
-        found = self.make(text)
+        found = self.before.get(text)
+        if found is None:
+            found = self.make(text)
         if len(text) <= 64:
             self[text] = found
         return found
 
+    def turn(self) -> None:
+        """Forget what was not asked for since the last turn."""
+        self.before = dict(self)
+        self.clear()
+
 
 class PieceTable:
     """Prefix table encoder and decoder for one model."""
@@ -88,10 +94,14 @@ class PieceTable:
         """
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             return re.compile(r"(?s).+")
-        mixed = re.compile(rf"{_LETTER}(?!{_LETTER}).|(?!{_LETTER}|{SPACE}).{_LETTER}", re.S)
+        # raised digits, fractions and the like are word characters, but pieces have them beside points
+        figures = {c for c in "".join(self.ids) if re.match(r"[^\W\d_]", c) and not c.isalpha()}
+        other = r"\d_" + re.escape("".join(sorted(figures)))
+        letter = rf"[^\W{other}]"
+        mixed = re.compile(rf"{letter}(?!{letter}).|(?!{letter}|{SPACE}).{letter}", re.S)
         if any(mixed.search(p) for p in self.ids):
             return re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        return re.compile(rf"{SPACE}*(?:{_LETTER}+|(?:(?!{_LETTER})[^{SPACE}])+)|{SPACE}+")
+        return re.compile(rf"{SPACE}*(?:[A-Za-z]+{letter}*|{letter}+|(?:[^\w{SPACE}]+|[{other}]+)+)|{SPACE}+")
 
     def _merging(self, text: str):
         """The states of a short text while its best pair is merged again and again."""
@@ -166,7 +176,7 @@ class PieceTable:
         parts = self.segment.findall((SPACE + text).replace(" ", SPACE)) if text else []
         memo = self.memo
         if len(memo) >= MEMO:
-            memo.clear()
+            memo.turn()
         found = b"".join(map(memo.__getitem__, parts))
         return np.frombuffer(found + np.int32(self.end).tobytes(), np.int32)
 

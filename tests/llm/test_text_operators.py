@@ -307,6 +307,20 @@ def test_pairs_of_pieces_are_judged_by_the_merges_of_each(pieces, monkeypatch):
     assert len({*got.values()}) == 2
 
 
+def test_segments_end_where_letters_end_and_stay_while_they_are_asked_for(pieces, monkeypatch):
+    ours, library = pieces
+    found = ours.segment.findall("▁one,▁two.\n\nthree_4²▁▁5é▁▁")
+    assert found == ["▁one", ",", "▁two", ".\n\n", "three", "_4²", "▁▁5", "é", "▁▁"]
+    calls = []
+    monkeypatch.setattr(ours, "memo", piece_bpe._Memo(lambda text: calls.append(text) or ours._encode_segment(text)))
+    monkeypatch.setattr(piece_bpe, "MEMO", 3)
+    for i in range(40):
+        text = f"again {chr(97 + i % 26) * (2 + i // 26)}, {'long' * 20}"
+        assert ours.encode(text).tolist() == library.encode(text, add_eos=True)
+    assert calls.count("▁again") == calls.count(",") == 1 and calls.count("▁" + "long" * 20) == 40
+    assert len(calls) == 82 and len(ours.memo) + len(ours.memo.before) <= 12
+
+
 def test_pieces_of_whole_documents(spark, pieces):
     _, library = pieces
     docs = table(spark, "/root/testdata/sf0.001", "documents")
